@@ -1,4 +1,4 @@
-"""Platform detection and per-platform facts."""
+"""Platform detection."""
 
 from __future__ import annotations
 
@@ -22,26 +22,13 @@ PLATFORM_ORDER = (
     "walmart",
 )
 GENERIC = "generic"
-DEFAULT_PAGING = "pagination"
 
 
 def detect(host: Column) -> Column:
-    """Name of the shop whose ``name.`` occurs in the host, else ``generic``."""
+    """Name of the first shop whose ``name.`` occurs in the host, else ``generic``."""
     h = F.lower(host)
-    out = None
-    for name in PLATFORM_ORDER:
-        hit = F.contains(h, F.lit(name + "."))
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+    first, *others = PLATFORM_ORDER
+    out = F.when(F.contains(h, F.lit(first + ".")), first)
+    for name in others:
+        out = out.when(F.contains(h, F.lit(name + ".")), name)
     return out.otherwise(F.lit(GENERIC))
-
-
-def display_name(found: Column, platform: Column) -> Column:
-    return F.coalesce(found, F.upper(platform))
-
-
-def paging(found: Column) -> Column:
-    return F.coalesce(found, F.lit(DEFAULT_PAGING))
-
-
-def variant_support(found: Column) -> Column:
-    return F.coalesce(found, F.lit(False))

@@ -39,6 +39,7 @@ class PlatformRules:
     # listing page
     link_exclusions: tuple[str, ...] = ()
     link_pattern: str = ""
+    link_hint: str = ""  # plain text within one path segment that every match of the pattern shows
     link_domain: str = ""
     next_page: tuple[Sel, ...] = ()
     # variants
@@ -92,7 +93,7 @@ class PlatformRules:
 
     def wanted_listing(self) -> Wanted:
         return Wanted(
-            [has("href", "a"), tag("base"), *self.next_page], ("href", "aria-disabled")
+            [has("href", "a"), has("href", "base"), *self.next_page], ("href", "aria-disabled")
         )
 
 
@@ -193,6 +194,7 @@ AMAZON = PlatformRules(
         "amazon.in/ref=",
     ),
     link_pattern="/dp/[A-Z0-9]{10}",
+    link_hint="dp",
     link_domain="amazon.in",
     next_page=(
         attr_is("aria-label", "Next Page", tag="a"),
