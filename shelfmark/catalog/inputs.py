@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.pages import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages, ready for parsing."""
+    return spread(table(spark, sf_dir, "pages"))
+
+
 def pick(key: str, values, default: str | None = None) -> str:
     """CASE over ``key``; values are SQL expressions by position."""
     whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
@@ -362,7 +369,7 @@ PAGE_HTML = (
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One product snapshot per part; some without HTML."""
     html = f"CASE {K} % 101 WHEN 50 THEN NULL WHEN 51 THEN '' ELSE {PAGE_HTML} END"
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.col(K).alias("page_id"), F.expr(PAGE_URL).alias("url"), F.expr(html).alias("html")
     )
 
@@ -380,7 +387,7 @@ def variant_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"<i id=\"bylineInfo\">' || p_brand || '</i><p class=\"seller-name\">' || {SHOP} || '</p>'"
     )
     slots = F.explode(F.sequence(F.lit(1), F.lit(SLOTS))).alias("slot")
-    rows = table(spark, sf_dir, "part").select("*", slots).filter(F.expr(HAS_VARIANT_PAGE))
+    rows = spread(table(spark, sf_dir, "part")).select("*", slots).filter(F.expr(HAS_VARIANT_PAGE))
     return rows.select(
         F.expr(product_url()).alias("main_product_url"),
         F.expr(option_asin("slot")).alias("asin"),
@@ -454,6 +461,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("pk"))
+        .repartition(spark.sparkContext.defaultParallelism)  # narrow rows, before they grow
     )
     return lines.select(
         F.col("l_orderkey").alias("session_id"),

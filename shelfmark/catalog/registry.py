@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import fields, urls
+from . import fields, products, sessions, urls
 
 
 def all_queries() -> dict:
-    return {**urls.QUERIES, **fields.QUERIES}
+    groups = (urls, fields, products, sessions)
+    return {name: q for g in groups for name, q in g.QUERIES.items()}

@@ -25,7 +25,7 @@ from ..plans.rules import AMAZON
 from ..sources.platforms import PLATFORMS, with_platform_facts
 from . import inputs as i
 
-_HOST = (
+HOST_SQL = (
     "trim(lower(regexp_extract({u}, "
     r"'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)), '[]')"
 )
@@ -33,7 +33,7 @@ _HREFS = (
     "SELECT page_id, url, unnest(l) AS raw_href, generate_subscripts(l, 1) AS ord FROM (SELECT page_id, url, "
     "regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS l FROM pages)"
 )
-_H1 = (
+H1 = (
     "trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, "
     r"'(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g'))"
 )
@@ -88,7 +88,7 @@ def page_links(spark, sf):
 
 
 def page_links_parsed(spark, sf):
-    p = with_dom(i.table(spark, sf, "pages"), Wanted([has("href", "a")], ["href"]))
+    p = with_dom(i.pages(spark, sf), Wanted([has("href", "a")], ["href"]))
     return explode_links(p, links_of()).select(
         "page_id", F.col("ord").cast("bigint").alias("ord"), "raw_href"
     )
@@ -139,7 +139,7 @@ def links_per_host(spark, sf):
 
 
 def page_title(spark, sf):
-    p = with_dom(i.table(spark, sf, "pages"), Wanted([tag("h1")]))
+    p = with_dom(i.pages(spark, sf), Wanted([tag("h1")]))
     return p.select("page_id", or_blank(first_text([tag("h1")])).alias("title"))
 
 
@@ -200,7 +200,7 @@ _UNIQUE_TOP = (
 )
 
 QUERIES = {
-    "url_host": (url_host, f"SELECT page_id, {_HOST.format(u='url')} AS host FROM pages"),
+    "url_host": (url_host, f"SELECT page_id, {HOST_SQL.format(u='url')} AS host FROM pages"),
     "platform_detect": (
         platform_detect,
         f"WITH d(platform, paging, variant_support, display_name) AS (VALUES {_PLATFORM_ROWS}), "
@@ -236,11 +236,11 @@ QUERIES = {
     ),
     "links_per_host": (
         links_per_host,
-        f"SELECT {_HOST.format(u='url')} AS host, count(*) AS n_pages, CAST(sum(len(regexp_extract_all(html, "
+        f"SELECT {HOST_SQL.format(u='url')} AS host, count(*) AS n_pages, CAST(sum(len(regexp_extract_all(html, "
         "'<a\\s[^>]*?href=\"([^\"]*)\"', 1))) AS BIGINT) AS n_links FROM pages GROUP BY 1",
     ),
-    "page_title": (page_title, f"SELECT page_id, {_H1} AS title FROM pages"),
-    "page_title_native": (page_title_native, f"SELECT page_id, {_H1} AS title FROM pages"),
+    "page_title": (page_title, f"SELECT page_id, {H1} AS title FROM pages"),
+    "page_title_native": (page_title_native, f"SELECT page_id, {H1} AS title FROM pages"),
     "sponsored_filter": (
         sponsored_filter,
         f"SELECT {', '.join(_LINES)}, {i.LINK_KIND} NOT IN (4, 8) AS not_excluded, "

@@ -58,7 +58,7 @@ IMPLIED_END = {
     "tfoot": (ROW_GROUPS, TABLE_ONLY),
     "a": (frozenset(("a",)), SPECIAL),
 }
-END_WALL = {t: TABLE_ONLY for t in CELLS | ROW_GROUPS | {"tr"}}
+END_WALL = {t: TABLE_ONLY for t in CELLS | ROW_GROUPS | {"table", "tr", "caption"}}
 END_WALL["li"] = TABLE_WALL | {"ul", "ol"}
 _RAW_END = {
     t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED | PLAIN_TEXT

@@ -56,6 +56,11 @@ def cut_before(c: Column, marker: str) -> Column:
     return F.substring_index(c, marker, 1)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sql_literal(value: str) -> str:
     """``value`` as a SQL string literal."""
     out = []

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import or_blank, strip
+from .text import let, or_blank, strip
 
 _SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
 _HOST = rf"^(?:{_SCHEME})?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
@@ -36,14 +39,18 @@ def canonical(url: Column) -> Column:
 
 def is_single_product(url: Column, platform: Column) -> Column:
     """Does the URL name one product (True) or a listing (False)?"""
-    test = None
-    for name, marks in PRODUCT_MARKERS.items():
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.contains(url, F.lit(m))
-        test = F.when(platform == name, hit) if test is None else test.when(platform == name, hit)
-    guess = (F.size(F.split(url, "/")) > MIN_PIECES) & F.lower(url).rlike(PRODUCT_WORDS)
-    return F.coalesce(test.otherwise(guess), F.lit(False))
+
+    def test(x):
+        u, name = x["url"], x["platform"]
+        many = F.size(F.split(u, "/")) > MIN_PIECES
+        guess = many & F.lower(u).rlike(PRODUCT_WORDS)
+        out = F.when(u.isNull(), F.lit(False))
+        for known, marks in PRODUCT_MARKERS.items():
+            hits = [F.contains(u, F.lit(m)) for m in marks]
+            out = out.when(name == known, reduce(or_, hits))
+        return out.otherwise(guess)
+
+    return let(F.struct(url.alias("url"), platform.alias("platform")), test)
 
 
 def _drop_dots(path: Column) -> Column:
@@ -75,38 +82,87 @@ def percent_encode(url: Column) -> Column:
     return F.when(url.rlike(_UNSAFE), spelled).otherwise(url)
 
 
+def _parts(url: Column) -> Column:
+    """Scheme with authority, path, and the rest from ``?`` or ``#`` on."""
+    return F.struct(
+        F.regexp_extract(url, _HEAD, 1).alias("head"),
+        F.regexp_extract(url, _HEAD + "([^?#]*)", 2).alias("path"),
+        F.regexp_extract(url, _HEAD + "[^?#]*(.*)$", 2).alias("rest"),
+    )
+
+
 def _tidy(url: Column) -> Column:
     """Lower-case scheme and host, give a path to bare hosts, drop dot segments."""
-    head = F.regexp_extract(url, _HEAD, 1)
-    path = F.regexp_extract(url, _HEAD + "([^?#]*)", 2)
-    rest = F.regexp_extract(url, _HEAD + "[^?#]*(.*)$", 2)
-    web = F.lower(head).rlike("^https?://")
-    dotted = F.when(path.rlike("(^|/)[.]{1,2}(/|$)"), _drop_dots(path)).otherwise(path)
-    full = F.concat(
-        F.lower(head), F.when(dotted == "", F.lit("/")).otherwise(dotted), rest
-    )
-    return percent_encode(F.when(web, full).otherwise(url))
+
+    def whole(p):
+        path = (
+            F.when(p["path"] == "", F.lit("/"))
+            .when(p["path"].rlike("(^|/)[.]{1,2}(/|$)"), _drop_dots(p["path"]))
+            .otherwise(p["path"])
+        )
+        return let(F.concat(F.lower(p["head"]), path, p["rest"]), percent_encode)
+
+    web = F.lower(url).rlike("^https?://")
+    return F.when(web, let(_parts(url), whole)).otherwise(let(url, percent_encode))
+
+
+_SAFE = "[!#-;=?-~]*"
+_TIDY_URL = f"^https?://[a-z0-9.:-]+/{_SAFE}$"
+_TIDY_PATH = f"^/(?!/){_SAFE}$"
 
 
 def resolve(href: Column, page_url: Column, base_href: Column | None = None) -> Column:
     """Absolute form of a link as a browser shows it, honouring ``<base href>``."""
+    return let(_base(page_url, base_href), lambda b: _resolve_on(href, b))
+
+
+def resolve_all(hrefs: Column, page_url: Column, base_href: Column | None = None) -> Column:
+    """``resolve`` for an array of links; the page's own URL is taken apart once."""
+    return let(
+        _base(page_url, base_href), lambda b: F.transform(hrefs, lambda h: _resolve_on(h, b))
+    )
+
+
+def _base(page_url: Column, base_href: Column | None) -> Column:
+    page = page_url
     if base_href is not None:
-        page_url = F.coalesce(resolve(base_href, page_url), page_url)
-    h = strip(F.regexp_replace(href, "[\t\n\r]", ""))
-    head = F.regexp_extract(page_url, _HEAD, 1)
-    scheme = F.regexp_extract(page_url, f"^({_SCHEME})", 1)
-    no_frag = F.substring_index(page_url, "#", 1)
-    no_query = canonical(page_url)
-    path = F.regexp_extract(page_url, _HEAD + "([^?#]*)", 2)
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = (
-        F.when(h == "", no_frag)
-        .when(h.rlike("^" + _SCHEME), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(scheme, h))
-        .when(F.startswith(h, F.lit("/")), F.concat(head, h))
-        .when(F.startswith(h, F.lit("?")), F.concat(no_query, h))
-        .when(F.startswith(h, F.lit("#")), F.concat(no_frag, h))
-        .otherwise(F.concat(head, folder, h))
+        page = let(base_href, lambda b: F.when(b.isNotNull(), _resolve_any(b, page_url)))
+        page = F.coalesce(page, page_url)
+    return let(
+        page,
+        lambda u: F.struct(
+            u.alias("page"),
+            F.lower(F.regexp_extract(u, _HEAD, 1)).alias("head"),
+            F.startswith(F.lower(u), F.lit("http")).alias("web"),
+        ),
     )
-    return _tidy(joined)
+
+
+def _resolve_on(href: Column, b: Column) -> Column:
+    """Links that need no rewriting are settled by one regular expression each."""
+    plain = ~F.contains(href, F.lit("/."))
+    return (
+        F.when(b["web"] & href.rlike(_TIDY_PATH) & plain, F.concat(b["head"], href))
+        .when(href.rlike(_TIDY_URL) & plain, href)
+        .otherwise(_resolve_any(href, b["page"]))
+    )
+
+
+def _resolve_any(href: Column, page_url: Column) -> Column:
+    def join(x):
+        h, page, p = x["h"], x["page"], x["p"]
+        folder = F.regexp_replace(p["path"], "[^/]*$", "")
+        return (
+            F.when(h == "", F.substring_index(page, "#", 1))
+            .when(h.rlike("^" + _SCHEME), h)
+            .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(page, f"^({_SCHEME})", 1), h))
+            .when(F.startswith(h, F.lit("/")), F.concat(p["head"], h))
+            .when(F.startswith(h, F.lit("?")), F.concat(canonical(page), h))
+            .when(F.startswith(h, F.lit("#")), F.concat(F.substring_index(page, "#", 1), h))
+            .when(F.startswith(p["path"], F.lit("/")), F.concat(p["head"], folder, h))
+            .otherwise(F.concat(p["head"], F.lit("/"), h))
+        )
+
+    clean = strip(F.regexp_replace(href, "[\t\n\r]", ""))
+    x = F.struct(clean.alias("h"), page_url.alias("page"), _parts(page_url).alias("p"))
+    return let(let(x, join), _tidy)

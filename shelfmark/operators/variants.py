@@ -80,7 +80,8 @@ def dimensions(rules: PlatformRules, dom: str = "dom") -> Column:
     Dimensions without options vanish. Of several with one name the last one's
     options count, in the place of the first.
     """
-    both = f"concat({swatch_dimensions(rules, dom)}, {dropdown_dimensions(rules, dom)})"
+    parts = [swatch_dimensions(rules, dom), dropdown_dimensions(rules, dom)]
+    both = f"concat({', '.join(f'coalesce({p}, array())' for p in parts)})"
     named = (
         "transform(array_distinct(transform(ds, d -> d.dim)), k -> named_struct('dim', k, "
         "'options', element_at(filter(ds, d -> d.dim = k), -1).options))"

@@ -59,7 +59,9 @@ def session_label(platform: Column, domain: Column, ts: Column) -> Column:
     return F.concat_ws("-", platform, domain, F.date_format(ts, "yyyy-MM-dd--HH-mm-ss"))
 
 
-LAYOUT = ("platform", "domain", "session_ts")
+#: Folders of the session layout. Their number grows with shops and months, not
+#: with sessions; the session itself is the ``session_label`` column.
+LAYOUT = ("platform", "session_month")
 PRODUCT_ORDER = ("session_id", "page_no", "link_ord")
 VARIANT_ORDER = (*PRODUCT_ORDER, "dim_ord", "opt_ord")
 
@@ -67,19 +69,21 @@ VARIANT_ORDER = (*PRODUCT_ORDER, "dim_ord", "opt_ord")
 def write_session_table(
     df: DataFrame, columns, path: str, fmt: str = "parquet", mode: str = "append"
 ) -> None:
-    """Append rows under ``platform=/domain=/session_ts=`` folders.
+    """Append rows with their session label under ``platform=/session_month=`` folders.
 
-    Rows are clustered by folder and link before writing, so a folder gets few
-    files; the link keeps one large session from ending up in one task.
+    The rebalance hint gives every folder few files and splits a folder that would
+    overload one task.
     """
-    spread = [c for c in ("page_no", "link_ord") if c in df.columns]
-    stamp = F.date_format("session_ts", "yyyy-MM-dd--HH-mm-ss")
-    out = (
-        sink_projection(df.withColumn("session_ts", stamp), (*LAYOUT, *spread, *columns))
-        .repartition(*LAYOUT, *spread)
-        .drop(*spread)
+    out = df.select(
+        "platform",
+        F.date_format("session_ts", "yyyy-MM").alias("session_month"),
+        session_label(F.col("platform"), F.col("domain"), F.col("session_ts")).alias(
+            "session_label"
+        ),
+        *[c for c in columns if c in df.columns],
     )
-    writer = out.write.mode(mode).partitionBy(*LAYOUT)
+    out = sink_projection(out, (*LAYOUT, "session_label", *columns))
+    writer = out.hint("rebalance", *LAYOUT).write.mode(mode).partitionBy(*LAYOUT)
     if fmt == "csv":
         writer.options(header="true", lineSep="\r\n", **CSV_FORM).csv(path)
     else:

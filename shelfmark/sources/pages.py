@@ -11,6 +11,16 @@ def read_pages(spark: SparkSession, path: str, schema=schemas.PAGES) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain file scan one partition per core if it has fewer.
+
+    Parsing is the costly step, and a small table in one file would be parsed by one
+    task. A table of many files is left alone: its HTML is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def stream_pages(
     spark: SparkSession, path: str, schema=schemas.PAGES, files_per_batch: int | None = None, **options
 ) -> DataFrame:
