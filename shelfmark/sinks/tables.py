@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 #: CSV in the usual spreadsheet form: quotes doubled, empty strings as nothing,
-#: blanks kept, lines ended by CR LF.
+#: blanks kept, lines ended by CR LF. A line break inside a value is written as CR LF
+#: too and read back as LF; extracted texts are collapsed and hold none.
 CSV_FORM = {
     "escape": '"',
     "emptyValue": "",
