@@ -22,6 +22,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that links are derived from."""
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    return spread(table(spark, sf_dir, "lineitem").select(*cols))
+
+
 def pick(key: str, values, default: str | None = None) -> str:
     """CASE over ``key``; values are SQL expressions by position."""
     whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.nodes import with_dom
 from ..functions.platforms import detect
 from ..functions.selectors import Wanted, first_text, has, tag
-from ..functions.text import collapse, or_blank
+from ..functions.text import collapse, or_blank, unescape_markup
 from ..functions.urls import canonical, host, is_single_product, resolve
 from ..operators.links import (
     explode_links,
@@ -33,10 +33,10 @@ _HREFS = (
     "SELECT page_id, url, unnest(l) AS raw_href, generate_subscripts(l, 1) AS ord FROM (SELECT page_id, url, "
     "regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS l FROM pages)"
 )
-H1 = (
-    "trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, "
-    r"'(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g'))"
-)
+_RAW_H1 = r"regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
+for _name, _char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;", "''"), ("&amp;?", "&")):
+    _RAW_H1 = f"regexp_replace({_RAW_H1}, '{_name}', '{_char}', 'g')"
+H1 = rf"trim(regexp_replace({_RAW_H1}, '\s+', ' ', 'g'))"
 _ENCODED = (
     "list_aggregate(list_transform(string_split(raw_href, ''), lambda c: CASE WHEN regexp_matches(c, "
     r''''[^\x21-\x7E]|["<>]') THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') '''
@@ -106,7 +106,7 @@ def page_links_abs(spark, sf):
 def link_resolution(spark, sf):
     href = i.pick("l_linenumber % 8", [a for a, _ in _HREF_CASES])
     page = "('https://Shop.Example/a/b/p' || CAST(l_suppkey AS STRING) || '?q=1#z')"
-    rows = i.table(spark, sf, "lineitem").select(
+    rows = i.lineitem(spark, sf).select(
         *_LINES, F.expr(href).alias("href"), F.expr(page).alias("page")
     )
     return rows.select(*_LINES, resolve(F.col("href"), F.col("page")).alias("url"))
@@ -146,13 +146,13 @@ def page_title(spark, sf):
 def page_title_native(spark, sf):
     raw = F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1)
     text = F.regexp_replace(raw, "<[^>]*>", "")
-    text = F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
-    return i.table(spark, sf, "pages").select("page_id", collapse(text).alias("title"))
+    title = collapse(unescape_markup(text))
+    return i.table(spark, sf, "pages").select("page_id", title.alias("title"))
 
 
 def sponsored_filter(spark, sf):
     raw = F.expr(i.raw_link(i.LINK_KIND, "l_partkey"))
-    rows = i.table(spark, sf, "lineitem").select(*_LINES, raw.alias("raw_url"))
+    rows = i.lineitem(spark, sf).select(*_LINES, raw.alias("raw_url"))
     u = F.col("raw_url")
     return rows.select(
         *_LINES,
@@ -164,7 +164,7 @@ def sponsored_filter(spark, sf):
 
 def product_links_query(spark, sf):
     raw = F.expr(i.raw_link(i.LINK_KIND, "l_partkey"))
-    rows = i.table(spark, sf, "lineitem").select("l_orderkey", *i.LINK_ORDER, raw.alias("raw_url"))
+    rows = i.lineitem(spark, sf).select("l_orderkey", *i.LINK_ORDER, raw.alias("raw_url"))
     return product_links(rows, AMAZON, ["l_orderkey"], i.LINK_ORDER).select(
         "l_orderkey", F.col("ord").cast("bigint").alias("ord"), "url"
     )
@@ -174,7 +174,7 @@ _TOP_ORDER = ["l_orderkey", "l_linenumber", "l_shipdate"]
 
 
 def _top(spark, sf):
-    rows = i.table(spark, sf, "lineitem").select(
+    rows = i.lineitem(spark, sf).select(
         "l_suppkey", *_TOP_ORDER, F.expr(i.product_url("l_partkey")).alias("url")
     )
     unique = first_links(rows, ["l_suppkey"], _TOP_ORDER)

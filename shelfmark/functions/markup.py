@@ -76,11 +76,19 @@ def read_attrs(raw: str) -> dict[str, str]:
     return out
 
 
+#: tag -> (block?, void?, closes an open p?, implied end, raw-text end)
+_TRAITS = {
+    t: (t in BLOCK, t in VOID, t in CLOSES_P, IMPLIED_END.get(t), _RAW_END.get(t))
+    for t in BLOCK | VOID | SPECIAL | SKIPPED | PLAIN_TEXT | {"a"}
+}
+_PLAIN = (False, False, False, None, None)
+
+
 class _Tree:
     """Open elements of one page and the kept elements in document order."""
 
     def __init__(self, wanted):
-        self.wanted = wanted
+        self.pick = wanted.pick
         self.kept: list[list] = []
         self.index: dict[str, list[int]] = {}
         self.pieces: list[str] = []
@@ -109,82 +117,96 @@ class _Tree:
 
     def pop_to(self, tags, wall) -> None:
         """Close down to the nearest of ``tags`` unless a ``wall`` element is nearer."""
-        if not any(self.open_count.get(t) for t in tags):
+        for t in tags:
+            if self.open_count.get(t):
+                break
+        else:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
+        stack = self.stack
+        for i in range(len(stack) - 1, -1, -1):
+            tag = stack[i][0]
             if tag in tags:
-                while len(self.stack) > i:
+                while len(stack) > i:
                     self.pop()
                 return
             if tag in wall:
                 return
 
-    def start(self, tag: str, raw: str) -> None:
-        if tag in CLOSES_P:
-            self.pop_to(("p",), P_WALL)
-        if tag in IMPLIED_END:
-            self.pop_to(*IMPLIED_END[tag])
-        elif tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
-            self.pop()
-        number, self.count = self.count, self.count + 1
-        parent = self.stack[-1][1] if self.stack else -1
-        if tag in BLOCK or tag == "br":
+    def start(self, tag: str, raw: str):
+        """Open an element; returns the pattern of its end if it holds raw text."""
+        block, void, closes_p, implied, raw_end = _TRAITS.get(tag, _PLAIN)
+        counts = self.open_count
+        if closes_p:
+            if counts.get("p"):
+                self.pop_to(("p",), P_WALL)
+            if tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+                self.pop()
+        if implied:
+            self.pop_to(*implied)
+        if block or tag == "br" or tag == "hr":
             self.pieces.append(BREAK)
-        rec, entries, needs_text = self.wanted.pick(tag, raw)
-        if rec is not None:
-            rec[0], rec[1], rec[2] = number, number, parent
+        number = self.count
+        self.count = number + 1
+        picked = self.pick(tag, raw)
+        rec, needs_text = None, False
+        if picked is not None:
+            rec, entries, needs_text = picked
+            rec[0], rec[1] = number, number
+            rec[2] = self.stack[-1][1] if self.stack else -1
+            at = len(self.kept)
             for entry in entries:
-                self.index.setdefault(entry, []).append(len(self.kept))
+                self.index.setdefault(entry, []).append(at)
             self.kept.append(rec)
-        foreign = raw.endswith("/") and (self.open_count.get("svg") or self.open_count.get("math"))
-        if tag in VOID or foreign:
-            if tag == "hr":
-                self.pieces.append(BREAK)
-            return
+        if void:
+            return None
+        if raw and raw[-1] == "/" and (counts.get("svg") or counts.get("math")):
+            return None
         self.stack.append((tag, number, rec, len(self.pieces) if needs_text else -1))
-        self.open_count[tag] = self.open_count.get(tag, 0) + 1
+        counts[tag] = counts.get(tag, 0) + 1
+        return raw_end
 
     def end(self, tag: str) -> None:
-        if tag == "br":
+        if self.stack and self.stack[-1][0] == tag:
+            self.pop()
+        elif tag == "br":
             self.pieces.append(BREAK)
-        elif tag in BLOCK:
-            self.pop_to((tag,), END_WALL.get(tag, TABLE_WALL))
-        else:
-            self.pop_to((tag,), SPECIAL)
+        elif self.open_count.get(tag):
+            wall = END_WALL.get(tag, TABLE_WALL) if tag in BLOCK else SPECIAL
+            self.pop_to((tag,), wall)
 
 
 def read_elements(html: str, wanted) -> tuple[list[list], dict[str, list[int]]]:
     """Kept elements ``[ord, end, parent, tag, id, classes, attrs, own, text]`` and their index."""
     tree = _Tree(wanted)
+    find, match = html.find, _TAG.match
     pos, size = 0, len(html)
     while pos < size:
-        lt = html.find("<", pos)
+        lt = find("<", pos)
         if lt < 0:
             tree.text(html[pos:])
             break
         if lt > pos:
             tree.text(html[pos:lt])
-        m = _TAG.match(html, lt)
+        m = match(html, lt)
         if m:
             pos = m.end()
-            tag = m.group(2).lower()
-            if m.group(1):
+            closing, tag, raw = m.groups()
+            tag = tag.lower()
+            if closing:
                 tree.end(tag)
                 continue
-            tree.start(tag, m.group(3))
-            if tag in _RAW_END:
-                close = _RAW_END[tag].search(html, pos)
-                stop = close.start() if close else size
+            raw_end = tree.start(tag, raw)
+            if raw_end is not None:
+                close = raw_end.search(html, pos)
                 if tag in PLAIN_TEXT:
-                    tree.text(html[pos:stop])
+                    tree.text(html[pos : close.start() if close else size])
                 pos = close.end() if close else size
                 tree.pop()
         elif html.startswith("<!--", lt):
-            close = html.find("-->", lt + 2)
+            close = find("-->", lt + 2)
             pos = close + 3 if close >= 0 else size
         elif html.startswith(("<!", "<?"), lt):
-            close = html.find(">", lt)
+            close = find(">", lt)
             pos = close + 1 if close >= 0 else size
         elif html[lt + 1 : lt + 2].isalpha() or (
             html.startswith("</", lt) and html[lt + 2 : lt + 3].isalpha()

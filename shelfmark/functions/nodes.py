@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,30 +25,37 @@ _NODE = pa.struct(
         ("text", pa.string()),
     ]
 )
-_INDEX = pa.map_(pa.string(), pa.list_(pa.int32()))
+
+def _offsets(sizes) -> pa.Array:
+    return pa.array(list(accumulate(sizes, initial=0)), type=pa.int32())
+
+
+def _maps(dicts, value_type: pa.DataType) -> pa.Array:
+    """Arrow map array of Python dictionaries with plain values."""
+    keys = [k for d in dicts for k in d]
+    values = [v for d in dicts for v in d.values()]
+    return pa.MapArray.from_arrays(
+        _offsets(map(len, dicts)), pa.array(keys, pa.string()), pa.array(values, value_type)
+    )
 
 
 def _to_arrow(pages: list) -> pa.Array:
     """Pack a batch of ``(elements, index)`` pages into one Arrow struct array."""
-    offsets, flat = [0], []
-    for page in pages:
-        if page is not None:
-            flat.extend(page[0])
-        offsets.append(len(flat))
+    missing = [p is None for p in pages]
+    elements = [p[0] if p is not None else [] for p in pages]
+    flat = [e for page in elements for e in page]
     cols = list(zip(*flat)) if flat else [()] * len(_NODE)
-    arrays = []
-    for field, values in zip(_NODE, cols):
-        if field.name == "attrs":
-            values = [list(v.items()) for v in values]
-        arrays.append(pa.array(values, type=field.type))
+    arrays = [
+        _maps(values, pa.string()) if f.name == "attrs" else pa.array(values, type=f.type)
+        for f, values in zip(_NODE, cols)
+    ]
     nodes = pa.ListArray.from_arrays(
-        pa.array(offsets, type=pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(_NODE))
+        _offsets(map(len, elements)), pa.StructArray.from_arrays(arrays, fields=list(_NODE))
     )
-    index = pa.array([list(p[1].items()) if p is not None else [] for p in pages], type=_INDEX)
+    indexes = [p[1] if p is not None else {} for p in pages]
+    index = _maps(indexes, pa.list_(pa.int32()))
     return pa.StructArray.from_arrays(
-        [nodes, index],
-        names=["nodes", "index"],
-        mask=pa.array([p is None for p in pages], type=pa.bool_()),
+        [nodes, index], names=["nodes", "index"], mask=pa.array(missing, type=pa.bool_())
     )
 
 

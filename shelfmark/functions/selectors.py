@@ -255,7 +255,7 @@ class Wanted:
         for s in targets:
             self._add(s, True)
         self.id_parts = [k[2:] for k in self.keys if k.startswith("#*")]
-        self.needs_attrs = any(k[0] in "#.[" for k in self.keys)
+        self.needs_attrs = everything or any(k[0] in "#.[" for k in self.keys)
 
     def _file(self, key: str, text: bool) -> None:
         self.keys[key] = self.keys.get(key, False) or text
@@ -274,27 +274,33 @@ class Wanted:
     def entries(self, tag: str, attrs: dict[str, str]) -> list[str]:
         """Index entries an element belongs to."""
         found = [tag]
-        ident = attrs.get("id")
-        if ident is not None:
-            found.append("#" + ident)
-            found += ["#*" + p for p in self.id_parts if p in ident]
-        if "class" in attrs:
-            found += ["." + c for c in dict.fromkeys(attrs["class"].split())]
-        found += [f"[{a}]" for a in attrs]
-        return found if self.everything else [k for k in found if k in self.keys]
+        for name, value in attrs.items():
+            found.append(f"[{name}]")
+            if name == "id":
+                found.append("#" + value)
+                found += ["#*" + p for p in self.id_parts if p in value]
+            elif name == "class":
+                found += ["." + c for c in dict.fromkeys(value.split())]
+        if self.everything:
+            return found
+        keys = self.keys
+        return [k for k in found if k in keys]
 
     def pick(self, tag: str, raw: str):
-        """``(record, index entries, needs text)``; record None for an element to pass over."""
-        if raw and (self.needs_attrs or tag in self.keys or self.everything):
+        """``(record, index entries, needs text)``, or None for an element to pass over."""
+        if raw and self.needs_attrs:
             attrs = read_attrs(raw)
+            entries = self.entries(tag, attrs)
+            if not entries:
+                return None
         elif tag in self.keys or self.everything:
-            attrs = {}
+            attrs, entries = read_attrs(raw) if raw else {}, [tag]
         else:
-            return None, (), False
-        entries = self.entries(tag, attrs)
-        if not entries:
-            return None, (), False
-        text = self.everything or any(self.keys[k] for k in entries)
+            return None
+        if self.everything:
+            text = True
+        else:
+            text = any([self.keys[k] for k in entries])
+            attrs = {k: v for k, v in attrs.items() if k in self.names}
         names = attrs["class"].split() if "class" in attrs else None
-        kept = attrs if self.everything else {k: v for k, v in attrs.items() if k in self.names}
-        return [0, 0, 0, tag, attrs.get("id"), names, kept, None, None], entries, text
+        return [0, 0, 0, tag, attrs.get("id"), names, attrs, None, None], entries, text

@@ -43,6 +43,17 @@ def text_content(c: Column) -> Column:
     return F.translate(c, BREAK, "")
 
 
+# The markup characters and their names, ampersand last.
+ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;|&#39;|&apos;", "'"), ("&amp;?", "&"))
+
+
+def unescape_markup(c: Column) -> Column:
+    """Decode the five markup characters; for native use where no parser is involved."""
+    for pattern, char in ENTITIES:
+        c = F.regexp_replace(c, pattern, char)
+    return c
+
+
 def or_blank(*cs: Column) -> Column:
     return F.coalesce(*cs, F.lit(""))
 
