@@ -422,7 +422,7 @@ LIMIT = pick("o_orderkey % 6", ["100", "0", "2", "NULL", "NULL", "3"])
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("session_id"),
         F.expr(START_URL).alias("start_url"),
         F.col("o_orderdate").alias("session_ts"),

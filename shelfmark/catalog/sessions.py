@@ -143,9 +143,12 @@ def listing_horizon_query(spark, sf):
         "l_linenumber",
         F.expr("pk % 10").alias("n_links"),
         F.expr("pk % 7 <> 0").alias("has_next"),
-        F.expr("l_orderkey % 5").alias("page_limit"),
     )
-    return listing_horizon(pages, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
+    limits = i.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.expr("o_orderkey % 5").alias("page_limit")
+    )
+    walked = listing_horizon(pages, limits, "l_orderkey", "l_linenumber")
+    return walked.select("l_orderkey", "l_linenumber")
 
 
 def _requests(spark, sf):

@@ -12,10 +12,14 @@ from html import unescape
 
 from .text import BREAK
 
-_TAG = re.compile(
-    r"<(/?)([a-zA-Z][^\s/>]*)"
+# A tag, a comment, or a declaration. Possessive repetition: no backtracking.
+_TOKEN = re.compile(
+    r"<(?:(/?)([a-zA-Z][^\s/>]*)"
     r"((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?|[^>=])*+)>"
+    r"|!--(?:.*?-->|.*)|[!?][^>]*>)",
+    re.S,
 )
+_BROKEN_TAIL = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _ATTR = re.compile(
     r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?"
 )
@@ -91,29 +95,38 @@ class _Tree:
         self.pick = wanted.pick
         self.kept: list[list] = []
         self.index: dict[str, list[int]] = {}
-        self.pieces: list[str] = []
         self.stack: list[tuple[str, int, list | None, int]] = []
         self.open_count: dict[str, int] = {}
         self.count = 0
+        #: text pieces, collected while ``readers`` open elements want their text
+        self.pieces: list[str] = []
+        self.readers = 0
 
     def text(self, piece: str) -> None:
         if "&" in piece:
             piece = unescape(piece)
+        if self.readers:
+            self.pieces.append(piece)
         if self.stack:
             rec = self.stack[-1][2]
             if rec is not None and rec[7] is None:
                 rec[7] = piece
-        self.pieces.append(piece)
+
+    def wants_text(self) -> bool:
+        return self.readers > 0 or (bool(self.stack) and self.stack[-1][2] is not None)
 
     def pop(self) -> None:
         tag, _, rec, start = self.stack.pop()
         self.open_count[tag] -= 1
-        if tag in BLOCK:
+        if self.readers and tag in BLOCK:
             self.pieces.append(BREAK)
         if rec is not None:
             rec[1] = self.count - 1
             if start >= 0:
                 rec[8] = "".join(self.pieces[start:])
+                self.readers -= 1
+                if not self.readers:
+                    self.pieces.clear()
 
     def pop_to(self, tags, wall) -> None:
         """Close down to the nearest of ``tags`` unless a ``wall`` element is nearer."""
@@ -143,78 +156,82 @@ class _Tree:
                 self.pop()
         if implied:
             self.pop_to(*implied)
-        if block or tag == "br" or tag == "hr":
+        if self.readers and (block or tag == "br" or tag == "hr"):
             self.pieces.append(BREAK)
         number = self.count
         self.count = number + 1
         picked = self.pick(tag, raw)
-        rec, needs_text = None, False
+        rec, start = None, -1
         if picked is not None:
             rec, entries, needs_text = picked
             rec[0], rec[1] = number, number
             rec[2] = self.stack[-1][1] if self.stack else -1
             at = len(self.kept)
             for entry in entries:
-                self.index.setdefault(entry, []).append(at)
+                if entry in self.index:
+                    self.index[entry].append(at)
+                else:
+                    self.index[entry] = [at]
             self.kept.append(rec)
         if void:
             return None
         if raw and raw[-1] == "/" and (counts.get("svg") or counts.get("math")):
             return None
-        self.stack.append((tag, number, rec, len(self.pieces) if needs_text else -1))
+        if rec is not None and needs_text:
+            start = len(self.pieces)
+            self.readers += 1
+        self.stack.append((tag, number, rec, start))
         counts[tag] = counts.get(tag, 0) + 1
         return raw_end
 
     def end(self, tag: str) -> None:
-        if self.stack and self.stack[-1][0] == tag:
-            self.pop()
-        elif tag == "br":
-            self.pieces.append(BREAK)
+        if tag == "br":
+            if self.readers:
+                self.pieces.append(BREAK)
         elif self.open_count.get(tag):
             wall = END_WALL.get(tag, TABLE_WALL) if tag in BLOCK else SPECIAL
             self.pop_to((tag,), wall)
 
 
 def read_elements(html: str, wanted) -> tuple[list[list], dict[str, list[int]]]:
-    """Kept elements ``[ord, end, parent, tag, id, classes, attrs, own, text]`` and their index."""
+    """Kept elements ``[ord, end, parent, tag, id, classes, attrs, own, text]`` and their index.
+
+    Every token ends at a ``>``, so scanning stops at the last one: each ``<`` before
+    it starts a complete token, and reading takes linear time on any input.
+    """
     tree = _Tree(wanted)
-    find, match = html.find, _TAG.match
-    pos, size = 0, len(html)
-    while pos < size:
-        lt = find("<", pos)
-        if lt < 0:
-            tree.text(html[pos:])
+    stack, search = tree.stack, _TOKEN.search
+    pos, last = 0, html.rfind(">") + 1
+    while pos < last:
+        m = search(html, pos, last)
+        if m is None:
             break
-        if lt > pos:
-            tree.text(html[pos:lt])
-        m = match(html, lt)
-        if m:
-            pos = m.end()
-            closing, tag, raw = m.groups()
-            tag = tag.lower()
-            if closing:
-                tree.end(tag)
-                continue
-            raw_end = tree.start(tag, raw)
-            if raw_end is not None:
-                close = raw_end.search(html, pos)
-                if tag in PLAIN_TEXT:
-                    tree.text(html[pos : close.start() if close else size])
-                pos = close.end() if close else size
+        at = m.start()
+        if at > pos and (tree.readers or (stack and stack[-1][2] is not None)):
+            tree.text(html[pos:at])
+        pos = m.end()
+        closing, tag, raw = m.groups()
+        if tag is None:
+            if html.startswith("<!--", at) and not html.endswith("-->", at + 4, pos):
+                pos = len(html)  # a comment without end
+            continue
+        tag = tag.lower()
+        if closing:
+            if stack and stack[-1][0] == tag:
                 tree.pop()
-        elif html.startswith("<!--", lt):
-            close = find("-->", lt + 2)
-            pos = close + 3 if close >= 0 else size
-        elif html.startswith(("<!", "<?"), lt):
-            close = find(">", lt)
-            pos = close + 1 if close >= 0 else size
-        elif html[lt + 1 : lt + 2].isalpha() or (
-            html.startswith("</", lt) and html[lt + 2 : lt + 3].isalpha()
-        ):
-            break  # the page ends inside a tag
-        else:
-            tree.text("<")
-            pos = lt + 1
-    while tree.stack:
+            else:
+                tree.end(tag)
+            continue
+        raw_end = tree.start(tag, raw)
+        if raw_end is not None:
+            close = raw_end.search(html, pos)
+            if tag in PLAIN_TEXT:
+                tree.text(html[pos : close.start() if close else len(html)])
+            pos = close.end() if close else len(html)
+            tree.pop()
+    if pos < len(html) and tree.wants_text():
+        broken = _BROKEN_TAIL.search(html, max(pos, last))
+        tree.text(html[pos : broken.start() if broken else len(html)])
+    while stack:
         tree.pop()
     return tree.kept, tree.index

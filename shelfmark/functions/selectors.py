@@ -240,6 +240,9 @@ def first_image(sels: Iterable[Sel], use_og: bool = False, dom: str = "dom") ->
 # ------------------------------------------------------- what the reader keeps
 
 
+MEMO_SIZE, MEMO_CHARS = 4096, 120
+
+
 class Wanted:
     """Which elements a page reader has to keep, by index entry.
 
@@ -256,6 +259,8 @@ class Wanted:
             self._add(s, True)
         self.id_parts = [k[2:] for k in self.keys if k.startswith("#*")]
         self.needs_attrs = everything or any(k[0] in "#.[" for k in self.keys)
+        #: what was decided for a tag and its attribute text; start tags repeat a lot
+        self.memo: dict[tuple[str, str], tuple | None] = {}
 
     def _file(self, key: str, text: bool) -> None:
         self.keys[key] = self.keys.get(key, False) or text
@@ -286,21 +291,32 @@ class Wanted:
         keys = self.keys
         return [k for k in found if k in keys]
 
+    def decide(self, tag: str, raw: str):
+        """``(id, class names, attributes, entries, needs text)`` or None to pass over."""
+        if not (raw and self.needs_attrs) and tag not in self.keys and not self.everything:
+            return None
+        attrs = read_attrs(raw) if raw else {}
+        entries = self.entries(tag, attrs)
+        if not entries:
+            return None
+        text = self.everything or any(self.keys[k] for k in entries)
+        names = attrs["class"].split() if "class" in attrs else None
+        if not self.everything:
+            attrs = {k: v for k, v in attrs.items() if k in self.names}
+        return attrs.get("id"), names, attrs, entries, text
+
     def pick(self, tag: str, raw: str):
         """``(record, index entries, needs text)``, or None for an element to pass over."""
-        if raw and self.needs_attrs:
-            attrs = read_attrs(raw)
-            entries = self.entries(tag, attrs)
-            if not entries:
-                return None
-        elif tag in self.keys or self.everything:
-            attrs, entries = read_attrs(raw) if raw else {}, [tag]
-        else:
+        key = (tag, raw)
+        try:
+            found = self.memo[key]
+        except KeyError:
+            found = self.decide(tag, raw)
+            if len(raw) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO_SIZE:
+                    self.memo.clear()
+                self.memo[key] = found
+        if found is None:
             return None
-        if self.everything:
-            text = True
-        else:
-            text = any([self.keys[k] for k in entries])
-            attrs = {k: v for k, v in attrs.items() if k in self.names}
-        names = attrs["class"].split() if "class" in attrs else None
-        return [0, 0, 0, tag, attrs.get("id"), names, attrs, None, None], entries, text
+        ident, names, attrs, entries, text = found
+        return [0, 0, 0, tag, ident, names, attrs, None, None], entries, text

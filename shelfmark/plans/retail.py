@@ -69,8 +69,9 @@ def listing_facts(listing_pages: DataFrame, rules: PlatformRules) -> DataFrame:
 def listing_requests(facts: DataFrame, sessions: DataFrame) -> DataFrame:
     """Product requests of listing sessions, page by page until the walk stops."""
     limits = sessions.filter("NOT is_single AND has_rules").select("session_id", "page_limit")
-    walked = listing_horizon(salted_join(facts, limits, ["session_id"], "inner", ["page_no"]))
-    return walked.select("session_id", "page_no", F.posexplode("links").alias("i", "requested_url")).select(
+    walked = listing_horizon(facts, limits)
+    links = walked.select("session_id", "page_no", F.posexplode("links").alias("i", "requested_url"))
+    return links.select(
         "session_id", "page_no", (F.col("i") + 1).alias("link_ord"), "requested_url"
     )
 
