@@ -18,7 +18,7 @@ from ..functions.text import (
 from ..functions.urls import canonical
 from ..plans.rules import PlatformRules
 from .extract import FIELDS
-from .joins import salted_join
+from .joins import SALTS, salted_join
 
 UNKNOWN = "Unknown"
 CARRY, QUARANTINE = "carry_forward", "quarantine"
@@ -116,7 +116,11 @@ def one_per_option(records: DataFrame) -> DataFrame:
 
 
 def variant_states(
-    options: DataFrame, records: DataFrame, page: str = "page_id", main_url: str = "main_product_url"
+    options: DataFrame,
+    records: DataFrame,
+    page: str = "page_id",
+    main_url: str = "main_product_url",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join every option to its snapshot and carry the last one over unmatched options.
 
@@ -124,8 +128,9 @@ def variant_states(
     state before any option is selected. A window covers one page's options only.
     """
     keyed = options.withColumn("main_key", canonical(F.col(main_url)))
+    by = [page, "dim_ord", "opt_ord"]
     joined = salted_join(
-        keyed, one_per_option(records), ["main_key", "asin"], "left", [page, "dim_ord", "opt_ord"]
+        keyed, one_per_option(records), ["main_key", "asin"], "left", by, salts
     )
     w = (
         Window.partitionBy(page)
@@ -168,10 +173,15 @@ def extract_variants(
     page: str = "page_id",
     main_url: str = "main_product_url",
     keep: tuple[str, ...] = (),
+    salts: int = SALTS,
 ) -> DataFrame:
     """Variants of product pages: ``mains`` with ``dims`` and product fields, joined to
-    the product records of variant snapshots (``main_product_url, asin, …``)."""
-    states = variant_states(flatten_options(mains), records, page, main_url)
+    the product records of variant snapshots (``main_product_url, asin, …``).
+
+    ``salts`` spreads main pages of which there are very many snapshots; 1 will do where
+    ``mains`` holds each URL once.
+    """
+    states = variant_states(flatten_options(mains), records, page, main_url, salts)
     if on_missing == QUARANTINE:
         states = states.filter(~F.col("is_carried"))
     elif on_missing != CARRY:

@@ -19,7 +19,7 @@ from ..operators.summary import session_totals
 from ..operators.variants import CARRY, dimensions, extract_variants
 from ..operators.whitelist import label
 from ..session import stage
-from ..sources.platforms import with_platform_facts
+from ..sources.platforms import supports_variants, with_platform_facts
 from .rules import PlatformRules, rules_for
 
 
@@ -116,11 +116,13 @@ def run(
     whitelist: DataFrame,
     platform: str = "amazon",
     on_missing: str = CARRY,
+    check_variant_support: bool = False,
 ) -> Result:
     """Both flows for one platform; rows of all sessions and pages are appended.
 
-    Two narrow tables are staged (listing facts, product facts), as several outputs
-    read them.
+    Narrow tables that several outputs read are staged: listing facts, requests and
+    product facts. Variants are always looked for unless ``check_variant_support`` asks
+    to heed the platform dimension.
     """
     rules = rules_for(platform)
     sess = classify_sessions(sessions).filter(F.col("platform") == platform)
@@ -136,7 +138,10 @@ def run(
 
     records = extract_products(variant_pages, rules)
     mains = facts.filter("size(dims) > 0").withColumn("main_product_url", F.col("key"))
-    variants = label(extract_variants(mains, records, on_missing), whitelist)
+    if check_variant_support:
+        mains = mains.filter(F.lit(supports_variants(platform)))
+    variants = extract_variants(mains, records, on_missing, salts=1)  # mains: one per URL
+    variants = label(variants, whitelist)
     variants = variants.withColumnRenamed("main_product_url", "key")
     variants = salted_join(requests, variants, ["key"], "inner", order)
     variants = variants.withColumnRenamed("requested_url", "main_product_url").drop("key")

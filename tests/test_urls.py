@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.platforms import detect
 from shelfmark.functions.urls import canonical, host, is_single_product, resolve
-from shelfmark.sources.platforms import with_platform_facts
+from shelfmark.sources.platforms import supports_variants, with_platform_facts
 from tests.conftest import plan_of
 
 
@@ -50,6 +50,11 @@ def test_platform_facts(spark):
     }
 
 
+def test_variant_support_by_name():
+    names = ["amazon", "meesho", "generic", "foo"]
+    assert [supports_variants(n) for n in names] == [True, False, False, False]
+
+
 def test_single_product(evaluate):
     cases = [
         ("https://www.amazon.in/dp/B0FMXNKHSW", "amazon", True),
