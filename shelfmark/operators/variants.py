@@ -33,30 +33,40 @@ def _dimension_name(x: str, prefix: str, suffix: str) -> str:
     return _drop_first(_drop_first(x, prefix), suffix)
 
 
-def _inner(dom: str, sel, o: str, x: str) -> str:
-    """First match of ``sel`` inside element ``o``."""
-    return f"get(filter({sql_select(dom, sel)}, {x} -> {sql_within(x, o)}), 0)"
+def _first_inside(pool: str, o: str) -> str:
+    """First element of ``pool`` inside element ``o``."""
+    return f"get(filter({pool}, x -> {sql_within('x', o)}), 0)"
 
 
 def swatch_dimensions(rules: PlatformRules, dom: str = "dom") -> str:
-    """SQL array of (dim, options) of the swatch rows; unavailable options left out."""
-    text, img, button = rules.swatch_name
+    """SQL array of (dim, options) of the swatch rows; unavailable options left out.
+
+    What can name an option is first narrowed to the row, once, so that a page full of
+    images costs one pass per row and not one per option.
+    """
+    pools = dict(zip(("t", "i", "b"), rules.swatch_name), o=rules.swatch_option)
+    in_row = ", ".join(
+        f"'{k}', filter({sql_select(dom, sel)}, x -> {sql_within('x', 'r')})"
+        for k, sel in pools.items()
+    )
     names = [
-        sql_non_blank(sql_strip(sql_text_content(_inner(dom, text, "o", "x") + ".text"))),
-        sql_non_blank(sql_strip(sql_attr(_inner(dom, img, "o", "x"), "alt"))),
-        sql_non_blank(sql_strip(sql_text_content(_inner(dom, button, "o", "x") + ".text"))),
+        sql_strip(sql_text_content(_first_inside("p.t", "o") + ".text")),
+        sql_strip(sql_attr(_first_inside("p.i", "o"), "alt")),
+        sql_strip(sql_text_content(_first_inside("p.b", "o") + ".text")),
     ]
-    name = f"coalesce({', '.join(names)}, {sql_literal(UNKNOWN)})"
+    name = f"coalesce({', '.join(map(sql_non_blank, names))}, {sql_literal(UNKNOWN)})"
     asin = sql_attr("o", "data-asin")
     there = f"coalesce({sql_attr('o', rules.swatch_gone)} <> 'true', true)"
     options = (
-        f"transform(filter({sql_select(dom, rules.swatch_option)}, "
-        f"o -> {sql_within('o', 'r')} AND {there}), "
+        f"transform(filter(p.o, o -> {there}), "
         f"o -> named_struct('name', {name}, 'asin', {asin}, 'value', {asin}))"
     )
     dim = _dimension_name("r.id", rules.swatch_row_prefix, rules.dimension_suffix)
-    rows = sql_select(dom, rules.swatch_row)
-    return f"transform({rows}, r -> named_struct('dim', {dim}, 'options', {options}))"
+    row = (
+        f"get(transform(array(named_struct({in_row})), "
+        f"p -> named_struct('dim', {dim}, 'options', {options})), 0)"
+    )
+    return f"transform({sql_select(dom, rules.swatch_row)}, r -> {row})"
 
 
 def dropdown_dimensions(rules: PlatformRules, dom: str = "dom") -> str:
