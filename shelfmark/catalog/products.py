@@ -162,14 +162,14 @@ def session_layout(spark, sf):
 def stream_products(spark, sf):
     """The pages table read as a file stream and extracted batch by batch."""
     out = stage_path(spark, "stream-products")
-    pages = stream_pages(spark, sf, pathGlobFilter="pages.parquet*", recursiveFileLookup="true")
+    pages = stream_pages(spark, f"{sf}/pages.parquet")
     start_dual_sink(pages, AMAZON, trusted_sellers(spark, sf), out).awaitTermination()
     return product_rows(spark.read.parquet(f"{out}/products"))
 
 
 def stream_totals(spark, sf):
     out = stage_path(spark, "stream-totals")
-    pages = stream_pages(spark, sf, pathGlobFilter="pages.parquet*", recursiveFileLookup="true")
+    pages = stream_pages(spark, f"{sf}/pages.parquet")
     start_totals(pages, AMAZON, out).awaitTermination()
     return read_totals(spark, out)
 

@@ -120,8 +120,8 @@ def run(
 ) -> Result:
     """Both flows for one platform; rows of all sessions and pages are appended.
 
-    Narrow tables that several outputs read are staged: listing facts, requests and
-    product facts. Variants are always looked for unless ``check_variant_support`` asks
+    Narrow tables that several outputs read are staged: listing facts, requests, product
+    facts and variants. Variants are always looked for unless ``check_variant_support`` asks
     to heed the platform dimension.
     """
     rules = rules_for(platform)
@@ -141,7 +141,7 @@ def run(
     if check_variant_support:
         mains = mains.filter(F.lit(supports_variants(platform)))
     variants = extract_variants(mains, records, on_missing, salts=1)  # mains: one per URL
-    variants = label(variants, whitelist)
+    variants = label(stage(variants, "variants"), whitelist)
     variants = variants.withColumnRenamed("main_product_url", "key")
     variants = salted_join(requests, variants, ["key"], "inner", order)
     variants = variants.withColumnRenamed("requested_url", "main_product_url").drop("key")

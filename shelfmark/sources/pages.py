@@ -24,11 +24,16 @@ def spread(scan: DataFrame) -> DataFrame:
 def stream_pages(
     spark: SparkSession, path: str, schema=schemas.PAGES, files_per_batch: int | None = None, **options
 ) -> DataFrame:
-    """File stream over a growing snapshot folder.
+    """File stream over a growing snapshot folder, or over one file.
 
     Without ``files_per_batch`` a batch takes all new files; set it to bound a batch.
     """
     reader = spark.readStream.schema(schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(where).isFile():  # a stream reads folders: pick the file in its folder
+        reader = reader.option("pathGlobFilter", where.getName())
+        path = where.getParent().toString()
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.options(**options).parquet(path)

@@ -43,7 +43,8 @@ def start_dual_sink(
     spark = pages.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        records = label(batch, whitelist).persist()
+        parsed = batch.persist()
+        records = label(parsed, whitelist)
         try:
             kept_products(records).drop("dims").write.mode("overwrite").parquet(
                 f"{out}/products/batch={batch_id}"
@@ -52,7 +53,7 @@ def start_dual_sink(
                 f"{out}/options/batch={batch_id}"
             )
         finally:
-            records.unpersist()
+            parsed.unpersist()
 
     writer = (
         page_records(pages, rules)
