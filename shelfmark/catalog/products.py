@@ -16,7 +16,6 @@ from ..sinks.tables import (
     session_label,
     write_bundle,
     write_csv,
-    write_products,
     write_session_table,
 )
 from ..sources.csv import read_products_csv

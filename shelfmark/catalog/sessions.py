@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.nodes import with_dom
 from ..functions.text import or_blank
 from ..functions.urls import canonical
-from ..operators.extract import extract_products, with_product
+from ..operators.extract import extract_products
 from ..operators.joins import salted_join
 from ..operators.paging import has_next, listing_horizon, page_limit
 from ..operators.summary import (
