@@ -3,24 +3,74 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, quality
+from shelfmark.llm import bpe, collision_ann, fixity, jaccard_join, language_id, packing, quality, recurrent_lm, substring_dedup, wrappers
 from shelfmark.llm.tables import read
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; null or letterless text: und."""
+    return language_id.learn_and_predict(read(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that a document with a lesser id holds as well."""
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of a replica of all pages, laid out as WARC files."""
+    return fixity.audit_trial_replica(read(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of base rules and boosted trees on every document; null text: no words, not kept."""
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under word counts and under the recurrent model."""
+    return recurrent_lm.learn_and_score(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of encoded and decoded text of every document."""
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under shingle similarity of 0.75."""
+    return jaccard_join.link_components(read(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length bucket and batch of every document."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every vector whose id is divisible by 100."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return collision_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_merkle_audit": op3_merkle_audit,
     "op4_quality": op4_quality,
+    "op5_recurrent_lm": op5_recurrent_lm,
     "op6_bpe": op6_bpe,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_packing": op8_packing,
+    "op9_main_text": op9_main_text,
+    "op10_collision_ann": op10_collision_ann,
 }
 ORACLES: dict[str, str] = {}

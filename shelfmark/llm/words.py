@@ -115,11 +115,12 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(value + (end - start).astype(np.uint64) * _ODD)
 
 
-def split(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
+def split(raw: np.ndarray, at: np.ndarray, lower: bool = False, gap: np.ndarray = SPACE) -> Words:
+    """Runs of bytes outside the ``gap`` table."""
     if lower:
         raw = LOWER[raw]
     n = len(raw)
-    space = SPACE[raw]
+    space = gap[raw]
     cut = np.zeros(n + 1, bool)
     cut[at] = True
     before = np.ones(n, bool)
