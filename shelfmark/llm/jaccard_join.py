@@ -108,49 +108,50 @@ def like_sizes(a: F.Column, b: F.Column) -> F.Column:
     return (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
 
 
-def clusters(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Representatives brought together by bands: (rep, first leader), exact links found, and clusters by now."""
-    bands = classes.select("rep", "n", F.explode("bands").alias("band")).distinct()
+def clusters(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Representatives brought together by bands: (rep, first leader), and (rep, cluster) by exact links.
+
+    In each turn every bucket has a leader, each representative is compared with one leader of another
+    cluster, and the clusters that links connect become one.
+    """
+    bands = classes.select("rep", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", F.col("low").alias("leader"))
     near = stage(bands.join(shared, "band").select("band", "rep", "leader"), "jaccard-near")
     leaders = near.groupBy("rep").agg(F.min("leader").alias("leader"))
-    ids = stage(near.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-near-ids")
-    if ids.isEmpty():
-        return leaders, None, None
-    full = stage(token_sets(docs, ids), "jaccard-near-sets")
-    links, grouped = None, None
+    own = stage(near.select("rep", F.col("rep").alias("cluster")).distinct(), "jaccard-clusters")
+    if own.isEmpty():
+        return leaders, own
+    full = stage(token_sets(docs, own.select(F.col("rep").alias("doc_id"))), "jaccard-near-sets")
     for turn in range(ROUNDS):
-        rows = near.select("band", "rep")
-        if grouped is not None:
-            label = grouped.select(F.col("node").alias("rep"), "component")
-            rows = rows.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        else:
-            rows = rows.withColumn("component", F.col("rep"))
-        rank = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("leader"), F.col("component").alias("of"))
+        rows = near.select("band", "rep").join(own, "rep")
+        rank = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("leader"), F.col("cluster").alias("of"))
         chief = rows.groupBy("band").agg(F.min(rank).alias("c")).select("band", F.col("c.o").alias("o"), F.col("c.leader").alias("leader"), F.col("c.of").alias("of"))
-        pairs = rows.join(chief, "band").where(F.col("component") != F.col("of"))
-        pairs = pairs.groupBy("rep").agg(F.min(F.struct("o", "leader")).alias("c")).select(F.col("rep").alias("x"), F.col("c.leader").alias("y"))
-        found = pairs.join(full.alias("a"), F.col("x") == F.col("a.doc_id")).join(full.alias("b"), F.col("y") == F.col("b.doc_id"))
-        found = found.where(like_sizes(F.col("a.n"), F.col("b.n"))).where(linked("a", "b")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = stage(found, "jaccard-links")
-        links = found if links is None else links.union(found)
-        grouped = stage(components(links), "jaccard-clusters")
-    return leaders, links, grouped
+        pairs = rows.join(chief, "band").where(F.col("cluster") != F.col("of"))
+        pairs = pairs.groupBy("rep", "cluster").agg(F.min(F.struct("o", "leader", "of")).alias("c")).select("rep", "cluster", "c.leader", "c.of")
+        found = pairs.join(full.alias("a"), F.col("rep") == F.col("a.doc_id")).join(full.alias("b"), F.col("leader") == F.col("b.doc_id"))
+        found = found.where(like_sizes(F.col("a.n"), F.col("b.n"))).where(linked("a", "b"))
+        own = stage(merged(own, found.select(F.col("cluster").alias("a"), F.col("of").alias("b"))), "jaccard-clusters")
+    return leaders, own
+
+
+def merged(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep, cluster) after the clusters that edges (a, b) connect have become one."""
+    joined = components(edges).select(F.col("node").alias("cluster"), "component")
+    return own.join(joined, "cluster", "left").select("rep", F.coalesce("component", "cluster").alias("cluster"))
 
 
-def groups(classes: DataFrame, leaders: DataFrame, grouped: DataFrame | None) -> DataFrame:
+def groups(classes: DataFrame, leaders: DataFrame, own: DataFrame) -> DataFrame:
     """Every representative's group, with the group's least and largest set, and its cluster if it has just one."""
-    rows = classes.select("rep", "n").join(leaders, "rep", "left")
-    if grouped is None:
-        rows = rows.withColumn("component", F.lit(None).cast("long"))
-    else:
-        rows = rows.join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rows = classes.select("rep", "n").join(leaders, "rep", "left").join(own, "rep", "left")
+    rows = rows.withColumn("cluster", F.coalesce("cluster", "rep"))
+    alone = F.col("cluster") == F.col("rep")
+    first = F.when(alone, F.coalesce("leader", "rep")).otherwise(F.col("cluster"))
     alike = F.floor(F.log("n") / np.log(1.12))
-    rows = rows.withColumn("key", F.xxhash64(F.coalesce("component", "leader", "rep"), alike))
+    rows = rows.withColumn("key", F.xxhash64(first, alike))
     size = rows.groupBy("key").agg(F.count("*").alias("rows"))
     rows = rows.join(size, "key")
     cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / GROUP_ROWS))
-    rows = rows.withColumn("gid", F.xxhash64("key", cut)).withColumn("cluster", F.coalesce("component", "rep")).select("rep", "gid", "cluster", "n", "rows")
+    rows = rows.withColumn("gid", F.xxhash64("key", cut)).select("rep", "gid", "cluster", "n", "rows")
     info = rows.where("rows > 1").groupBy("gid").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cluster").alias("c_min"), F.max("cluster").alias("c_max"))
     many = F.col("n_min").isNotNull()
     return rows.join(info, "gid", "left").select(
@@ -214,14 +215,14 @@ def opened(matrix: DataFrame) -> DataFrame:
 
 
 def links_between(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact links between documents of opened groups."""
+    """Clusters (a, b) of opened groups between whose documents there is an exact link."""
     wanted = pairs.select(F.col("gid_a").alias("gid")).union(pairs.select("gid_b")).distinct()
     inside = stage(members.select("doc_id", "gid", "cluster").join(wanted, "gid", "left_semi"), "jaccard-members")
     full = stage(token_sets(docs, inside.select("doc_id").distinct()).join(inside, "doc_id"), "jaccard-sets")
     left = pairs.join(full.alias("a"), F.col("gid_a") == F.col("a.gid"))
     new = (F.col("a.cluster") != F.col("b.cluster")) & ((F.col("gid_a") != F.col("gid_b")) | (F.col("a.doc_id") < F.col("b.doc_id")))
     both = left.join(full.alias("b"), (F.col("gid_b") == F.col("b.gid")) & new & like_sizes(F.col("a.n"), F.col("b.n")))
-    return both.where(linked("a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    return both.where(linked("a", "b")).select(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -230,16 +231,16 @@ def link_components(docs: DataFrame) -> DataFrame:
     seen = stage(profiles(docs), "jaccard-profiles")
     alike = seen.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = stage(alike, "jaccard-classes")
-    leaders, links, grouped = clusters(docs, classes)
-    members = stage(groups(classes, leaders, grouped), "jaccard-groups")
+    leaders, own = clusters(docs, classes)
+    members = stage(groups(classes, leaders, own), "jaccard-groups")
     narrow = members.select("doc_id", "gid", "n_min", "n_max", "uniform")
-    own = with_narrow(docs, narrow, "doc_id")
-    matrix = prefixes(own, frequent_tokens(own))
+    told = with_narrow(docs, narrow, "doc_id")
+    matrix = prefixes(told, frequent_tokens(told))
     mixed = members.where("many and uniform is null").select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b")).distinct()
     pairs = stage(opened(matrix).union(mixed), "jaccard-opened")
-    found = stage(links_between(docs, members, pairs), "jaccard-links")
-    final = components(found if links is None else links.union(found))
-    of_class = classes.select("hi", "lo", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
+    found = links_between(docs, members, pairs)
+    final = merged(members.select(F.col("doc_id").alias("rep"), "cluster"), found)
+    of_class = classes.select("hi", "lo", "rep").join(final, "rep").select("hi", "lo", F.col("cluster").alias("component"))
     rows = seen.select("doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
