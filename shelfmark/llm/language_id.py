@@ -253,30 +253,43 @@ def learn(docs: DataFrame, path: str | None = None, per_language: int = SAMPLE_D
     return Model(languages, table, path)
 
 
+def _predictions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, predicted languages, scores)."""
+    names = np.array([*model.languages, UNDETERMINED], object)
+    for batch in batches:
+        for low, high, words in letter_words(batch.column("text")):
+            rows = batch.slice(low, high - low)
+            if not model.languages:
+                yield rows, np.full(len(rows), UNDETERMINED, object), np.zeros(len(rows))
+                continue
+            letters = pc.fill_null(pc.match_substring_regex(rows.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            total = model.text_scores(words)
+            odds = np.exp(np.clip(total - total.max(axis=1, keepdims=True), -700, 0))
+            yield rows, names[np.where(letters, total.argmax(axis=1), len(model.languages))], np.where(letters, 1 / odds.sum(axis=1), 0.0)
+
+
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, ``lang_pred`` and ``score`` (its share of the summed probabilities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            for low, high, words in letter_words(texts):
-                rows = batch.slice(low, high - low)
-                letters = pc.fill_null(pc.match_substring_regex(rows.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                if not model.languages:
-                    letters[:] = False
-                total = model.text_scores(words)
-                best = total.argmax(axis=1) if model.languages else np.zeros(len(rows), np.int64)
-                odds = np.exp(np.clip(total - total.max(axis=1, keepdims=True), -700, 0)) if model.languages else np.ones((len(rows), 1))
-                names = np.array([*model.languages, UNDETERMINED], object)[np.where(letters, best, len(model.languages))]
-                score = np.where(letters, 1 / odds.sum(axis=1), 0.0)
-                columns = [*(rows.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, [*carry, "lang_pred", "score"])
+        for rows, lang, score in _predictions(batches, model):
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carry), pa.array(lang, pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string, score double"])
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of documents whose language can be told, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lang, score in _predictions(batches, model):
+            yield rows.filter(pa.array((lang != UNDETERMINED) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Rows kept from learning; a null id is one of them."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))

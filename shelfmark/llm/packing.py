@@ -96,7 +96,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) ->
     first = counts.select("bucket", "shard", (F.sum("n").over(running) - F.col("n")).alias("first"))
     inside = Window.partitionBy("bucket", "shard").orderBy("row")
     place = F.col("first") + F.row_number().over(inside) - 1
-    padded = F.element_at(ends_sql, F.col("bucket") + 1)
+    padded = F.try_element_at(ends_sql, F.col("bucket") + 1)
     numbered = rows.join(first, ["bucket", "shard"]).withColumn("place", place).withColumn("padded_length", padded)
     capacity = F.greatest(F.floor(F.lit(budget) / F.col("padded_length")), F.lit(1)).cast("long")
     return numbered.select(

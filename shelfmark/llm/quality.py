@@ -235,3 +235,15 @@ def judge(docs: DataFrame, trees: Trees | None, keep_from: float = KEEP_FROM, ca
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"{c} long" for c in BASE), "base_failed boolean, score double, kept boolean"])
     return docs.select(*taken).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, trees: Trees | None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of documents that are kept, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, s in _slices(batches):
+            failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+            good = trees.probability(s["features"]) >= keep_from if trees else np.ones(len(rows), bool)
+            yield rows.filter(pa.array(~failed & good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -35,12 +35,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_narrow(wide: DataFrame, narrow: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def with_narrow(wide: DataFrame, narrow: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join rows that carry texts with a narrow staged table, without moving the texts if that is small.
 
-    The row count is measured; beyond ``BROADCAST_ROWS`` it is an ordinary shuffle join, with the
-    same result.
+    The row count is measured; beyond ``rows`` it is an ordinary shuffle join, with the same result.
     """
-    if narrow.count() <= BROADCAST_ROWS:
+    if narrow.count() <= rows:
         narrow = F.broadcast(narrow)
     return wide.join(narrow, on, how)
