@@ -42,7 +42,7 @@ WARM_RATE, RATE = 0.01, 0.003
 PIECE = 4_096
 #: Rows scored together, and outputs kept before they are reduced to probabilities.
 ROWS = 4_096
-OUTPUTS = 32_768
+OUTPUTS = 65_536
 END = np.uint64(0x0123456789ABCDEF)
 ADDED = 0.1
 
@@ -196,21 +196,25 @@ def input_table(p: Parameters) -> np.ndarray:
     return p["embed"] @ p["input"] + p["gate"]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each row (in place), and the logarithm of the one at a column."""
+    rows = np.arange(len(x))
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    chosen = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    return x, chosen - np.log(total)
 
 
 def log_probabilities(h: np.ndarray, target: np.ndarray, p: Parameters, lex: Lexicon, grad: Parameters | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target symbol; with ``grad``, adds gradients of the mean loss and returns that of h."""
     group = np.searchsorted(lex.class_start, target, "right") - 1
     rows = np.arange(len(target))
-    logs = _log_softmax(h @ p["classes"].T + p["class_bias"])
-    out = logs[rows, group].astype(np.float64)
+    d, out = _softmax(h @ p["classes"].T + p["class_bias"], group)
+    out = out.astype(np.float64)
     back = None
     if grad is not None:
-        d = np.exp(logs)
         d[rows, group] -= 1
         d /= len(target)
         back = d @ p["classes"]
@@ -224,11 +228,10 @@ def log_probabilities(h: np.ndarray, target: np.ndarray, p: Parameters, lex: Lex
             continue
         low, high = lex.class_start[c], lex.class_start[c + 1]
         some = h[mine]
-        logs = _log_softmax(some @ p["out"][low:high].T + p["out_bias"][low:high])
         at = target[mine] - low
-        out[mine] += logs[np.arange(len(mine)), at]
+        d, logs = _softmax(some @ p["out"][low:high].T + p["out_bias"][low:high], at)
+        out[mine] += logs
         if grad is not None:
-            d = np.exp(logs)
             d[np.arange(len(mine)), at] -= 1
             d /= len(target)
             back[mine] += d @ p["out"][low:high]
@@ -253,7 +256,7 @@ def window_gradient(p: Parameters, lex: Lexicon, h: np.ndarray, given: np.ndarra
         states.append(h)
     logs, back = log_probabilities(np.concatenate(states), target.T.ravel(), p, lex, grad)
     back = back.reshape(given.shape[1], given.shape[0], HIDDEN)
-    d_table = np.zeros_like(table)
+    inputs = np.empty((given.shape[1], given.shape[0], 3 * HIDDEN), h.dtype)
     carry = np.zeros_like(h)
     for t in range(given.shape[1] - 1, -1, -1):
         before, keep, reset, inner, new = kept[t]
@@ -263,14 +266,16 @@ def window_gradient(p: Parameters, lex: Lexicon, h: np.ndarray, given: np.ndarra
         d_reset = d_new * inner * reset * (1 - reset)
         d_inner = d_new * reset
         du = np.concatenate([d_keep, d_reset, d_inner], axis=1)
-        dx = np.concatenate([d_keep, d_reset, d_new], axis=1)
+        np.concatenate([d_keep, d_reset, d_new], axis=1, out=inputs[t])
         grad["inner"] += d_inner.sum(axis=0)
         grad["state"] += before.T @ du
-        np.add.at(d_table, given[:, t], dx)
         carry = (d * keep + du @ p["state"].T) * ~fresh[:, t, None]
-    grad["input"] = p["embed"].T @ d_table
-    grad["embed"] = d_table @ p["input"].T
-    grad["gate"] = d_table.sum(axis=0)
+    symbol, inputs = given.T.ravel(), inputs.reshape(-1, 3 * HIDDEN)
+    grad["input"] = p["embed"][symbol].T @ inputs
+    grad["gate"] = inputs.sum(axis=0)
+    order = np.argsort(symbol, kind="stable")
+    used, first = np.unique(symbol[order], return_index=True)
+    grad["embed"][used] = np.add.reduceat((inputs @ p["input"].T)[order], first, axis=0)
     return float(-logs.mean()), grad, h
 
 
