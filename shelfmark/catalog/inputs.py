@@ -10,22 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.pages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, per_task: int = 2_500) -> DataFrame:
+    """Narrow rows dealt by their number, before a page grows out of each."""
+    return rows.repartition(max(1, -(-rows.count() // per_task)), key)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given pages, ready for parsing."""
-    return spread(table(spark, sf_dir, "pages"))
+    """The given pages."""
+    return table(spark, sf_dir, "pages")
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns that links are derived from."""
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-    return spread(table(spark, sf_dir, "lineitem").select(*cols))
+    return table(spark, sf_dir, "lineitem").select(*cols)
 
 
 def pick(key: str, values, default: str | None = None) -> str:
@@ -375,29 +379,45 @@ PAGE_HTML = (
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One product snapshot per part; some without HTML."""
     html = f"CASE {K} % 101 WHEN 50 THEN NULL WHEN 51 THEN '' ELSE {PAGE_HTML} END"
-    return spread(table(spark, sf_dir, "part")).select(
+    return dealt(table(spark, sf_dir, "part"), K).select(
         F.col(K).alias("page_id"), F.expr(PAGE_URL).alias("url"), F.expr(html).alias("html")
     )
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product snapshots, some URLs with a second one: unreadable and earlier, or later and other."""
+    own = product_pages(spark, sf_dir)
+    earlier = own.filter("page_id % 7 = 2").select((-F.col("page_id")).alias("page_id"), "url", F.lit(None).cast("string").alias("html"))
+    later = own.filter("page_id % 7 = 3").select((F.col("page_id") + (1 << 40)).alias("page_id"), "url", F.lit("<h1>Later</h1>").alias("html"))
+    rows = earlier.unionByName(later)
+    return own.unionByName(rows.filter("abs(page_id) % 1099511627776 % 101 NOT IN (50, 51)"))
+
+
 HAS_VARIANT_PAGE = "(p_partkey + slot) % 3 <> 0"
+BAD_VARIANT_PAGE = "((p_partkey + slot) % 9 = 0)"
 VARIANT_TITLE = f"(p_name || ' v' || {text_of('slot')})"
 VARIANT_PRICE = f"({text_of('slot')} || '00')"
 VARIANT_PAGE_URL = f"('https://www.amazon.in/Item/dp/' || {option_asin('slot')})"
 
 
 def variant_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of the pages behind variant options; about a third are missing."""
+    """Snapshots of the pages behind variant options; about a third are missing or unreadable,
+    and some readable ones have an unreadable twin with a lesser URL."""
     html = (
         f"'<h1>' || {VARIANT_TITLE} || '</h1><b class=\"price\">' || {VARIANT_PRICE} || '</b>"
         f"<i id=\"bylineInfo\">' || p_brand || '</i><p class=\"seller-name\">' || {SHOP} || '</p>'"
     )
     slots = F.explode(F.sequence(F.lit(1), F.lit(SLOTS))).alias("slot")
-    rows = spread(table(spark, sf_dir, "part")).select("*", slots).filter(F.expr(HAS_VARIANT_PAGE))
+    every = dealt(table(spark, sf_dir, "part"), K).select("*", slots)
+    twin = f"{HAS_VARIANT_PAGE} AND (p_partkey + slot) % 5 = 1"
+    state = f"explode(CASE WHEN {twin} THEN array('good', 'twin') WHEN {HAS_VARIANT_PAGE} THEN array('good') WHEN {BAD_VARIANT_PAGE} THEN array('bad') ELSE array() END)"
+    rows = every.withColumn("state", F.expr(state))
+    url = f"CASE state WHEN 'twin' THEN 'https://www.amazon.in/A' ELSE {VARIANT_PAGE_URL} END"
+    html = f"CASE state WHEN 'good' THEN {html} END"
     return rows.select(
         F.expr(product_url()).alias("main_product_url"),
         F.expr(option_asin("slot")).alias("asin"),
-        F.expr(VARIANT_PAGE_URL).alias("url"),
+        F.expr(url).alias("url"),
         F.expr(html).alias("html"),
     )
 
@@ -422,7 +442,7 @@ LIMIT = pick("o_orderkey % 6", ["100", "0", "2", "NULL", "NULL", "3"])
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders")).select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("session_id"),
         F.expr(START_URL).alias("start_url"),
         F.col("o_orderdate").alias("session_ts"),
@@ -467,9 +487,8 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("pk"))
-        .repartition(spark.sparkContext.defaultParallelism)  # narrow rows, before they grow
     )
-    return lines.select(
+    return dealt(lines, "l_orderkey", 25_000).select(
         F.col("l_orderkey").alias("session_id"),
         F.col("l_linenumber").alias("page_no"),
         F.lit("https://www.amazon.in/s?k=q").alias("url"),

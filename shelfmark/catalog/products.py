@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import or_blank
-from ..operators.extract import extract_products, kept_products
+from ..operators.extract import extract_by_platform, extract_products, kept_products
 from ..operators.quarantine import split
 from ..operators.whitelist import label, trusted_only
-from ..plans.rules import AMAZON
+from ..functions.selectors import css_class, tag
+from ..plans.rules import AMAZON, PlatformRules
 from ..session import stage_path
 from ..sinks.tables import (
     product_rows,
     session_label,
-    write_bundle,
     write_csv,
     write_session_table,
 )
@@ -22,11 +21,11 @@ from ..sources.csv import read_products_csv
 from ..sources.pages import stream_pages
 from ..functions.urls import host
 from ..functions.platforms import detect
-from ..streaming.extract import read_totals, start_dual_sink, start_totals
+from ..streaming.extract import start_dual_sink
 from . import inputs as i
 from .urls import H1, HOST_SQL
 
-_FIELDS = ["product_url", "title", "price", "seller_name", "manufacturer_name", "image_url"]
+_FIELDS = schemas.PRODUCT_COLUMNS[:-1]
 
 _EXPECTED = (
     f"SELECT p_partkey AS page_id, {i.PAGE_URL} AS product_url, "
@@ -119,23 +118,6 @@ def csv_roundtrip(spark, sf):
     return read_products_csv(spark, path)
 
 
-def bundle_export(spark, sf):
-    """Both members of the bundle, counted by reading them back."""
-    products = label(kept_products(_extracted(spark, sf)), trusted_sellers(spark, sf))
-    variants = products.withColumns(
-        {"variant_product_url": F.col("product_url"), "main_product_url": F.col("product_url"),
-         "variant_price": F.col("price")}
-    ).filter("is_whitelisted = 'Whitelisted'")
-    paths = write_bundle(products, variants, stage_path(spark, "bundle"))
-    parts = [
-        spark.read.parquet(path).select(
-            F.lit(name).alias("member"), or_blank(F.col("title")).alias("title"), "is_whitelisted"
-        )
-        for name, path in paths.items()
-    ]
-    return parts[0].unionByName(parts[1])
-
-
 def session_layout(spark, sf):
     """Rows written into session folders and read back with their folder columns."""
     rows = i.table(spark, sf, "orders").select(
@@ -162,15 +144,25 @@ def stream_products(spark, sf):
     """The pages table read as a file stream and extracted batch by batch."""
     out = stage_path(spark, "stream-products")
     pages = stream_pages(spark, f"{sf}/pages.parquet")
-    start_dual_sink(pages, AMAZON, trusted_sellers(spark, sf), out).awaitTermination()
+    none = i.variant_pages(spark, sf).limit(0)
+    start_dual_sink(pages, none, AMAZON, trusted_sellers(spark, sf), out, f"{out}/checkpoint").awaitTermination()
     return product_rows(spark.read.parquet(f"{out}/products"))
 
 
-def stream_totals(spark, sf):
-    out = stage_path(spark, "stream-totals")
-    pages = stream_pages(spark, f"{sf}/pages.parquet")
-    start_totals(pages, AMAZON, out).awaitTermination()
-    return read_totals(spark, out)
+#: A second platform, plugged in for this query only.
+_OTHER = PlatformRules(name="flipkart", title=(tag("h2"),), price=(css_class("amount"),))
+_OTHER_HTML = "'<h1>no</h1><h2>' || p_name || '</h2><b class=\"amount\">' || CAST(p_size AS STRING) || '</b>'"
+
+
+def extract_by_platform_query(spark, sf):
+    """Pages of three platforms, two of which have rules."""
+    name = i.pick("p_partkey % 3", ["'amazon'", "'flipkart'", "'ebay'"])
+    html = f"CASE p_partkey % 3 WHEN 1 THEN {_OTHER_HTML} ELSE '<h1>' || p_name || '</h1><b class=\"price\">Rs 5</b>' END"
+    pages = i.dealt(i.table(spark, sf, "part"), "p_partkey").select(
+        F.col("p_partkey").alias("page_id"), F.expr(i.PAGE_URL).alias("url"), F.expr(html).alias("html"), F.expr(name).alias("platform")
+    )
+    out = extract_by_platform(pages, rules={"amazon": AMAZON, "flipkart": _OTHER})
+    return out.select("page_id", "platform", "product_url", "title", "price")
 
 
 _PAGE_ROWS = (
@@ -204,11 +196,6 @@ QUERIES = {
         + ", ".join(f"{x} AS {c}" for c, x in _AWKWARD.items())
         + " FROM part",
     ),
-    "bundle_export": (
-        bundle_export,
-        _LABELLED + "SELECT 'Products' AS member, title, is_whitelisted FROM l UNION ALL "
-        "SELECT 'Variants', title, is_whitelisted FROM l WHERE is_whitelisted = 'Whitelisted'",
-    ),
     "session_layout": (
         session_layout,
         f"WITH o AS (SELECT {i.START_URL} AS product_url, o_orderdate, o_orderpriority AS title FROM orders), "
@@ -223,9 +210,10 @@ QUERIES = {
         f"WITH w AS ({_LIST}), l AS (SELECT *, {_LABEL} AS is_whitelisted FROM ({_PAGE_ROWS}) WHERE title <> '') "
         f"SELECT {_SEVEN} FROM l",
     ),
-    "stream_totals": (
-        stream_totals,
-        f"SELECT {HOST_SQL.format(u='url')} AS domain, CAST(sum(CASE WHEN {H1} <> '' THEN 1 ELSE 0 END) AS BIGINT) "
-        "AS total_products, CAST(0 AS BIGINT) AS total_variants FROM pages GROUP BY 1",
+    "extract_by_platform": (
+        extract_by_platform_query,
+        f"SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'amazon' ELSE 'flipkart' END AS platform, {i.PAGE_URL} "
+        "AS product_url, p_name AS title, CASE p_partkey % 3 WHEN 0 THEN '₹5' ELSE CAST(p_size AS STRING) END AS price FROM "
+        "part WHERE p_partkey % 3 < 2",
     ),
 }

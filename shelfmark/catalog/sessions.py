@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.nodes import with_dom
 from ..functions.text import or_blank
 from ..functions.urls import canonical
-from ..operators.extract import extract_products
-from ..operators.joins import salted_join
+from ..operators.extract import extract_products, kept_products
 from ..operators.paging import has_next, listing_horizon, page_limit
 from ..operators.summary import (
     options_per_dimension,
@@ -16,7 +16,7 @@ from ..operators.summary import (
     session_totals,
     variants_per_product,
 )
-from ..operators.variants import QUARANTINE, dimensions, extract_variants, flatten_options
+from ..operators.variants import QUARANTINE, dimensions, extract_variants, flatten_options, split_variants, variant_states
 from ..plans.retail import (
     classify_sessions,
     listing_facts,
@@ -26,9 +26,13 @@ from ..plans.retail import (
     run,
     single_requests,
 )
+from ..operators.whitelist import label
 from ..plans.rules import AMAZON
-from ..session import stage
-from ..sinks.tables import variant_rows
+from ..session import stage, stage_path
+from ..sinks.tables import product_rows, variant_rows, write_bundle, write_variants
+from ..sources.csv import read_variants_csv
+from ..sources.pages import stream_pages
+from ..streaming.extract import read_totals, start_dual_sink, start_totals
 from . import inputs as i
 from .products import trusted_sellers
 
@@ -117,6 +121,62 @@ def products_with_variants(spark, sf):
     return products_with_variant_counts(products, found)
 
 
+def variant_quarantine(spark, sf):
+    """Options whose snapshot is missing or cannot be read, where both are set aside."""
+    records = extract_products(i.variant_pages(spark, sf), AMAZON)
+    states = variant_states(flatten_options(_mains(spark, sf)), records)
+    return split_variants(states, QUARANTINE)[1].select("url", "stage", "error")
+
+
+def variant_csv_roundtrip(spark, sf):
+    path = stage_path(spark, "variants-csv")
+    write_variants(_variants(spark, sf), path, "overwrite", "csv")
+    return read_variants_csv(spark, path)
+
+
+def bundle_export(spark, sf):
+    """Both members of the bundle read back: their rows, and whether each file is in order."""
+    mains = stage(_mains(spark, sf), "mains")
+    place = {"session_id": F.col("page_id"), "page_no": F.lit(1), "link_ord": F.lit(1)}
+    products = label(kept_products(mains.drop("dims")), trusted_sellers(spark, sf)).withColumns(place)
+    records = extract_products(i.variant_pages(spark, sf), AMAZON)
+    found = extract_variants(mains, records, keep=("page_id",)).withColumns(place)
+    paths = write_bundle(products, label(found, trusted_sellers(spark, sf)), stage_path(spark, "bundle"))
+    parts = []
+    for member, key in (("Products", "product_url"), ("Variants", "main_product_url")):
+        rows = spark.read.parquet(paths[member]).select("*", "_metadata.file_name", "_metadata.row_index")
+        before = F.lag(key).over(Window.partitionBy("file_name").orderBy("row_index"))
+        parts.append(
+            rows.select(
+                F.lit(member).alias("member"), F.col(key).alias("url"), "title", "is_whitelisted",
+                F.coalesce(before <= F.col(key), F.lit(True)).alias("in_order"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def _staged_pages(spark, sf):
+    """Product snapshots as a folder that a stream can watch, with the session that asked for them."""
+    path = stage_path(spark, "stream-input")
+    rows = i.product_pages(spark, sf).withColumn("session_id", F.col("page_id") % 50)
+    rows.write.parquet(path)
+    return stream_pages(spark, path, rows.schema, files_per_batch=4)
+
+
+def stream_variants(spark, sf):
+    """Variant table written batch by batch next to the products."""
+    out = stage_path(spark, "stream-variants")
+    pages, extra = _staged_pages(spark, sf), i.variant_pages(spark, sf)
+    start_dual_sink(pages, extra, AMAZON, trusted_sellers(spark, sf), out, f"{out}/checkpoint").awaitTermination()
+    return variant_rows(spark.read.parquet(f"{out}/variants"))
+
+
+def stream_totals(spark, sf):
+    out = stage_path(spark, "stream-totals")
+    start_totals(_staged_pages(spark, sf), AMAZON, out, f"{out}/checkpoint", by="session_id").awaitTermination()
+    return read_totals(spark, out, "session_id")
+
+
 # ---------------------------------------------------------------- listing pages
 
 
@@ -170,8 +230,8 @@ def product_requests(spark, sf):
 def listing_to_product(spark, sf):
     """Requests joined to product records; unmatched ones stay with a blank title."""
     requests = _requests(spark, sf).withColumn("key", canonical(F.col("requested_url")))
-    facts = one_per_url(product_facts(i.product_pages(spark, sf), AMAZON)).drop("dims")
-    joined = salted_join(requests, facts, ["key"], "left", ["session_id", "page_no", "link_ord"])
+    facts = one_per_url(product_facts(i.snapshots(spark, sf), AMAZON)).drop("dims")
+    joined = requests.join(facts, "key", "left")
     return joined.select(
         "session_id",
         "requested_url",
@@ -185,7 +245,7 @@ def _run(spark, sf):
     return run(
         i.sessions(spark, sf),
         i.listing_pages(spark, sf),
-        i.product_pages(spark, sf),
+        i.snapshots(spark, sf),
         i.variant_pages(spark, sf),
         trusted_sellers(spark, sf),
     )
@@ -227,14 +287,17 @@ def _state(hit: str, main: str) -> str:
     return f"coalesce(last_value(CASE WHEN {_HIT} THEN {hit} END IGNORE NULLS) {_W}, {main})"
 
 
-_VARIANTS = (
+_STATES = (
     f"SELECT p_partkey AS page_id, {_state(i.VARIANT_PAGE_URL, i.PAGE_URL)} AS variant_product_url, "
     f"{i.product_url()} AS main_product_url, {_state(i.VARIANT_TITLE, i.TITLE)} AS title, "
     f"{_state(chr(39) + '₹' + chr(39) + ' || ' + i.VARIANT_PRICE, i.FINAL_PRICE)} AS variant_price, "
     f"{_state(i.SHOP, i.SELLER)} AS seller_name, {_state('p_brand', i.MAKER)} AS manufacturer_name, "
     f"{_state(chr(39) * 2, i.IMAGE)} AS image_url, dim AS variant_type, name AS variant_option, "
-    f"{_CODE} AS variant_asin, NOT {_HIT} AS is_carried FROM {_OPTIONS}"
+    f"{_CODE} AS variant_asin, NOT {_HIT} AND NOT {i.BAD_VARIANT_PAGE} AS is_carried, coalesce(last_value(CASE WHEN {_HIT} "
+    f"THEN 0 WHEN {i.BAD_VARIANT_PAGE} THEN 1 END IGNORE NULLS) {_W}, 0) AS bad FROM {_OPTIONS}"
 )
+_VARIANTS = f"SELECT * EXCLUDE (bad) FROM ({_STATES}) WHERE bad = 0"
+_ASIDE_URL = f"({i.product_url()} || '#' || {_CODE})"
 _LISTING = f"({i.LISTING_SQL})"
 
 
@@ -319,11 +382,11 @@ QUERIES = {
     ),
     "variants_per_product": (
         variants_per_product_query,
-        f"SELECT {i.product_url()} AS main_product_url, count(*) AS n_variants FROM {_OPTIONS} GROUP BY 1",
+        f"SELECT main_product_url, count(*) AS n_variants FROM ({_VARIANTS}) GROUP BY 1",
     ),
     "products_with_variants": (
         products_with_variants,
-        f"WITH c AS (SELECT p_partkey, count(*) AS n FROM {_OPTIONS} GROUP BY 1) SELECT s.p_partkey AS page_id, "
+        f"WITH c AS (SELECT page_id AS p_partkey, count(*) AS n FROM ({_VARIANTS}) GROUP BY 1) SELECT s.p_partkey AS page_id, "
         f"{i.product_url('s.p_partkey')} AS requested_url, coalesce(n, 0) AS n_variants FROM {_SNAPSHOT} s "
         "LEFT JOIN c ON c.p_partkey = s.p_partkey WHERE title <> '' OR price <> ''",
     ),
@@ -359,14 +422,42 @@ QUERIES = {
         session_totals_query,
         "SELECT session_id, CAST(sum(p) AS BIGINT) AS total_products, CAST(sum(v) AS BIGINT) AS total_variants FROM "
         f"(SELECT session_id, 1 AS p, 0 AS v FROM {_S_PRODUCTS} UNION ALL SELECT session_id, 0, 1 FROM "
-        f"{_S_VARIANTS}) GROUP BY 1",
+        f"{_S_VARIANTS} UNION ALL SELECT o_orderkey, 0, 0 FROM orders) GROUP BY 1",
+    ),
+    "variant_quarantine": (
+        variant_quarantine,
+        f"SELECT {_ASIDE_URL} AS url, 'variant' AS stage, CASE WHEN {i.BAD_VARIANT_PAGE} THEN 'no html' ELSE "
+        f"'no snapshot' END AS error FROM {_OPTIONS} WHERE NOT {_HIT}",
+    ),
+    "variant_csv_roundtrip": (
+        variant_csv_roundtrip,
+        "SELECT variant_product_url, main_product_url, title, variant_price, seller_name, manufacturer_name, "
+        f"image_url, 'False' AS is_whitelisted FROM ({_VARIANTS})",
+    ),
+    "bundle_export": (
+        bundle_export,
+        f"SELECT 'Products' AS member, url, title, {_TRUST} AS is_whitelisted, true AS in_order FROM {_SNAPSHOT} WHERE "
+        f"title <> '' OR price <> '' UNION ALL SELECT 'Variants', main_product_url, title, {_TRUST}, true FROM "
+        f"({_VARIANTS})",
+    ),
+    "stream_variants": (
+        stream_variants,
+        f"SELECT variant_product_url, {i.PAGE_URL.replace('p_partkey', 'page_id')} AS main_product_url, title, "
+        f"variant_price, seller_name, manufacturer_name, image_url, {_TRUST} AS is_whitelisted FROM ({_VARIANTS})",
+    ),
+    "stream_totals": (
+        stream_totals,
+        f"WITH o AS (SELECT p_partkey, count(*) AS n FROM {_OPTIONS} GROUP BY 1) SELECT p_partkey % 50 AS session_id, "
+        "CAST(sum(CASE WHEN title <> '' OR price <> '' THEN 1 ELSE 0 END) AS BIGINT) AS total_products, "
+        f"CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_variants FROM {_SNAPSHOT} LEFT JOIN o USING (p_partkey) GROUP BY 1",
     ),
     "session_quarantine": (
         session_quarantine,
         f"SELECT s.p_partkey AS page_id, r.requested_url AS url, 'product' AS stage, CASE WHEN s.p_partkey IS NULL "
         f"THEN 'no snapshot' ELSE 'no html' END AS error FROM {_REQUESTS} r LEFT JOIN {_SNAPSHOT} s ON "
         "s.p_partkey = r.part WHERE s.p_partkey IS NULL OR s.p_partkey % 101 IN (50, 51) UNION ALL "
-        f"SELECT NULL, {i.START_URL}, 'session', 'page limit' FROM orders WHERE {i.SESSION_KIND} IN (0, 1, 2, 4, 5) "
-        f"AND {i.LIMIT} IS NULL",
+        f"SELECT NULL, {i.START_URL}, 'session', CASE WHEN {i.SESSION_KIND} IN (3, 6) THEN 'no rules' ELSE 'page limit' "
+        f"END FROM orders WHERE {i.SESSION_KIND} IN (3, 6) OR {i.LIMIT} IS NULL UNION ALL "
+        f"SELECT NULL, main_product_url || '#' || variant_asin, 'variant', 'no html' FROM ({_STATES}) WHERE bad = 1",
     ),
 }

@@ -39,14 +39,3 @@ def clean_maker(text: Column) -> Column:
     """Drop the leading label and colons, then cut at each stop marker."""
     bare = strip(F.btrim(strip(F.regexp_replace(text, MAKER_LABEL, "")), F.lit(":")))
     return reduce(lambda c, stop: strip(cut_before(c, stop)), MAKER_STOPS, bare)
-
-
-def image_url(raw: Column) -> Column:
-    """Accept ``http…`` and ``//…`` (made https); anything else is NULL."""
-    good = F.startswith(raw, F.lit("//")) | F.startswith(raw, F.lit("http"))
-    return F.when(good, strip(F.regexp_replace(raw, "^//", "https://")))
-
-
-def image_from_attrs(src: Column, data_src: Column, lazy_src: Column) -> Column:
-    """First non-empty attribute decides; its validity is tested afterwards."""
-    return image_url(F.coalesce(*[F.when(c != "", c) for c in (src, data_src, lazy_src)]))

@@ -16,7 +16,7 @@ from .text import BREAK
 _TOKEN = re.compile(
     r"<(?:(/?)([a-zA-Z][^\s/>]*)"
     r"((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?|[^>=])*+)>"
-    r"|!--(?:.*?-->|.*)|[!?][^>]*>)",
+    r"|!--(?:-?>|.*?--!?>|(.*))|[!?][^>]*>)",
     re.S,
 )
 _BROKEN_TAIL = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
@@ -210,9 +210,9 @@ def read_elements(html: str, wanted) -> tuple[list[list], dict[str, list[int]]]:
         if at > pos and (tree.readers or (stack and stack[-1][2] is not None)):
             tree.text(html[pos:at])
         pos = m.end()
-        closing, tag, raw = m.groups()
+        closing, tag, raw, unclosed = m.groups()
         if tag is None:
-            if html.startswith("<!--", at) and not html.endswith("-->", at + 4, pos):
+            if unclosed is not None:
                 pos = len(html)  # a comment without end
             continue
         tag = tag.lower()

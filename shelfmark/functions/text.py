@@ -28,21 +28,6 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(strip(c), _SPACES, " ")
 
 
-def blank_to_null(c: Column) -> Column:
-    """NULL for ''. Evaluates ``c`` once; NULLIF and CASE would evaluate it twice."""
-    return F.get(F.filter(F.array(c), lambda v: v != ""), F.lit(0))
-
-
-def clean_or_null(c: Column) -> Column:
-    """Collapsed text, NULL when nothing is left."""
-    return blank_to_null(collapse(c))
-
-
-def text_content(c: Column) -> Column:
-    """Node text without the line-break marks."""
-    return F.translate(c, BREAK, "")
-
-
 # The markup characters and their names, ampersand last.
 ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;|&#39;|&apos;", "'"), ("&amp;?", "&"))
 
@@ -58,11 +43,6 @@ def or_blank(*cs: Column) -> Column:
     return F.coalesce(*cs, F.lit(""))
 
 
-def replace_first(c: Column, literal: str) -> Column:
-    """Remove the first occurrence of ``literal`` only."""
-    return F.regexp_replace(c, "(?s)^(.*?)" + re.escape(literal), "$1")
-
-
 def cut_before(c: Column, marker: str) -> Column:
     return F.substring_index(c, marker, 1)
 

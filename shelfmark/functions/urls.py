@@ -91,8 +91,21 @@ def _parts(url: Column) -> Column:
     )
 
 
+def _authority(head: Column) -> Column:
+    """Scheme and host in lower case, the scheme's own port dropped; user info as it is."""
+    scheme = F.lower(F.regexp_extract(head, f"^({_SCHEME})?", 1))
+    user = F.regexp_extract(head, rf"^(?:{_SCHEME})?//([^/?#]*@)", 1)
+    place = F.lower(F.regexp_extract(head, rf"^(?:{_SCHEME})?//(?:[^/?#]*@)?(.*)$", 1))
+    plain = F.when(scheme == "http:", F.regexp_replace(place, ":(80)?$", "")).when(
+        scheme == "https:", F.regexp_replace(place, ":(443)?$", "")
+    )
+    return F.when(
+        F.contains(head, F.lit("//")), F.concat(scheme, F.lit("//"), user, F.coalesce(plain, place))
+    ).otherwise(F.lower(head))
+
+
 def _tidy(url: Column) -> Column:
-    """Lower-case scheme and host, give a path to bare hosts, drop dot segments."""
+    """Plain scheme and host, a path for bare hosts, no dot segments."""
 
     def whole(p):
         path = (
@@ -100,14 +113,14 @@ def _tidy(url: Column) -> Column:
             .when(p["path"].rlike("(^|/)[.]{1,2}(/|$)"), _drop_dots(p["path"]))
             .otherwise(p["path"])
         )
-        return let(F.concat(F.lower(p["head"]), path, p["rest"]), percent_encode)
+        return let(F.concat(_authority(p["head"]), path, p["rest"]), percent_encode)
 
     web = F.lower(url).rlike("^https?://")
     return F.when(web, let(_parts(url), whole)).otherwise(let(url, percent_encode))
 
 
 _SAFE = "[!#-;=?-~]*"
-_TIDY_URL = f"^https?://[a-z0-9.:-]+/{_SAFE}$"
+_TIDY_URL = f"^https?://[a-z0-9.-]+/{_SAFE}$"
 _TIDY_PATH = f"^/(?!/){_SAFE}$"
 
 
@@ -132,7 +145,7 @@ def _base(page_url: Column, base_href: Column | None) -> Column:
         page,
         lambda u: F.struct(
             u.alias("page"),
-            F.lower(F.regexp_extract(u, _HEAD, 1)).alias("head"),
+            _authority(F.regexp_extract(u, _HEAD, 1)).alias("head"),
             F.startswith(F.lower(u), F.lit("http")).alias("web"),
         ),
     )

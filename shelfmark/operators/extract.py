@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import clean_maker, clean_price, with_stock
 from ..functions.nodes import with_dom
-from ..functions.selectors import first_image, first_text
+from ..functions.selectors import Wanted, first_image, first_text
 from ..functions.text import or_blank
 from ..plans.rules import PlatformRules, registered
 
@@ -43,11 +43,10 @@ def found_fields(rules: PlatformRules, dom: str = "dom") -> dict[str, Column]:
     }
 
 
-def final_fields(rules: PlatformRules) -> dict[str, Column]:
+def final_fields(rupees: Column) -> dict[str, Column]:
     """Output fields from the found ones: clean price first, stock override second."""
     price = or_blank(F.col("price_raw"))
-    if rules.rupee_prices:
-        price = clean_price(price)
+    price = F.when(rupees, clean_price(price)).otherwise(price)
     return {
         "title": or_blank(F.col("title")),
         "price": with_stock(price, F.col("stock_text")),
@@ -78,7 +77,7 @@ def with_product(
     # inline() keeps later filters on the fields from being copied below this step,
     # where they would evaluate every selector list a second time.
     found_df = dom_df.select(*keep, F.inline(F.array(found)))
-    final = [c.alias(k) for k, c in final_fields(rules).items()]
+    final = [c.alias(k) for k, c in final_fields(F.lit(rules.rupee_prices)).items()]
     return found_df.select(*keep, "product_url", *final, "price_raw", *extra)
 
 
@@ -89,19 +88,28 @@ def extract_products(
     return with_product(with_dom(pages, rules.wanted_product(), html), rules, url)
 
 
-def extract_by_platform(pages: DataFrame, platform: str = "platform") -> DataFrame:
-    """``extract_products`` with the rules of each row's platform.
+def extract_by_platform(
+    pages: DataFrame,
+    platform: str = "platform",
+    rules: dict[str, PlatformRules] | None = None,
+    url: str = "url",
+) -> DataFrame:
+    """Product records with the rules of each row's platform, in one scan and one parse.
 
     Platforms without rules yield no rows.
     """
-    parts = [
-        extract_products(pages.filter(F.col(platform) == name), rules)
-        for name, rules in sorted(registered().items())
+    sets = sorted((registered() if rules is None else rules).items())
+    wanted = Wanted([s for _, r in sets for s in r.product_selectors()], PlatformRules.IMAGE_ATTRS)
+    dom = with_dom(pages.filter(F.col(platform).isin([n for n, _ in sets])), wanted)
+    keep = [c for c in dom.columns if c not in ("dom", url)]
+    own = [
+        F.when(F.col(platform) == n, F.struct(*[c.alias(k) for k, c in found_fields(r).items()]))
+        for n, r in sets
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = dom.select(*keep, or_blank(F.col(url)).alias("product_url"), F.inline(F.array(F.coalesce(*own))))
+    rupees = F.col(platform).isin([n for n, r in sets if r.rupee_prices])
+    final = [c.alias(k) for k, c in final_fields(rupees).items()]
+    return found.select(*keep, "product_url", *final, "price_raw")
 
 
 def kept_products(products: DataFrame) -> DataFrame:

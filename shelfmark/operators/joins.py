@@ -1,36 +1,13 @@
-"""Joins that keep their balance when one key holds a large part of the rows."""
+"""One row per key, chosen by an order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
 
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    salt_by: list[str] | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join of a large, possibly skewed ``left`` with a narrow ``right``.
-
-    Rows of a hot key on the left are spread over ``salts`` partitions by a hash of
-    ``salt_by`` (default: all other columns), and ``right`` is repeated once per salt.
-    The salt is a function of the row, so a lost task recomputes the same rows.
-    Use it where ``right`` holds few narrow rows per key; ``salts=1`` is the plain join,
-    for a left side known to have no hot keys.
-    """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(how)
-    if salts <= 1:
-        return left.join(right, on, how)
-    by = salt_by or [c for c in left.columns if c not in on]
-    salt = F.pmod(F.xxhash64(*by), F.lit(salts)) if by else F.lit(0).cast("bigint")
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    spread = left.withColumn("_salt", salt)
-    copies = right.withColumn("_salt", F.explode(numbers))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """The first row of each key. Every task cuts its rows to one per key before the shuffle,
+    so a key with very many rows stays cheap."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).filter("_place = 1").drop("_place")

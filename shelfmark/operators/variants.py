@@ -18,7 +18,8 @@ from ..functions.text import (
 from ..functions.urls import canonical
 from ..plans.rules import PlatformRules
 from .extract import FIELDS
-from .joins import SALTS, salted_join
+from .joins import first_rows
+from .quarantine import rejected
 
 UNKNOWN = "Unknown"
 CARRY, QUARANTINE = "carry_forward", "quarantine"
@@ -118,11 +119,15 @@ _STATE = ("product_url", *FIELDS, "parse_error")
 
 
 def one_per_option(records: DataFrame) -> DataFrame:
-    """Variant records keyed by (main page, ASIN); of several snapshots the first by URL."""
-    rec = F.struct(*_STATE)
-    return records.groupBy(canonical(F.col("main_product_url")).alias("main_key"), "asin").agg(
-        F.min_by(rec, F.col("product_url")).alias("variant")
-    )
+    """Variant records keyed by (main page, ASIN).
+
+    Of several snapshots a readable one counts before an unreadable one, then the lowest
+    URL, then a hash of the record.
+    """
+    key = canonical(F.col("main_product_url")).alias("main_key")
+    rows = records.select(key, "asin", F.struct(*_STATE).alias("variant"))
+    order = [F.col("variant.parse_error").isNotNull(), "variant.product_url", F.xxhash64("variant")]
+    return first_rows(rows, ["main_key", "asin"], order)
 
 
 def variant_states(
@@ -130,7 +135,6 @@ def variant_states(
     records: DataFrame,
     page: str = "page_id",
     main_url: str = "main_product_url",
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join every option to its snapshot and carry the last one over unmatched options.
 
@@ -138,10 +142,7 @@ def variant_states(
     state before any option is selected. A window covers one page's options only.
     """
     keyed = options.withColumn("main_key", canonical(F.col(main_url)))
-    by = [page, "dim_ord", "opt_ord"]
-    joined = salted_join(
-        keyed, one_per_option(records), ["main_key", "asin"], "left", by, salts
-    )
+    joined = keyed.join(one_per_option(records), ["main_key", "asin"], "left")
     w = (
         Window.partitionBy(page)
         .orderBy("dim_ord", "opt_ord")
@@ -176,6 +177,24 @@ def variant_records(
     )
 
 
+def split_variants(
+    states: DataFrame, on_missing: str = CARRY, main_url: str = "main_product_url", keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Variant records of joined options, and quarantine rows of the others.
+
+    An option whose state cannot be read yields no record but a quarantine row; so does an
+    option without snapshot if ``on_missing`` says so.
+    """
+    if on_missing not in (CARRY, QUARANTINE):
+        raise ValueError(on_missing)
+    error, found = F.col("state.parse_error"), states
+    if on_missing == QUARANTINE:
+        error = F.when(F.col("is_carried"), F.lit("no snapshot")).otherwise(error)
+        found = states.filter(~F.col("is_carried"))
+    aside = rejected(states.withColumn("_url", F.concat_ws("#", main_url, "asin")), "variant", error, url="_url")
+    return variant_records(found, main_url, keep), aside
+
+
 def extract_variants(
     mains: DataFrame,
     records: DataFrame,
@@ -183,17 +202,8 @@ def extract_variants(
     page: str = "page_id",
     main_url: str = "main_product_url",
     keep: tuple[str, ...] = (),
-    salts: int = SALTS,
 ) -> DataFrame:
     """Variants of product pages: ``mains`` with ``dims`` and product fields, joined to
-    the product records of variant snapshots (``main_product_url, asin, …``).
-
-    ``salts`` spreads main pages of which there are very many snapshots; 1 will do where
-    ``mains`` holds each URL once.
-    """
-    states = variant_states(flatten_options(mains), records, page, main_url, salts)
-    if on_missing == QUARANTINE:
-        states = states.filter(~F.col("is_carried"))
-    elif on_missing != CARRY:
-        raise ValueError(on_missing)
-    return variant_records(states, main_url, keep)
+    the product records of variant snapshots (``main_product_url, asin, …``)."""
+    states = variant_states(flatten_options(mains), records, page, main_url)
+    return split_variants(states, on_missing, main_url, keep)[0]

@@ -1,8 +1,8 @@
 """Labelling rows against the trusted-seller list.
 
-A name matches an entry when one contains the other, ignoring case. Two exact
-forms: an array literal inside the row expression for short lists, and an
-equi-join over substrings for lists of any size.
+A name matches an entry when one contains the other, ignoring case. A whitelist table of
+any size is matched by equality joins over substrings of the distinct names and entries;
+an explicit Python list can be put into the row expression itself.
 """
 
 from __future__ import annotations
@@ -10,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
-from .joins import salted_join
+from ..functions.text import let, strip
+from ..session import stage
 
 YES, NO = "Whitelisted", "False"
-#: Largest list that is put into the expression itself.
-MAX_LITERAL_ENTRIES = 500
-MAX_LITERAL_CHARS = 20_000
 
 
 def normal_name(name: Column) -> Column:
@@ -26,23 +23,26 @@ def normal_name(name: Column) -> Column:
 
 
 def matches_any(name: Column, entries: Column) -> Column:
-    """Does the name contain, or lie within, any entry of the lower-case array?"""
-    n = normal_name(name)
-    hit = F.exists(entries, lambda w: F.contains(n, w) | F.contains(w, n))
-    return F.coalesce(n.isNotNull() & hit, F.lit(False))
+    """Does the normal name contain, or lie within, any entry of the normal array?"""
+
+    def test(n):
+        hit = F.exists(entries, lambda w: F.contains(n, w) | F.contains(w, n))
+        return F.coalesce(n.isNotNull() & hit, F.lit(False))
+
+    return let(name, test)
 
 
 def label_expr(seller: Column, maker: Column, entries: Column) -> Column:
-    """Label by an array of entries (literal or column)."""
-    low = F.filter(F.transform(entries, normal_name), lambda w: w.isNotNull())
-    hit = matches_any(seller, low) | matches_any(maker, low)
+    """Label by an array of normal entries (literal or column)."""
+    hit = matches_any(normal_name(seller), entries) | matches_any(normal_name(maker), entries)
     return F.when(hit, F.lit(YES)).otherwise(F.lit(NO))
 
 
 def label_with_list(
     df: DataFrame, entries: list[str], seller: str = "seller_name", maker: str = "manufacturer_name"
 ) -> DataFrame:
-    arr = F.array(*[F.lit(e) for e in entries]).cast("array<string>")
+    """Label by a short explicit list; entries are made normal once, when the plan is made."""
+    arr = F.array_compact(F.array(*[normal_name(F.lit(e)) for e in entries])) if entries else F.array().cast("array<string>")
     return df.withColumn("is_whitelisted", label_expr(F.col(seller), F.col(maker), arr))
 
 
@@ -58,35 +58,25 @@ def matching_names(names: DataFrame, whitelist: DataFrame) -> DataFrame:
         .filter(F.col("sub").isNotNull())
         .distinct()
     )
-    # One row holding the distinct entry lengths: at most as many as the longest
-    # entry has characters.
+    # One row each holding distinct lengths: at most as many as the longest has characters.
     lengths = entries.agg(F.sort_array(F.collect_set(F.length("sub"))))
-    pieces = (
-        names.select("name", F.explode(lengths.scalar()).alias("len"))
-        .filter(F.col("len") <= F.length("name"))
-        .select(
-            "name",
-            "len",
-            F.explode(F.sequence(F.lit(1), F.length("name") - F.col("len") + 1)).alias("at"),
-        )
-        .select("name", F.substring(F.col("name"), F.col("at"), F.col("len")).alias("sub"))
-    )
-    holds_entry = salted_join(pieces, entries, ["sub"], "left_semi", ["name"]).select("name")
-    inner = (
-        entries.select("sub", F.explode(F.sequence(F.lit(1), F.length("sub"))).alias("at"))
-        .select(
-            "sub",
-            "at",
-            F.explode(F.sequence(F.lit(1), F.length("sub") - F.col("at") + 1)).alias("len"),
-        )
-        .select(F.substring(F.col("sub"), F.col("at"), F.col("len")).alias("name"))
-        .distinct()
-    )
+    name_lengths = names.agg(F.sort_array(F.collect_set(F.length("name"))))
+
+    def pieces(df: DataFrame, text: str, lens: DataFrame) -> DataFrame:
+        """Distinct substrings of ``text`` that have one of the lengths."""
+        cut = df.select(text, F.explode(lens.scalar()).alias("len")).filter(F.col("len") <= F.length(text))
+        places = F.sequence(F.lit(1), F.length(text) - F.col("len") + 1)
+        cut = cut.select(text, "len", F.explode(places).alias("at"))
+        return cut.select(text, F.substring(F.col(text), F.col("at"), F.col("len")).alias("piece"))
+
+    own = pieces(names, "name", lengths)
+    holds_entry = own.join(entries, own["piece"] == entries["sub"], "left_semi").select("name")
+    inner = pieces(entries, "sub", name_lengths).select(F.col("piece").alias("name")).distinct()
     lies_in_entry = names.join(inner, "name", "left_semi")
     return holds_entry.unionByName(lies_in_entry).distinct()
 
 
-def label_with_table(
+def label(
     df: DataFrame,
     whitelist: DataFrame,
     seller: str = "seller_name",
@@ -94,10 +84,12 @@ def label_with_table(
 ) -> DataFrame:
     """Label by a whitelist table of any size: no broadcast, no nested loop.
 
-    Names are deduplicated before matching, pairs of names before labelling; the rows
-    themselves are joined once, with hot name pairs salted.
+    The narrow rows are staged, so that what they were cut out of is read once. Names are
+    deduplicated before matching, pairs of names before labelling; the rows themselves are
+    joined once.
     """
-    keyed = df.withColumns(
+    rows = stage(df, "label-rows")
+    keyed = rows.withColumns(
         {
             "_seller": F.coalesce(normal_name(F.col(seller)), F.lit("")),
             "_maker": F.coalesce(normal_name(F.col(maker)), F.lit("")),
@@ -110,32 +102,11 @@ def label_with_table(
         .distinct()
     )
     hits = matching_names(names, whitelist)
-    sides = [
-        salted_join(pairs, hits.withColumnRenamed("name", side), [side], "left_semi", [other])
-        for side, other in (("_seller", "_maker"), ("_maker", "_seller"))
-    ]
-    good = sides[0].unionByName(sides[1].select("_seller", "_maker")).distinct()
-    good = good.withColumn("_hit", F.lit(True))
-    out = salted_join(keyed, good, ["_seller", "_maker"], "left")
-    label = F.when(F.col("_hit"), F.lit(YES)).otherwise(F.lit(NO))
-    return out.withColumn("is_whitelisted", label).drop("_seller", "_maker", "_hit")
-
-
-def label(
-    df: DataFrame,
-    whitelist: DataFrame,
-    seller: str = "seller_name",
-    maker: str = "manufacturer_name",
-) -> DataFrame:
-    """Label with the form that fits the measured size of the list."""
-    entries = whitelist.select(strip(F.col("entry")).alias("entry")).filter("entry <> ''").distinct()
-    n, chars = entries.agg(F.count("*"), F.sum(F.length("entry"))).first()
-    if n == 0:
-        return df.withColumn("is_whitelisted", F.lit(NO))
-    if n <= MAX_LITERAL_ENTRIES and chars <= MAX_LITERAL_CHARS:
-        literal = [r.entry for r in entries.limit(MAX_LITERAL_ENTRIES).collect()]
-        return label_with_list(df, literal, seller, maker)
-    return label_with_table(df, whitelist, seller, maker)
+    sides = [pairs.join(hits.withColumnRenamed("name", side), side, "left_semi") for side in ("_seller", "_maker")]
+    good = sides[0].unionByName(sides[1]).distinct().withColumn("_hit", F.lit(True))
+    out = keyed.join(good, ["_seller", "_maker"], "left")
+    text = F.when(F.col("_hit"), F.lit(YES)).otherwise(F.lit(NO))
+    return out.withColumn("is_whitelisted", text).select(*rows.columns, "is_whitelisted")
 
 
 def trusted_only(df: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nodes import with_dom
@@ -12,23 +12,20 @@ from ..functions.platforms import detect
 from ..functions.urls import canonical, host, is_single_product
 from ..operators import quarantine as quarantine_ops
 from ..operators.extract import extract_products, kept_products, with_product
-from ..operators.joins import salted_join
+from ..operators.joins import first_rows
 from ..operators.links import page_product_links
 from ..operators.paging import has_next, listing_horizon, page_limit
 from ..operators.summary import session_totals
-from ..operators.variants import CARRY, dimensions, extract_variants
+from ..operators.variants import CARRY, dimensions, flatten_options, split_variants, variant_states
 from ..operators.whitelist import label
 from ..session import stage
 from ..sources.platforms import supports_variants, with_platform_facts
 from .rules import PlatformRules, rules_for
 
 
-@dataclass(frozen=True)
-class Result:
-    products: DataFrame
-    variants: DataFrame
-    quarantine: DataFrame
-    totals: DataFrame
+def on_platform(rules: PlatformRules, url: str = "url") -> Column:
+    """Is the snapshot of the rules' platform? Tested before anything is parsed."""
+    return detect(host(F.col(url))) == rules.name
 
 
 def classify(df: DataFrame, url: str = "url") -> DataFrame:
@@ -57,7 +54,7 @@ def single_requests(sessions: DataFrame) -> DataFrame:
 
 def listing_facts(listing_pages: DataFrame, rules: PlatformRules) -> DataFrame:
     """Product links and next-page flag of listing snapshots; the HTML ends here."""
-    dom = with_dom(listing_pages, rules.wanted_listing())
+    dom = with_dom(listing_pages.filter(on_platform(rules)), rules.wanted_listing())
     found = F.struct(
         page_product_links(rules).alias("links"), has_next(rules).alias("has_next")
     )
@@ -82,8 +79,7 @@ def product_facts(pages: DataFrame, rules: PlatformRules) -> DataFrame:
     Only pages of the rules' platform are parsed. HTML is never shuffled: records
     are cut out first and joined afterwards.
     """
-    site = pages.filter(detect(host(F.col("url"))) == rules.name)
-    dom = with_dom(site, rules.wanted_product_and_variants())
+    dom = with_dom(pages.filter(on_platform(rules)), rules.wanted_product_and_variants())
     return with_product(dom, rules, dims=dimensions(rules))
 
 
@@ -101,11 +97,89 @@ _FACTS = (
 
 
 def one_per_url(facts: DataFrame) -> DataFrame:
-    """One record per canonical URL: the snapshot with the lowest page_id."""
+    """One record per canonical URL: a readable snapshot before an unreadable one, then the
+    lowest page_id."""
     asked = "requested_url" if "requested_url" in facts.columns else "product_url"
-    return facts.groupBy(canonical(F.col(asked)).alias("key")).agg(
-        F.min_by(F.struct(*_FACTS), F.col("page_id")).alias("f")
-    ).select("key", "f.*")
+    rows = facts.select(canonical(F.col(asked)).alias("key"), *_FACTS)
+    order = [F.col("parse_error").isNotNull(), "page_id", F.xxhash64("product_url", "title", "price")]
+    return first_rows(rows, ["key"], order)
+
+
+class Result:
+    """Outputs of the flow for one platform. Each is planned when it is asked for; what several
+    of them read is staged the first time, so one output does not pay for the others."""
+
+    def __init__(self, sessions, listing_pages, pages, variant_pages, whitelist, rules, on_missing, with_variants):
+        self._sessions = classify_sessions(sessions)
+        self._listing_pages, self._pages, self._variant_pages = listing_pages, pages, variant_pages
+        self._whitelist, self._rules = whitelist, rules
+        self._on_missing, self._with_variants = on_missing, with_variants
+
+    @cached_property
+    def _own(self) -> DataFrame:
+        """Sessions of the platform."""
+        return self._sessions.filter(F.col("platform") == self._rules.name)
+
+    @cached_property
+    def _listings(self) -> DataFrame:
+        return stage(listing_facts(self._listing_pages, self._rules), "listing-facts")
+
+    @cached_property
+    def _requests(self) -> DataFrame:
+        found = single_requests(self._own).unionByName(listing_requests(self._listings, self._own))
+        return stage(found.withColumn("key", canonical(F.col("requested_url"))), "requests")
+
+    @cached_property
+    def _facts(self) -> DataFrame:
+        return stage(one_per_url(product_facts(self._pages, self._rules)), "product-facts")
+
+    @cached_property
+    def _states(self) -> DataFrame:
+        """Options of all product pages with the state they select."""
+        site = self._variant_pages.filter(on_platform(self._rules))
+        records = extract_products(site, self._rules)
+        mains = self._facts.filter("size(dims) > 0").withColumn("main_product_url", F.col("key"))
+        mains = mains.filter(F.lit(self._with_variants))
+        return stage(variant_states(flatten_options(mains), records), "variants")
+
+    def _requested(self, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumnRenamed("main_product_url", "key")
+        found = self._requests.join(rows, "key")
+        return found.withColumnRenamed("requested_url", "main_product_url").drop("key")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        labelled = label(self._facts.filter("parse_error IS NULL").drop("dims"), self._whitelist)
+        opened = self._requests.join(labelled, "key")
+        return kept_products(opened).drop("key", "page_id", "parse_error")
+
+    @cached_property
+    def variants(self) -> DataFrame:
+        found, _ = split_variants(self._states, self._on_missing)
+        return self._requested(label(found, self._whitelist))
+
+    @cached_property
+    def quarantine(self) -> DataFrame:
+        opened = self._requests.join(self._facts.select("key", "page_id", "parse_error"), "key", "left")
+        missing = F.when(F.col("page_id").isNull(), F.lit("no snapshot")).otherwise(F.col("parse_error"))
+        bad = F.when(~F.col("has_rules"), F.lit("no rules")).when(F.col("page_limit").isNull(), F.lit("page limit"))
+        rows = (
+            quarantine_ops.rejected(opened, "product", missing, F.col("page_id"), "requested_url")
+            .unionByName(quarantine_ops.rejected(self._listings, "listing", F.col("parse_error")))
+            .unionByName(quarantine_ops.rejected(self._sessions, "session", bad, url="start_url"))
+        )
+        return rows.unionByName(self.variant_quarantine)
+
+    @cached_property
+    def variant_quarantine(self) -> DataFrame:
+        return split_variants(self._states, self._on_missing)[1]
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """Of every session, also of those that found nothing."""
+        variants = self._requested(split_variants(self._states, self._on_missing)[0])
+        opened = self._requests.join(self._facts.filter("parse_error IS NULL"), "key")
+        return session_totals(self._sessions, kept_products(opened), variants)
 
 
 def run(
@@ -120,37 +194,10 @@ def run(
 ) -> Result:
     """Both flows for one platform; rows of all sessions and pages are appended.
 
-    Narrow tables that several outputs read are staged: listing facts, requests, product
-    facts and variants. Variants are always looked for unless ``check_variant_support`` asks
-    to heed the platform dimension.
+    Variants are always looked for unless ``check_variant_support`` asks to heed the
+    platform dimension.
     """
-    rules = rules_for(platform)
-    sess = classify_sessions(sessions).filter(F.col("platform") == platform)
-    lfacts = stage(listing_facts(listing_pages, rules), "listing-facts")
-    requests = single_requests(sess).unionByName(listing_requests(lfacts, sess))
-    requests = stage(requests.withColumn("key", canonical(F.col("requested_url"))), "requests")
-
-    facts = stage(one_per_url(product_facts(pages, rules)), "product-facts")
-    order = ["session_id", "page_no", "link_ord"]
-    labelled = label(facts.drop("dims"), whitelist)
-    opened = salted_join(requests, labelled, ["key"], "left", order)
-    products = kept_products(opened.filter("parse_error IS NULL")).drop("key", "page_id", "parse_error")
-
-    records = extract_products(variant_pages, rules)
-    mains = facts.filter("size(dims) > 0").withColumn("main_product_url", F.col("key"))
-    if check_variant_support:
-        mains = mains.filter(F.lit(supports_variants(platform)))
-    variants = extract_variants(mains, records, on_missing, salts=1)  # mains: one per URL
-    variants = label(stage(variants, "variants"), whitelist)
-    variants = variants.withColumnRenamed("main_product_url", "key")
-    variants = salted_join(requests, variants, ["key"], "inner", order)
-    variants = variants.withColumnRenamed("requested_url", "main_product_url").drop("key")
-
-    missing = F.when(F.col("page_id").isNull(), F.lit("no snapshot")).otherwise(F.col("parse_error"))
-    bad_limit = F.when(F.col("page_limit").isNull(), F.lit("page limit"))
-    quarantine = (
-        quarantine_ops.rejected(opened, "product", missing, F.col("page_id"), "requested_url")
-        .unionByName(quarantine_ops.rejected(lfacts, "listing", F.col("parse_error")))
-        .unionByName(quarantine_ops.rejected(sess, "session", bad_limit, url="start_url"))
+    with_variants = supports_variants(platform) or not check_variant_support
+    return Result(
+        sessions, listing_pages, pages, variant_pages, whitelist, rules_for(platform), on_missing, with_variants
     )
-    return Result(products, variants, quarantine, session_totals(products, variants))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Headers of the two output tables.
 PRODUCT_COLUMNS = (
     "product_url",
     "title",
@@ -23,8 +24,6 @@ VARIANT_COLUMNS = (
     "image_url",
     "is_whitelisted",
 )
-#: Kept in the internal variant table, projected away at the sink.
-VARIANT_EXTRAS = ("price", "product_url", "variant_type", "variant_option", "variant_asin")
 
 
 def _strings(names) -> T.StructType:

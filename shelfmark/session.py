@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,28 +25,23 @@ def builder(app: str = "shelfmark") -> SparkSession.Builder:
     return b
 
 
-def apply_conf(spark: SparkSession) -> SparkSession:
-    """Put the runtime settings on a session somebody else built."""
-    for k, v in CONF.items():
-        spark.conf.set(k, v)
-    return spark
-
-
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, local runs) a local folder is made
-    and set, once per session.
+    Only a local master (tests, benchmarks) may go without: a local folder is then made
+    and set, once per session. On a cluster executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="shelfmark-stage-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(stage_root(spark), "shelfmark", f"{name}-{uuid.uuid4().hex}")
+    return f"{stage_root(spark).rstrip('/')}/shelfmark/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

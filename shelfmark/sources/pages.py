@@ -11,16 +11,6 @@ def read_pages(spark: SparkSession, path: str, schema=schemas.PAGES) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a plain file scan one partition per core if it has fewer.
-
-    Parsing is the costly step, and a small table in one file would be parsed by one
-    task. A table of many files is left alone: its HTML is not shuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def stream_pages(
     spark: SparkSession, path: str, schema=schemas.PAGES, files_per_batch: int | None = None, **options
 ) -> DataFrame:
@@ -29,11 +19,11 @@ def stream_pages(
     Without ``files_per_batch`` a batch takes all new files; set it to bound a batch.
     """
     reader = spark.readStream.schema(schema)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.getFileStatus(where).isFile():  # a stream reads folders: pick the file in its folder
-        reader = reader.option("pathGlobFilter", where.getName())
-        path = where.getParent().toString()
+    listed = spark.read.format("binaryFile").load(path).select("path").limit(1).first()
+    if listed and listed.path.rstrip("/").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1]):
+        # one file: a stream reads folders, so pick the file in its folder
+        folder, name = path.rstrip("/").rsplit("/", 1)
+        reader, path = reader.option("pathGlobFilter", name), folder
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.options(**options).parquet(path)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.nodes import with_dom
 from ..functions.urls import host
-from ..operators.extract import keep_record, kept_products, with_product
-from ..operators.variants import dimensions, flatten_options
+from ..operators.extract import extract_products, keep_record, kept_products, with_product
+from ..operators.variants import CARRY, dimensions, flatten_options, split_variants, variant_states
 from ..operators.whitelist import label
 from ..plans.rules import PlatformRules
-from ..session import stage_path
+from ..sinks.tables import product_rows, variant_rows
 
 
 def page_records(pages: DataFrame, rules: PlatformRules) -> DataFrame:
@@ -22,44 +22,40 @@ def page_records(pages: DataFrame, rules: PlatformRules) -> DataFrame:
     )
 
 
-def option_rows(records: DataFrame) -> DataFrame:
-    """Variant options announced on the pages, with the page's record."""
-    return flatten_options(records.withColumn("main_product_url", F.col("product_url")))
-
-
 def start_dual_sink(
     pages: DataFrame,
+    variant_pages: DataFrame,
     rules: PlatformRules,
     whitelist: DataFrame,
     out: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     once: bool = True,
+    on_missing: str = CARRY,
 ) -> StreamingQuery:
-    """Append products, then variant options, of every micro-batch under ``out``.
+    """Append products, then their variants, then quarantine rows of every micro-batch.
 
-    Each batch writes to folders named by its id and replaces them, so a batch that is
-    run again after a crash leaves the same rows. Pages are parsed once per batch.
+    ``variant_pages`` is a table of snapshots, read anew in every batch. Each batch writes to
+    folders named by its id and replaces them, and ``checkpoint`` remembers which batches
+    are done, so a restart neither loses nor repeats rows. Pages are parsed once per batch.
     """
-    spark = pages.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.persist()
-        records = label(parsed, whitelist)
         try:
-            kept_products(records).drop("dims").write.mode("overwrite").parquet(
-                f"{out}/products/batch={batch_id}"
-            )
-            option_rows(records).write.mode("overwrite").parquet(
-                f"{out}/options/batch={batch_id}"
-            )
+            mains = parsed.filter("parse_error IS NULL").withColumn("main_product_url", F.col("product_url"))
+            states = variant_states(flatten_options(mains), extract_products(variant_pages, rules))
+            variants, aside = split_variants(states, on_missing)
+            outputs = {
+                "products": product_rows(label(kept_products(parsed).drop("dims"), whitelist)),
+                "variants": variant_rows(label(variants, whitelist)),
+                "quarantine": aside,
+            }
+            for name, rows in outputs.items():
+                rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
         finally:
             parsed.unpersist()
 
-    writer = (
-        page_records(pages, rules)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or stage_path(spark, "stream-checkpoint"))
-    )
+    writer = page_records(pages, rules).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
@@ -67,17 +63,21 @@ def start_totals(
     pages: DataFrame,
     rules: PlatformRules,
     out: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     once: bool = True,
+    by: str = "domain",
 ) -> StreamingQuery:
-    """Running product and variant totals per domain; each batch writes what changed."""
-    spark = pages.sparkSession
+    """Running product and variant totals per session or domain; each batch writes what changed.
+
+    ``by`` is a column of the pages, such as ``session_id``, or ``domain``.
+    """
     records = page_records(pages, rules)
+    key: Column = host(F.col("product_url")) if by == "domain" else F.col(by)
     is_product = keep_record(F.col("title"), F.col("price")).cast("bigint")
     options = F.aggregate(
         "dims", F.lit(0).cast("bigint"), lambda n, d: n + F.size(d["options"]).cast("bigint")
     )
-    totals = records.groupBy(host(F.col("product_url")).alias("domain")).agg(
+    totals = records.groupBy(key.alias(by)).agg(
         F.sum(is_product).alias("total_products"),
         F.sum(F.coalesce(options, F.lit(0).cast("bigint"))).alias("total_variants"),
     )
@@ -85,16 +85,12 @@ def start_totals(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/totals/batch={batch_id}")
 
-    writer = (
-        totals.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint or stage_path(spark, "stream-checkpoint"))
-    )
+    writer = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def read_totals(spark: SparkSession, out: str) -> DataFrame:
-    """Latest totals of each domain."""
+def read_totals(spark: SparkSession, out: str, by: str = "domain") -> DataFrame:
+    """Latest totals of each session or domain."""
     rows = spark.read.parquet(f"{out}/totals")
     latest = F.max_by(F.struct("total_products", "total_variants"), F.col("batch"))
-    return rows.groupBy("domain").agg(latest.alias("t")).select("domain", "t.*")
+    return rows.groupBy(by).agg(latest.alias("t")).select(by, "t.*")

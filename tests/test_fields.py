@@ -14,7 +14,8 @@ from shelfmark.functions.selectors import (
     has,
     tag,
 )
-from shelfmark.functions.text import collapse, replace_first, strip
+from shelfmark.functions.text import collapse, strip
+from shelfmark.operators.variants import _drop_first
 from shelfmark.operators.extract import extract_products, kept_products
 from shelfmark.operators.quarantine import split
 from shelfmark.plans.rules import AMAZON
@@ -30,7 +31,7 @@ def test_text_helpers(evaluate):
     texts = ["\xa0 a   b\n", "\x1c\x1dx\x1f", " \t ", "ok"]
     assert evaluate(texts, strip) == [t.strip() for t in texts]
     assert evaluate(texts, collapse) == [" ".join(t.split()) for t in texts]
-    assert evaluate(["size_name_name", "x", "_name"], lambda c: replace_first(c, "_name")) == [
+    assert evaluate(["size_name_name", "x", "_name"], lambda c: F.expr(_drop_first("a", "_name"))) == [
         "size_name",
         "x",
         "",

@@ -24,7 +24,6 @@ from shelfmark.sources.csv import read_products_csv
 from shelfmark.sources.pages import stream_pages
 from shelfmark.sources.whitelist import from_setting
 from shelfmark.streaming.extract import (
-    option_rows,
     page_records,
     read_totals,
     start_dual_sink,
@@ -114,11 +113,12 @@ def test_variants(result):
 
 def test_totals_and_quarantine(result):
     totals = {r.session_id: (r.total_products, r.total_variants) for r in result.totals.collect()}
-    assert totals == {1: (3, 2), 2: (1, 2)}
+    assert totals == {1: (3, 2), 2: (1, 2), 3: (0, 0), 4: (0, 0)}
     bad = sorted((r.stage, r.url, r.error) for r in result.quarantine.collect())
     assert bad == [
         ("product", f"{SITE}/p/dp/B000000003", "no snapshot"),
         ("session", f"{SITE}/s?k=z", "page limit"),
+        ("session", "https://www.flipkart.com/s", "no rules"),
     ]
 
 
@@ -201,24 +201,63 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     src, out, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
     batch = write_parts(spark, src)
     wl = from_setting(spark, "Nike")
-    for _ in range(2):  # the second start finds nothing new
-        stream = stream_pages(spark, src, files_per_batch=1)
-        start_dual_sink(stream, AMAZON, wl, out, mark).awaitTermination()
-        records = label(page_records(batch, AMAZON), wl)
-        want = kept_products(records).drop("dims")
-        got = spark.read.parquet(out + "/products").drop("batch").select(*want.columns)
+    extra = [(f"{SITE}/dp/B000000001", "B000000012", f"{SITE}/dp/B000000012", product("Blue"))]
+    extra += [(f"{SITE}/dp/B000000002", "B000000011", f"{SITE}/dp/B000000011", None)]
+    extra = spark.createDataFrame(extra, schemas.VARIANT_PAGES)
+    for files in (1, 3):  # the second start, with another batch size, finds nothing new
+        stream = stream_pages(spark, src, files_per_batch=files)
+        start_dual_sink(stream, extra, AMAZON, wl, out, mark).awaitTermination()
+        records = label(page_records(batch, AMAZON).drop("dims"), wl)
+        want = product_rows(kept_products(records))
+        got = spark.read.parquet(out + "/products").drop("batch")
         assert got.count() == want.count() == 53
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-        want = option_rows(records)
-        got = spark.read.parquet(out + "/options").drop("batch").select(*want.columns)
-        assert got.count() == 6 and got.exceptAll(want).isEmpty()
+        got = spark.read.parquet(out + "/variants").drop("batch")
+        assert got.columns == list(schemas.VARIANT_COLUMNS)
+        assert sorted(r.title for r in got.collect()) == ["Blue", "T0", "T0", "T1"]
+        aside = spark.read.parquet(out + "/quarantine").filter("stage = 'variant'").collect()
+        assert sorted(r.url[-10:] for r in aside) == ["B000000011", "B000000012"]
     assert len(glob.glob(out + "/products/batch=*")) == 4
 
 
 def test_stream_totals(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_parts(spark, src)
-    start_totals(stream_pages(spark, src, files_per_batch=1), AMAZON, out).awaitTermination()
+    start_totals(stream_pages(spark, src, files_per_batch=1), AMAZON, out, out + "/mark").awaitTermination()
     totals = {r.domain: (r.total_products, r.total_variants) for r in read_totals(spark, out).collect()}
     assert totals["www.amazon.in"] == (3, 6)
     assert sum(p for p, _ in totals.values()) == 53
+
+
+def test_stream_totals_by_session(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(n % 2, n, f"{SITE}/dp/B00000000{n}", product(f"T{n}", extra=SWATCH)) for n in range(5)]
+    df = spark.createDataFrame(rows, "session_id long, page_id long, url string, html string")
+    df.repartition(3).write.parquet(src)
+    stream = stream_pages(spark, src, df.schema, files_per_batch=1)
+    start_totals(stream, AMAZON, out, out + "/mark", by="session_id").awaitTermination()
+    totals = {r.session_id: (r.total_products, r.total_variants) for r in read_totals(spark, out, "session_id").collect()}
+    assert totals == {0: (3, 6), 1: (2, 4)}
+
+
+def test_links_under_a_base_are_resolved(pages_of):
+    from shelfmark.functions.nodes import with_dom
+    from shelfmark.operators.links import page_product_links
+
+    page = f'<base href="{SITE}/Item/dp/"><a href="B000000001">x</a>'
+    df = with_dom(pages_of(page, url=f"{SITE}/s?k=q"), AMAZON.wanted_listing())
+    assert df.select(page_product_links(AMAZON).alias("l")).first().l == [f"{SITE}/Item/dp/B000000001"]
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    from shelfmark import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else default
+
+    class Cluster:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        session.stage_root(Cluster())

@@ -27,7 +27,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
 def test_query(spark, duck, name):
     df = entry_points.queries()[name](spark, SF)
     cols = sorted(df.columns)

@@ -3,6 +3,7 @@ from shelfmark.operators.summary import options_per_dimension, session_totals, v
 from shelfmark.operators.variants import (
     dimensions,
     extract_variants,
+    split_variants,
     flatten_options,
     variant_states,
 )
@@ -136,18 +137,25 @@ def test_unreadable_variant_page_is_left_out(spark):
     assert titles(extract_variants(m, bad)) == [("a", "A", False)]
     states = variant_states(flatten_options(m), bad)
     assert states.filter("state.parse_error is not null").count() == 2
+    rows = split_variants(states)[1].collect()
+    assert sorted((r.url, r.stage, r.error) for r in rows) == [("U#b", "variant", "no html"), ("U#c", "variant", "no html")]
+    rows = split_variants(states, "quarantine")[1].collect()
+    assert sorted((r.url, r.error) for r in rows) == [("U#b", "no html"), ("U#c", "no snapshot")]
 
 
 def test_duplicate_snapshots_do_not_multiply(spark):
     m = mains(spark, "a")
     twice = records(spark, ("U", "a", "A", None), ("U?x", "a", "B", None))
     assert extract_variants(m, twice).count() == 1
+    better = records(spark, ("U", "a", "", "no html"), ("U?x", "a", "B", None))
+    assert titles(extract_variants(m, better)) == [("a", "B", False)]
 
 
 def test_totals(spark):
     p = spark.createDataFrame([(1,), (1,), (2,)], "session_id int")
     v = spark.createDataFrame([(1, "u"), (3, "u"), (3, "w")], "session_id int, main_product_url string")
-    rows = {r.session_id: (r.total_products, r.total_variants) for r in session_totals(p, v).collect()}
-    assert rows == {1: (2, 1), 2: (1, 0), 3: (0, 2)}
+    s = spark.createDataFrame([(n,) for n in range(1, 5)], "session_id int")
+    rows = {r.session_id: (r.total_products, r.total_variants) for r in session_totals(s, p, v).collect()}
+    assert rows == {1: (2, 1), 2: (1, 0), 3: (0, 2), 4: (0, 0)}
     per = {r.main_product_url: r.n_variants for r in variants_per_product(v).collect()}
     assert per == {"u": 2, "w": 1}

@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from shelfmark.operators import whitelist as wl
-from shelfmark.operators.joins import salted_join
+from shelfmark.session import stage
+from shelfmark.operators.joins import first_rows
 from shelfmark.sources.whitelist import from_setting, parse_entries, size_of
 from tests.conftest import plan_of
 
@@ -50,9 +51,9 @@ def test_golden_both_forms(spark):
     df = names(spark, [(s, m) for s, m, _ in GOLDEN])
     want = [w for _, _, w in GOLDEN]
     assert labels(wl.label(df, table)) == want
-    assert labels(wl.label_with_table(df, table)) == want
+    assert labels(wl.label_with_list(df, [" Nike ", "", "Puma India"])) == want
     assert labels(wl.label(df, from_setting(spark, " , "))) == ["False"] * len(want)
-    assert labels(wl.label_with_table(df, from_setting(spark, ""))) == ["False"] * len(want)
+    assert labels(wl.label_with_list(df, [])) == ["False"] * len(want)
 
 
 def test_random_against_model(spark):
@@ -68,8 +69,8 @@ def test_random_against_model(spark):
     assert "False" in want and "Whitelisted" in want
     table = spark.createDataFrame([(e,) for e in entries + entries[:3]], "entry string")
     df = names(spark, rows)
-    assert labels(wl.label_with_table(df, table)) == want
     assert labels(wl.label(df, table)) == want
+    assert labels(wl.label_with_list(df, entries)) == want
 
 
 def test_large_list_takes_the_join(spark):
@@ -77,7 +78,7 @@ def test_large_list_takes_the_join(spark):
     df = names(spark, [("Seller 77 Ltd", ""), ("sell", ""), ("other", "1999"), ("zzz", "")])
     out = wl.label(df, table)
     assert labels(out) == ["Whitelisted", "Whitelisted", "Whitelisted", "False"]
-    plan = plan_of(wl.label_with_table(df, table))
+    plan = plan_of(wl.label(df, table))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
@@ -87,11 +88,19 @@ def test_trusted_only(spark):
     assert out.count() == sum(w == "Whitelisted" for _, _, w in GOLDEN)
 
 
-def test_salted_join_is_the_join(spark):
-    left = spark.range(3000).select(F.expr("IF(id % 3 = 0, 1, id)").alias("k"), F.col("id").alias("v"))
-    right = spark.range(0, 2000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    right = right.unionByName(spark.createDataFrame([(1, 5), (1, 6)], "k long, w long"))
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        want = left.join(right, "k", how)
-        got = salted_join(left, right, ["k"], how)
-        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), how
+def test_pages_are_parsed_once_under_a_label(spark, pages_of, monkeypatch):
+    from shelfmark.operators import whitelist
+    from shelfmark.operators.extract import extract_products
+    from shelfmark.plans.rules import AMAZON
+
+    staged = []
+    monkeypatch.setattr(whitelist, "stage", lambda df, name: staged.append(plan_of(df)) or stage(df, name))
+    out = wl.label(extract_products(pages_of("<h1>a</h1>"), AMAZON), from_setting(spark, "a"))
+    assert [p.count("ArrowEvalPython") for p in staged] == [1]
+    assert "ArrowEvalPython" not in plan_of(out)
+
+
+def test_first_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("k"), (3000 - F.col("id")).alias("o"), "id")
+    got = {r.k: r.id for r in first_rows(df, ["k"], ["o"]).collect()}
+    assert got == {k: max(n for n in range(3000) if n % 7 == k) for k in range(7)}
