@@ -32,7 +32,7 @@ LONGEST_PIECE = 10
 #: Longer letter runs are scored in parts of this many characters.
 LONGEST_WORD = 32
 UNKNOWN_CHARACTER = 1e-7
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 UNDETERMINED = "und"
 
 _NOT_LETTER = np.ones(256, bool)
@@ -196,7 +196,7 @@ class Model:
 
 def letter_words(texts: pa.Array) -> Iterator[tuple[int, int, W.Words]]:
     raw, at = W.text_buffers(pc.utf8_lower(texts))
-    for low, high in W.slices(at, 4 * W.SLICE_BYTES):
+    for low, high in W.slices(at):
         yield low, high, W.split(raw[at[low] : at[high]], at[low : high + 1] - at[low], gap=_NOT_LETTER)
 
 
