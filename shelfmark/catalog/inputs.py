@@ -470,12 +470,17 @@ HAS_NEXT = "(pk % 5 <> 3)"
 NO_LINKS = "(pk % 9 = 4)"
 
 
+#: A quarter of the pages name their links' folder in a base element.
+_BASE = "(CASE pk % 4 WHEN 3 THEN '<base href=\"https://www.amazon.in/Item/dp/\">' ELSE '' END)"
+_FOLDER = "(CASE pk % 4 WHEN 3 THEN '' ELSE '/Item/dp/' END)"
+
+
 def _anchor(key: str, tail: str = "") -> str:
-    return f"'<li><a href=\"/Item/dp/' || {asin(key)} || '{tail}\">x</a></li>'"
+    return f"'<li><a href=\"' || {_FOLDER} || {asin(key)} || '{tail}\">x</a></li>'"
 
 
 LISTING_HTML = (
-    f"('<ul>' || (CASE WHEN {NO_LINKS} THEN '<li><a href=\"/s?k=none\">x</a></li>' ELSE "
+    f"({_BASE} || '<ul>' || (CASE WHEN {NO_LINKS} THEN '<li><a href=\"/s?k=none\">x</a></li>' ELSE "
     f"{_anchor('pk', '?ref=a')} || {_anchor('pk + 1')} || {_anchor('pk', '#top')} || "
     f"'<li><a href=\"https://aax-eu-zaz.amazon.in/x/c/q/dp/' || {asin('pk')} || '\">ad</a></li>' || "
     f"{_anchor('pk + 2', '?tag=b')} END) || '</ul>' || {NEXT_HTML})"

@@ -22,7 +22,7 @@ from ..operators.links import (
     first_links,
 )
 from ..plans.rules import AMAZON
-from ..sources.platforms import PLATFORMS, with_platform_facts
+from ..sources.platforms import with_platform_facts
 from . import inputs as i
 
 HOST_SQL = (
@@ -42,18 +42,23 @@ _ENCODED = (
     r''''[^\x21-\x7E]|["<>]') THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') '''
     "ELSE c END), 'string_agg', '')"
 )
-_PLATFORM_ROWS = ", ".join(f"('{p}', '{g}', {str(v).lower()}, '{d}')" for p, g, v, d in PLATFORMS)
-_DETECT = (
-    "CASE "
-    + " ".join(
-        f"WHEN contains(h, '{p}.') THEN '{p}'"
-        for p in (
-            "amazon flipkart myntra meesho ajio ebay redbubble snapdeal shopsy nykaa tatacliq "
-            "indiamart walmart"
-        ).split()
-    )
-    + " ELSE 'generic' END"
+# Expected facts per platform, stated apart from the dimension under test.
+_PLATFORM_ROWS = (
+    "('amazon', 'pagination', true, 'AMAZON'), ('flipkart', 'pagination', true, 'FLIPKART'), "
+    "('myntra', 'pagination', true, 'MYNTRA'), ('ebay', 'pagination', true, 'EBAY'), "
+    "('walmart', 'pagination', true, 'WALMART'), ('redbubble', 'pagination', true, 'REDBUBBLE'), "
+    "('shopsy', 'pagination', false, 'SHOPSY'), ('meesho', 'infinite_scroll', false, 'MEESHO'), "
+    "('ajio', 'infinite_scroll', true, 'AJIO'), ('indiamart', 'infinite_scroll', false, 'INDIAMART'), "
+    "('nykaa', 'infinite_scroll', true, 'NYKAA'), ('snapdeal', 'infinite_scroll', false, 'SNAPDEAL'), "
+    "('tatacliq', 'no_pagination', true, 'TATA CLIQ'), "
+    "('generic', 'pagination', false, 'UNKNOWN PLATFORM (Generic Mode)')"
 )
+# Order in which host names are tested.
+_TESTED = (
+    "amazon", "flipkart", "myntra", "meesho", "ajio", "ebay", "redbubble", "snapdeal", "shopsy", "nykaa", "tatacliq",
+    "indiamart", "walmart",
+)
+_DETECT = "CASE " + " ".join(f"WHEN contains(h, '{p}.') THEN '{p}'" for p in _TESTED) + " ELSE 'generic' END"
 _LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _RANKED = "row_number() OVER (PARTITION BY {p} ORDER BY {o})"
 
@@ -104,7 +109,7 @@ def page_links_abs(spark, sf):
 
 
 def link_resolution(spark, sf):
-    href = i.pick("l_linenumber % 8", [a for a, _ in _HREF_CASES])
+    href = i.pick("(l_linenumber + l_suppkey) % 11", [a for a, _ in _HREF_CASES])
     page = "('https://Shop.Example/a/b/p' || CAST(l_suppkey AS STRING) || '?q=1#z')"
     rows = i.lineitem(spark, sf).select(
         *_LINES, F.expr(href).alias("href"), F.expr(page).alias("page")
@@ -126,6 +131,9 @@ _HREF_CASES = (
     ("'HTTP://Other.Example'", "'http://other.example/'"),
     (f"'mailto:a@b.example?' || {_KEY}", f"'mailto:a@b.example?' || {_KEY}"),
     ("'ü x/..'", "'https://shop.example/a/b/'"),
+    (f"'https://User:Pa@Shop.Example:443/' || {_KEY}", f"'https://User:Pa@shop.example/' || {_KEY}"),
+    (f"'http://Shop.Example:80/' || {_KEY}", f"'http://shop.example/' || {_KEY}"),
+    (f"'http://Shop.Example:443/' || {_KEY}", f"'http://shop.example:443/' || {_KEY}"),
 )
 
 
@@ -231,7 +239,7 @@ QUERIES = {
     ),
     "link_resolution": (
         link_resolution,
-        f"SELECT {', '.join(_LINES)}, {i.pick('l_linenumber % 8', [b for _, b in _HREF_CASES])} AS url "
+        f"SELECT {', '.join(_LINES)}, {i.pick('(l_linenumber + l_suppkey) % 11', [b for _, b in _HREF_CASES])} AS url "
         "FROM lineitem",
     ),
     "links_per_host": (

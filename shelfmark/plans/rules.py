@@ -101,7 +101,9 @@ _BULLETS = attr_is(
     "a-unordered-list a-nostyle a-vertical a-spacing-none detail-bullet-list",
     tag="ul",
 )
-_WORDS = ("Brand", "Manufacturer")
+_SECTIONS = tag("div", id="productDetails_detailBullets_sections1")
+_DETAILS = tag("div", id="productDetails")
+_WRAPPER = tag("div", id="detailBulletsWrapper_feature_div")
 
 # Selectors of the one platform with rules, in order of priority.
 AMAZON = PlatformRules(
@@ -160,18 +162,14 @@ AMAZON = PlatformRules(
         tag("a").inside(attr_part("id", "merchant-info", tag="div")),
     ),
     maker_fallback=(
-        *[tag("li", holds=w + ":").child(_BULLETS) for w in _WORDS],
-        *[
-            tag("th", own=w).inside(tag("div", id=box)).followed_by("td")
-            for box in ("productDetails_detailBullets_sections1", "productDetails")
-            for w in _WORDS
-        ],
-        *[
-            tag("span", own=w)
-            .inside(tag("div", id="detailBulletsWrapper_feature_div"))
-            .followed_by("span")
-            for w in _WORDS
-        ],
+        tag("li", holds="Brand:").child(_BULLETS),
+        tag("li", holds="Manufacturer:").child(_BULLETS),
+        tag("th", own="Brand").inside(_SECTIONS).followed_by("td"),
+        tag("th", own="Manufacturer").inside(_SECTIONS).followed_by("td"),
+        tag("th", own="Brand").inside(_DETAILS).followed_by("td"),
+        tag("th", own="Manufacturer").inside(_DETAILS).followed_by("td"),
+        tag("span", own="Brand").inside(_WRAPPER).followed_by("span"),
+        tag("span", own="Manufacturer").inside(_WRAPPER).followed_by("span"),
     ),
     image_fallback=tuple(
         tag("img", id=i)

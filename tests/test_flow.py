@@ -261,3 +261,46 @@ def test_staging_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.stage_root(Cluster())
+
+
+def test_tables_are_read_with_their_schemas(spark, tmp_path):
+    from shelfmark.sources import pages, whitelist
+
+    readers = {
+        schemas.LISTING_PAGES: pages.read_listing_pages,
+        schemas.SESSIONS: pages.read_sessions,
+        schemas.VARIANT_PAGES: pages.read_variant_pages,
+    }
+    for n, (schema, read) in enumerate(readers.items()):
+        rows = spark.createDataFrame([], schema)
+        rows.write.parquet(str(tmp_path / f"t{n}"))
+        assert read(spark, str(tmp_path / f"t{n}")).schema == schema
+    from_setting(spark, "a, b").write.parquet(str(tmp_path / "w"))
+    assert sorted(r.entry for r in whitelist.read_whitelist(spark, str(tmp_path / "w")).collect()) == ["a", "b"]
+
+
+def test_platforms_without_variants_can_be_heeded(spark, monkeypatch):
+    from shelfmark.plans import retail
+
+    pages = spark.createDataFrame([(1, f"{SITE}/p/dp/B000000001", product("One", extra=SWATCH))], schemas.PAGES)
+    sessions = spark.createDataFrame([(2, f"{SITE}/p/dp/B000000001", TS, "")], schemas.SESSIONS)
+    empty = [spark.createDataFrame([], s) for s in (schemas.LISTING_PAGES, schemas.VARIANT_PAGES)]
+    monkeypatch.setattr(retail, "supports_variants", lambda platform: False)
+    out = run(sessions, empty[0], pages, empty[1], from_setting(spark, ""), check_variant_support=True)
+    assert (out.products.count(), out.variants.count()) == (1, 0)
+    assert run(sessions, empty[0], pages, empty[1], from_setting(spark, "")).variants.count() == 2
+
+
+def test_one_output_does_not_pay_for_the_others(spark, result, monkeypatch):
+    """Quarantine needs no label, products need no variants."""
+    from shelfmark.plans import retail
+
+    staged = []
+    monkeypatch.setattr(retail, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    pages = spark.createDataFrame([(1, f"{SITE}/p/dp/B000000001", product("One"))], schemas.PAGES)
+    sessions = spark.createDataFrame([(2, f"{SITE}/p/dp/B000000001", TS, "")], schemas.SESSIONS)
+    empty = [spark.createDataFrame([], s) for s in (schemas.LISTING_PAGES, schemas.VARIANT_PAGES)]
+    out = run(sessions, empty[0], pages, empty[1], from_setting(spark, ""))
+    assert staged == []
+    assert out.products.count() == 1
+    assert "variants" not in staged
