@@ -73,4 +73,30 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_collision_ann": op10_collision_ann,
 }
-ORACLES: dict[str, str] = {}
+
+_RECORD = (
+    "'WARC/1.1' || crlf || 'WARC-Type: response' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || "
+    "'Content-Type: text/html' || crlf || 'Content-Length: ' || strlen(coalesce(html, '')) || crlf || crlf || "
+    "coalesce(html, '') || crlf || crlf"
+)
+_AUDIT = (
+    f"WITH r AS (SELECT page_id, page_id // {fixity.RECORDS_PER_FILE} AS file, {_RECORD} AS record FROM pages, (SELECT chr(13) || "
+    "chr(10) AS crlf)), d AS (SELECT *, strlen(record) AS length, sha256(record) AS expected FROM r), o AS (SELECT *, CAST(sum(length) "
+    "OVER (PARTITION BY file ORDER BY page_id, expected ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS \"offset\" FROM d) SELECT "
+    f"page_id, file, \"offset\", length, CASE page_id % {fixity.TRIAL_MODULUS} WHEN {fixity.TRIAL_CHANGED} THEN 'changed' ELSE 'missing' "
+    f"END AS status, expected, CASE page_id % {fixity.TRIAL_MODULUS} WHEN {fixity.TRIAL_CHANGED} THEN sha256(substr(record, 1, "
+    f"length(record) - 1) || '~') END AS found FROM o WHERE page_id % {fixity.TRIAL_MODULUS} IN ({fixity.TRIAL_CHANGED}, {fixity.TRIAL_MISSING})"
+)
+_LINKED = (
+    "WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents), i AS (SELECT doc_id, l, unnest(range(1, 1 + "
+    "greatest(len(l) - 4, least(len(l), 1)))) AS k FROM w), s AS (SELECT DISTINCT doc_id, array_to_string(l[k:k + 4], ' ') AS g FROM i), "
+    "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b "
+    "ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b "
+    "WHERE 100 * k >= 75 * (x.n + y.n - k)), r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON "
+    "e.a = r.doc_id), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1) SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, "
+    "component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)"
+)
+
+#: Where SQL can express the whole result; the other queries are tested against plain versions.
+ORACLES = {"op3_merkle_audit": _AUDIT, "op7_jaccard_join": _LINKED}
