@@ -147,12 +147,15 @@ def groups(classes: DataFrame, leaders: DataFrame, own: DataFrame) -> DataFrame:
     alone = F.col("cluster") == F.col("rep")
     first = F.when(alone, F.coalesce("leader", "rep")).otherwise(F.col("cluster"))
     alike = F.floor(F.log("n") / np.log(1.12))
-    rows = rows.withColumn("key", F.xxhash64(first, alike))
-    size = rows.groupBy("key").agg(F.count("*").alias("rows"))
-    rows = rows.join(size, "key")
-    cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / GROUP_ROWS))
-    rows = rows.withColumn("gid", F.xxhash64("key", cut)).select("rep", "gid", "cluster", "n", "rows")
-    info = rows.where("rows > 1").groupBy("gid").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cluster").alias("c_min"), F.max("cluster").alias("c_max"))
+    key = F.xxhash64(first, alike)
+    # only keys with more rows than a group holds have to be cut; they are few
+    size = stage(rows.withColumn("key", key).groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS), "jaccard-sizes")
+    rows = rows.withColumn("key", key).join(size, "key", "left")
+    cut = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("rows", F.lit(1)) / GROUP_ROWS))
+    rows = rows.withColumn("gid", F.xxhash64("key", cut)).select("rep", "gid", "cluster", "n")
+    info = rows.groupBy("gid").agg(
+        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cluster").alias("c_min"), F.max("cluster").alias("c_max"), F.count("*").alias("rows")
+    ).where("rows > 1")
     many = F.col("n_min").isNotNull()
     return rows.join(info, "gid", "left").select(
         F.col("rep").alias("doc_id"), "gid", "cluster", F.coalesce("n_min", "n").alias("n_min"), F.coalesce("n_max", "n").alias("n_max"),
@@ -165,10 +168,13 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [sets(words)[0] for _, _, words in W.word_slices(batch.column("text"), lower=True)]
-            token, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= FREQUENT_IN_BATCH
-            yield pa.RecordBatch.from_arrays([W.signed(token[often]), pa.array(n[often])], ["token", "n"])
+            every = [np.zeros(0, np.uint64), *(sets(words)[0] for _, _, words in W.word_slices(batch.column("text"), lower=True))]
+            token = np.concatenate(every)
+            del every
+            token.sort()
+            more = FREQUENT_IN_BATCH - 1
+            token, n = np.unique(token[: len(token) - more][token[: len(token) - more] == token[more:]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([W.signed(token), pa.array(n + more)], ["token", "n"])
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * FREQUENT_IN_BATCH)
     listed = found.orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toPandas()["token"].to_numpy(np.int64)

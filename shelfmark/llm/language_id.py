@@ -32,7 +32,8 @@ LONGEST_PIECE = 10
 #: Longer letter runs are scored in parts of this many characters.
 LONGEST_WORD = 32
 UNKNOWN_CHARACTER = 1e-7
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+WORDS_AT_ONCE = 4_000
 UNDETERMINED = "und"
 
 _NOT_LETTER = np.ones(256, bool)
@@ -98,7 +99,8 @@ class Pieces:
                 if j == i + 1:
                     value[value < 0] = self.n
                 if (value >= 0).any():
-                    found[i, j] = np.where(value < 0, self.n + 1, value)
+                    value[value < 0] = self.n + 1
+                    found[i, j] = value
         return found
 
 
@@ -163,11 +165,11 @@ class Model:
         parts = [(i, t[k : k + LONGEST_WORD]) for i, t in enumerate(texts) for k in range(0, max(len(t), 1), LONGEST_WORD)]
         owner = np.array([i for i, _ in parts])
         for at, codes in by_length([t for _, t in parts]):
-            for low in range(0, len(at), 20_000):
-                some = codes[low : low + 20_000]
+            for low in range(0, len(at), WORDS_AT_ONCE):
+                some = codes[low : low + WORDS_AT_ONCE]
                 n = some.shape[1]
                 last = forward(pieces(self.path).grid(some), n, self.table, len(some))[n]
-                np.add.at(out, owner[at[low : low + 20_000]], np.log(np.maximum(last, 1e-300)))
+                np.add.at(out, owner[at[low : low + WORDS_AT_ONCE]], np.log(np.maximum(last, 1e-300)))
         return out
 
     def text_scores(self, words: W.Words) -> np.ndarray:
