@@ -42,7 +42,7 @@ WARM_RATE, RATE = 0.01, 0.003
 PIECE = 4_096
 #: Rows scored together, and outputs kept before they are reduced to probabilities.
 ROWS = 4_096
-OUTPUTS = 65_536
+OUTPUTS = 32_768
 END = np.uint64(0x0123456789ABCDEF)
 ADDED = 0.1
 
@@ -196,48 +196,57 @@ def input_table(p: Parameters) -> np.ndarray:
     return p["embed"] @ p["input"] + p["gate"]
 
 
-def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each row (in place), and the logarithm of the one at a column."""
-    rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
-    chosen = x[rows, at]
+def _softmax(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
+    """Log probability of one column of each row; if ``whole``, ``x`` becomes the probabilities."""
+    if x.size and (x.max() > 80 or x.min() < -80):  # else no row can leave the range of exp
+        x -= x.max(axis=1, keepdims=True)
+    chosen = x[np.arange(len(x)), at]
     np.exp(x, out=x)
     total = x.sum(axis=1)
-    x /= total[:, None]
-    return x, chosen - np.log(total)
+    if whole:
+        x /= total[:, None]
+    return chosen - np.log(total)
 
 
 def log_probabilities(h: np.ndarray, target: np.ndarray, p: Parameters, lex: Lexicon, grad: Parameters | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each target symbol; with ``grad``, adds gradients of the mean loss and returns that of h."""
+    """Natural log probability of each target symbol; with ``grad``, adds gradients of the mean loss and returns that of h.
+
+    Rows are brought into the order of their targets' classes once, so each class works on neighbouring rows.
+    """
     group = np.searchsorted(lex.class_start, target, "right") - 1
-    rows = np.arange(len(target))
-    d, out = _softmax(h @ p["classes"].T + p["class_bias"], group)
-    out = out.astype(np.float64)
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(len(lex.class_start)))
+    h, target, group = h[order], target[order], group[order]
+    learning, n = grad is not None, len(target)
+    d = h @ p["classes"].T + p["class_bias"]
+    out = _softmax(d, group, learning).astype(np.float64)
     back = None
-    if grad is not None:
-        d[rows, group] -= 1
-        d /= len(target)
+    if learning:
+        d[np.arange(n), group] -= 1
+        d /= n
         back = d @ p["classes"]
         grad["classes"] += d.T @ h
         grad["class_bias"] += d.sum(axis=0)
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(len(lex.class_start)))
     for c in range(len(lex.class_start) - 1):
-        mine = order[ends[c] : ends[c + 1]]
-        if not len(mine):
+        mine = slice(ends[c], ends[c + 1])
+        if ends[c] == ends[c + 1]:
             continue
         low, high = lex.class_start[c], lex.class_start[c + 1]
-        some = h[mine]
         at = target[mine] - low
-        d, logs = _softmax(some @ p["out"][low:high].T + p["out_bias"][low:high], at)
-        out[mine] += logs
-        if grad is not None:
-            d[np.arange(len(mine)), at] -= 1
-            d /= len(target)
+        d = h[mine] @ p["out"][low:high].T + p["out_bias"][low:high]
+        out[mine] += _softmax(d, at, learning)
+        if learning:
+            d[np.arange(len(at)), at] -= 1
+            d /= n
             back[mine] += d @ p["out"][low:high]
-            grad["out"][low:high] += d.T @ some
+            grad["out"][low:high] += d.T @ h[mine]
             grad["out_bias"][low:high] += d.sum(axis=0)
-    return out, back
+    logs = np.empty_like(out)
+    logs[order] = out
+    if learning:
+        ordered, back = back, np.empty_like(back)
+        back[order] = ordered
+    return logs, back
 
 
 def window_gradient(p: Parameters, lex: Lexicon, h: np.ndarray, given: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> tuple[float, Parameters, np.ndarray]:
@@ -247,30 +256,34 @@ def window_gradient(p: Parameters, lex: Lexicon, h: np.ndarray, given: np.ndarra
     """
     grad = {k: np.zeros_like(v) for k, v in p.items()}
     table = input_table(p)
-    kept, states = [], []
-    for t in range(given.shape[1]):
-        h = h * ~fresh[:, t, None]
-        parts = step(h, table, given[:, t], p)
-        kept.append((h, *parts[1:]))
-        h = parts[0]
-        states.append(h)
-    logs, back = log_probabilities(np.concatenate(states), target.T.ravel(), p, lex, grad)
-    back = back.reshape(given.shape[1], given.shape[0], HIDDEN)
-    inputs = np.empty((given.shape[1], given.shape[0], 3 * HIDDEN), h.dtype)
+    streams, steps = given.shape
+    alive = ~fresh.T[:, :, None]
+    before, keep, reset, inner, new, states = np.empty((6, steps, streams, HIDDEN), h.dtype)
+    for t in range(steps):
+        before[t] = h * alive[t]
+        states[t], keep[t], reset[t], inner[t], new[t] = step(before[t], table, given[:, t], p)
+        h = states[t]
+    logs, back = log_probabilities(states.reshape(-1, HIDDEN), target.T.ravel(), p, lex, grad)
+    back = back.reshape(steps, streams, HIDDEN)
+    # derivatives inside a step, for all steps at once
+    by_keep = (before - new) * keep * (1 - keep)
+    by_new = (1 - keep) * (1 - new * new)
+    by_reset = inner * reset * (1 - reset)
+    d_state = np.empty((steps, streams, 3 * HIDDEN), h.dtype)
+    d_new = np.empty_like(new)
     carry = np.zeros_like(h)
-    for t in range(given.shape[1] - 1, -1, -1):
-        before, keep, reset, inner, new = kept[t]
+    for t in range(steps - 1, -1, -1):
         d = back[t] + carry
-        d_new = d * (1 - keep) * (1 - new * new)
-        d_keep = d * (before - new) * keep * (1 - keep)
-        d_reset = d_new * inner * reset * (1 - reset)
-        d_inner = d_new * reset
-        du = np.concatenate([d_keep, d_reset, d_inner], axis=1)
-        np.concatenate([d_keep, d_reset, d_new], axis=1, out=inputs[t])
-        grad["inner"] += d_inner.sum(axis=0)
-        grad["state"] += before.T @ du
-        carry = (d * keep + du @ p["state"].T) * ~fresh[:, t, None]
-    symbol, inputs = given.T.ravel(), inputs.reshape(-1, 3 * HIDDEN)
+        np.multiply(d, by_new[t], out=d_new[t])
+        du = d_state[t]
+        np.multiply(d, by_keep[t], out=du[:, :HIDDEN])
+        np.multiply(d_new[t], by_reset[t], out=du[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(d_new[t], reset[t], out=du[:, 2 * HIDDEN :])
+        carry = (d * keep[t] + du @ p["state"].T) * alive[t]
+    inputs, symbol = d_state.reshape(-1, 3 * HIDDEN), given.T.ravel()
+    grad["inner"] = inputs[:, 2 * HIDDEN :].sum(axis=0)
+    grad["state"] = before.reshape(-1, HIDDEN).T @ inputs
+    inputs[:, 2 * HIDDEN :] = d_new.reshape(-1, HIDDEN)
     grad["input"] = p["embed"][symbol].T @ inputs
     grad["gate"] = inputs.sum(axis=0)
     order = np.argsort(symbol, kind="stable")
