@@ -118,8 +118,24 @@ def _open_mark(kinds: list[str], name: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=20_000)
+def balanced(unit: tuple[str, ...]) -> bool:
+    """Whether a group closes what it opens and no more; the next copy closes an open ``p`` or ``li`` that it begins with."""
+    stack: list[str] = []
+    for kind in unit:
+        name = kind.split(" ", 1)[0]
+        if kind.startswith("/"):
+            at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n] == kind[1:]), None)
+            if at is None:
+                return False
+            del stack[at:]
+        elif kind != TEXT and name not in VOID:
+            stack.append(name)
+    return not stack or len(stack) == 1 and stack[0] in ("p", "li") and unit[0].split(" ", 1)[0] == stack[0]
+
+
 def fold(kinds: list[str]) -> tuple[list[str], list[int]]:
-    """Skeleton with repeated groups kept once, and each token's place in it."""
+    """Skeleton with repeated groups kept once, and each token's place in it. Only balanced groups fold: containers stay what they are."""
     now, place = kinds, list(range(len(kinds)))
     for _ in range(3):
         before = len(now)
@@ -128,7 +144,7 @@ def fold(kinds: list[str]) -> tuple[list[str], list[int]]:
             moved = []
             i = 0
             while i < len(now):
-                if len(out) >= unit and now[i] == out[-unit] and now[i : i + unit] == out[-unit:]:
+                if len(out) >= unit and now[i] == out[-unit] and now[i : i + unit] == out[-unit:] and balanced(tuple(out[-unit:])):
                     moved.extend(range(len(out) - unit, len(out)))
                     i += unit
                 else:

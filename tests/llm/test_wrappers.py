@@ -56,3 +56,11 @@ def test_odd_rows(spark):
     deep = (5, "http://a/", "\n".join(["word"] * 20_000))
     assert sorted(got, key=str) == sorted([(1, None, ""), (2, "http://a/", ""), (3, "no url", "plain words"), (None, "http://a/", "x"), deep, deep], key=str)
     assert X.extract(pages.limit(0)).count() == 0
+
+
+def test_nested_containers_of_one_name_stay_apart(spark):
+    page = "<div id=page><article><h1>T</h1><div><div>A</div><p>B</p></div><h2>C</h2><p>D</p></article></div>"
+    pages = spark.createDataFrame([(1, "http://h.example/1", page)], "page_id long, url string, html string")
+    assert [r.text for r in X.extract(pages).collect()] == ["T\nA\nB\nC\nD"]
+    kinds = ["p", "#", "p", "#", "div", "div", "#", "/div", "p", "/p", "/div"]
+    assert X.fold(kinds)[0] == ["p", "#", "div", "div", "#", "/div", "p", "/p", "/div"]
