@@ -172,9 +172,30 @@ def align(left: list[list], right: list[list]) -> list[list]:
 
 
 def regions(kinds: list[str]) -> list[tuple[tuple[int, ...], bool]]:
-    """For each token the open containers (their positions) and whether it is beside the article."""
+    """For each token the open containers (their positions) and whether it is beside the article.
+
+    Words of class, id and role names decide only while they leave something: where every article with
+    text is beside, those of the outermost articles and of what encloses them do not count, and where a
+    page without articles has no text left, none count.
+    """
+    out, mains = _regions(kinds, frozenset())
+    texts = [i for i, kind in enumerate(kinds) if kind == TEXT]
+    if not mains:
+        if texts and all(out[i][1] for i in texts):
+            out, _ = _regions(kinds, frozenset(range(len(kinds))))
+        return out
+    full = {m for i in texts for m in mains.intersection(out[i][0])}
+    if full and all(all(out[i][1] for i in texts if m in out[i][0]) for m in full):
+        outer = {m for m in full if not any(o in full for o in out[m][0] if o != m)}
+        out, _ = _regions(kinds, frozenset(o for m in outer for o in out[m][0]))
+    return out
+
+
+def _regions(kinds: list[str], unmarked: frozenset[int]) -> tuple[list[tuple[tuple[int, ...], bool]], set[int]]:
+    """Regions, and the positions of article containers. Marks of the ``unmarked`` containers do not count."""
     stack: list[tuple[str, int, bool, bool]] = []
     out = []
+    mains = set()
     for i, kind in enumerate(kinds):
         name, *marks = kind.split(" ")
         if kind.startswith("/"):
@@ -188,10 +209,12 @@ def regions(kinds: list[str]) -> list[tuple[tuple[int, ...], bool]]:
                 stack.pop()
             inside = any(s[3] for s in stack)
             main = name in MAIN or "main" in marks or "articlebody" in "".join(marks)
-            beside = name in OUTSIDE or bool(BESIDE.intersection(marks)) and name not in ("html", "body") or name == "header" and not inside
+            beside = name in OUTSIDE or bool(BESIDE.intersection(marks)) and name not in ("html", "body") and i not in unmarked or name == "header" and not inside
             stack.append((name, i, beside, main and not beside))
+            if main:
+                mains.add(i)
         out.append((tuple(s[1] for s in stack), any(s[2] for s in stack)))
-    return out
+    return out, mains
 
 
 def article_container(wrapper: list[list]) -> str:

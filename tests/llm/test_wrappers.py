@@ -64,3 +64,19 @@ def test_nested_containers_of_one_name_stay_apart(spark):
     assert [r.text for r in X.extract(pages).collect()] == ["T\nA\nB\nC\nD"]
     kinds = ["p", "#", "p", "#", "div", "div", "#", "/div", "p", "/p", "/div"]
     assert X.fold(kinds)[0] == ["p", "#", "div", "div", "#", "/div", "p", "/p", "/div"]
+
+
+@pytest.mark.parametrize(
+    "main",
+    [
+        "<div class='content-sidebar-wrap'><article><p>Kept</p><div class=share>Share</div></article></div>",
+        "<div id=page class='no-sidebar'><article><p>Kept</p></article></div>",
+        "<article class='post has-comments'><p>Kept</p><section class=comments><article><p>no</p></article></section></article>",
+        "<div class='content-sidebar-wrap'><p>Kept</p></div>",
+    ],
+)
+def test_marks_around_the_article_do_not_empty_the_page(main):
+    page = f"<html><body><nav>Menu</nav>{main}<footer>us</footer></body></html>"
+    kinds = X.fold(X.tokens(page)[0])[0]
+    container = X.article_container([[k, False, 1.0] for k in kinds])
+    assert X.page_text(page, X.article_slots(kinds, container)) == "Kept"
