@@ -4,8 +4,10 @@ A page is a stream of tags and texts. Neighbouring equal groups of tokens are fo
 group, which leaves a short skeleton that many pages of a host share. The distinct skeletons of a host
 are aligned one after the other: what both have stays, what only one has becomes an optional group, and
 texts become slots. The outcome, a union-free expression with weights of the text seen in each slot, is
-the host's wrapper. The wrapper decides which container holds the article; every skeleton is then
-matched to it, and pages of that skeleton emit the texts of its article slots.
+the host's wrapper. Only its weights are used: they decide which container holds the article. Pages of
+every skeleton then emit the texts in that container but those beside the article, which fixed lists of
+element names and of words in class, id and role names tell. Optional groups and texts that are constant
+over a host decide nothing, so template text inside the article stays.
 
 Skeletons are counted before they meet, and aligned in groups of at most ``MERGE`` until one wrapper
 per host is left, so that a host with any number of pages needs no large task.
@@ -232,7 +234,9 @@ def article_container(wrapper: list[list]) -> str:
             depth[key] = n
     marked = [k for k in weight if k.split(" ")[0] in MAIN or "main" in k.split(" ")[1:]]
     if marked:
-        return max(marked, key=lambda k: (k.startswith("article"), weight[k], k))
+        # an article goes before what encloses it, unless most of the marked text stands elsewhere
+        least = max(weight[k] for k in marked) / 2
+        return max(marked, key=lambda k: (k.split(" ")[0] == "article" and weight[k] >= least, weight[k], k))
     large = [k for k in weight if weight[k] >= ENOUGH * total and k.split(" ")[0] in ("div", "section", "td", "table", "center", "body")]
     return max(large, key=lambda k: (depth[k], k)) if large else ""
 

@@ -80,3 +80,10 @@ def test_marks_around_the_article_do_not_empty_the_page(main):
     kinds = X.fold(X.tokens(page)[0])[0]
     container = X.article_container([[k, False, 1.0] for k in kinds])
     assert X.page_text(page, X.article_slots(kinds, container)) == "Kept"
+
+
+def test_main_with_most_text_goes_before_a_short_article():
+    kinds = ["body", "main", "#", "/main", "article teaser", "#", "/article", "/body"]
+    assert X.article_container([[k, False, w] for k, w in zip(kinds, (0, 0, 900.0, 0, 0, 20.0, 0, 0), strict=True)]) == "main"
+    kinds = ["main", "#", "article", "#", "/article", "/main"]
+    assert X.article_container([[k, False, w] for k, w in zip(kinds, (0, 100.0, 0, 900.0, 0, 0), strict=True)]) == "article"
