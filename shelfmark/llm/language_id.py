@@ -29,7 +29,7 @@ from shelfmark.llm.tables import stage
 SAMPLE_DOCS = 1_500
 ROUNDS = 3
 LONGEST_PIECE = 10
-#: Longer letter runs are scored in parts of this many characters.
+#: Longer letter runs are learned and scored in parts of this many characters.
 LONGEST_WORD = 32
 UNKNOWN_CHARACTER = 1e-7
 MEMO_WORDS = 150_000
@@ -214,10 +214,12 @@ def sampled_word_counts(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Dat
             for low, _, words in letter_words(batch.column("text")):
                 raw, doc = words.raw.tobytes(), words.doc + low
                 texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([lang.take(pa.array(doc)), pa.array(texts, pa.string())], ["lang", "word"])
+                parts = [(d, t[k : k + LONGEST_WORD]) for d, t in zip(doc.tolist(), texts, strict=True) for k in range(0, len(t), LONGEST_WORD)]
+                at, texts = ([p[c] for p in parts] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], ["lang", "word"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("lang", "text")
-    words = texts.mapInArrow(run, "lang string, word string").withColumn("word", F.substring("word", 1, LONGEST_WORD))
+    words = texts.mapInArrow(run, "lang string, word string")
     return words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 

@@ -58,3 +58,10 @@ def test_odd_rows(spark, odd_documents, no_documents):
     kept = L.keep(odd_documents, model)
     assert kept.columns == odd_documents.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {None, 4, 5, 6, 8}
+
+
+def test_all_parts_of_long_letter_runs_are_learned(spark):
+    word = "a" * L.LONGEST_WORD + "b" * L.LONGEST_WORD + "c"
+    docs = spark.createDataFrame([(1, word, "xx"), (2, "ab", "xx")], "doc_id long, text string, lang string")
+    got = {r.word: r.n for r in L.sampled_word_counts(docs).collect()}
+    assert got == {"a" * L.LONGEST_WORD: 1, "b" * L.LONGEST_WORD: 1, "c": 1, "ab": 1}
