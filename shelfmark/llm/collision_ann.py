@@ -40,7 +40,7 @@ def block_neighbours(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
     order = np.argsort(projected, axis=0, kind="stable").T.copy()
     arrays = np.take_along_axis(projected.T, order, axis=1)
     unit = max(float(projected.std()) / 16, 1e-9)
-    need = THRESHOLD if n > k else 0
+    need = THRESHOLD if len(np.unique(ids)) > k else 0
     out = []
     for row, (own, query) in enumerate(zip(query_ids, queries, strict=True)):
         count = np.zeros(n, np.int16)
@@ -63,8 +63,8 @@ def block_neighbours(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
             verified[fresh] = True
             fresh = fresh[ids[fresh] != own]
             distance[fresh] = np.sqrt(np.square(vectors[fresh] - query).sum(axis=1))
-            near = np.count_nonzero(distance <= radius)
-            if near >= k or verified.all() or (low.max() == 0 and high.min() == n):
+            near = np.flatnonzero(distance <= radius)
+            if len(near) >= k and len(np.unique(ids[near])) >= k or verified.all() or (low.max() == 0 and high.min() == n):
                 break
             radius *= GROWTH
         found = np.flatnonzero(np.isfinite(distance))

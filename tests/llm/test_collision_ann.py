@@ -37,3 +37,14 @@ def test_odd_rows(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in got if r.query_id == 0] == [(0, 1, 1), (0, 2, 7), (0, 3, 100), (0, 4, 8)]
     assert {r.query_id for r in got} == {0, 100}
     assert C.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_repeated_rows_of_one_id_do_not_end_the_search():
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((400, 16))
+    query = vectors[0].copy()
+    vectors[1:3] = query + 0.001 * rng.standard_normal((2, 16))
+    again = np.repeat([1, 2], 10)
+    ids, rows = np.concatenate([np.arange(400), again]), np.concatenate([vectors, vectors[again]])
+    found = C.block_neighbours(ids, rows, np.array([0]), query[None], 10)
+    assert found["vec_id"].tolist() == exact(np.arange(400), vectors, query, 0, 10)
