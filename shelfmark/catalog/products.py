@@ -144,8 +144,7 @@ def stream_products(spark, sf):
     """The pages table read as a file stream and extracted batch by batch."""
     out = stage_path(spark, "stream-products")
     pages = stream_pages(spark, f"{sf}/pages.parquet")
-    none = i.variant_pages(spark, sf).limit(0)
-    start_dual_sink(pages, none, AMAZON, trusted_sellers(spark, sf), out, f"{out}/checkpoint").awaitTermination()
+    start_dual_sink(pages, i.variant_pages(spark, sf), AMAZON, trusted_sellers(spark, sf), out, f"{out}/checkpoint").awaitTermination()
     return product_rows(spark.read.parquet(f"{out}/products"))
 
 
