@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, collision_ann, fixity, jaccard_join, language_id, packing, quality, recurrent_lm, substring_dedup, wrappers
+from shelfmark.llm import bpe, chat, collision_ann, fixity, hard_negatives, jaccard_join, language_id, packing, quality, recurrent_lm, substring_dedup, wrappers
 from shelfmark.llm.tables import read
 
 
@@ -61,6 +61,21 @@ def op10_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each positive of every vector whose id is divisible by 100."""
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and trainable text of every conversation, read back from its formatted examples."""
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, chat.TARGET, said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.segments(given.unionByName(extra)))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,6 +87,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
     "op10_collision_ann": op10_collision_ann,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_chat_format": op12_chat_format,
 }
 
 _RECORD = (
@@ -98,5 +115,28 @@ _LINKED = (
     "component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)"
 )
 
+_MINED = (
+    "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: "
+    "floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, "
+    "lambda x: x IS NULL OR NOT isfinite(x))) = 0), s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.l = b.l AS same, "
+    "CAST(list_inner_product(a.e, b.e) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 "
+    "= 0), p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same QUALIFY r <= 5) SELECT p.a AS "
+    "anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS "
+    "negative_id, p.s AS positive_score, n.s AS negative_score FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND "
+    "100 * n.s <= 90 * p.s QUALIFY rank <= 10"
+)
+#: Code points of a formatted turn: a backslash for each control string, one for each line break or backslash of a role.
+_CONTROLS = rf"'({chat.HEADS})(\\*)({chat.TAILS})', '\1\\\2\3', 'g'"
+_CHAT = (
+    "WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', "
+    f"'</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, '{chat.TARGET}', '</s>[INST] ok [/INST]'), f AS (SELECT *, role = '{chat.TARGET}' AS reply, "
+    f"length('{chat.OPEN}{chat.CLOSE}') + 2 + length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), {_CONTROLS})) + "
+    f"length(regexp_replace(text, {_CONTROLS})) AS n FROM t), c AS (SELECT *, sum(n) OVER w AS upto, lead(turn) OVER w IS NULL AS last FROM f "
+    "WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || "
+    "text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (reply), 0) AS BIGINT) AS "
+    "loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (reply), '')) AS loss_sha256, CAST(sum(upto) FILTER "
+    "(reply OR last) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"
+)
+
 #: Where SQL can express the whole result; the other queries are tested against plain versions.
-ORACLES = {"op3_merkle_audit": _AUDIT, "op7_jaccard_join": _LINKED}
+ORACLES = {"op3_merkle_audit": _AUDIT, "op7_jaccard_join": _LINKED, "op11_hard_negatives": _MINED, "op12_chat_format": _CHAT}
