@@ -117,11 +117,11 @@ def top_of(scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray,
 class Block:
     """A block of anchors past which rows stream."""
 
-    def __init__(self, ids, labels, vectors, windows):
+    def __init__(self, ids, labels, vectors, windows, step: int):
         self.ids, self.labels, self.vectors = ids, labels, vectors
         self.windows = windows  # per anchor a list of (low, high), or None to look for positives
         self.wide = max((len(w) for w in windows), default=0) if windows is not None else 1
-        self.parts = [slice(low, low + CHUNK_ANCHORS) for low in range(0, len(ids), CHUNK_ANCHORS)]
+        self.parts = [slice(low, low + step) for low in range(0, len(ids), step)]
         count = POSITIVES if windows is None else NEGATIVES
         self.best = [Best(len(ids[p]) * self.wide, count) for p in self.parts]
         if windows is not None:  # a window that is not there lets nothing in
@@ -166,8 +166,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive by (part, width, side): first the anchors of a block, then the rows of its part, by id."""
+def _scan(batches: Iterator[pa.RecordBatch], chunk_rows: int, chunk_anchors: int) -> Iterator[pa.RecordBatch]:
+    """Rows arrive by (block, part, width, side): the anchors of a block, then the rows of a part by id."""
 
     def stack(rows: list[pa.RecordBatch], width: int):
         table = pa.Table.from_batches(rows)
@@ -187,7 +187,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def open_block(state) -> None:
         scores = pa.Table.from_batches(state["anchors"]).column("positives").to_pylist()
         windows = None if not scores or scores[0] is None else [[window(s) for s in own if s >= 0] for own in scores]
-        state["block"] = Block(*stack(state["anchors"], state["key"][2]), windows)
+        state["block"] = Block(*stack(state["anchors"], state["key"][2]), windows, chunk_anchors)
         state["anchors"] = []
 
     state = None
@@ -207,10 +207,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if state["anchors"]:
                 open_block(state)
             while low < high and state["block"]:  # rows of a block without anchors are of no use
-                take = min(high - low, CHUNK_ROWS - state["held"])
+                take = min(high - low, chunk_rows - state["held"])
                 state["rows"].append(batch.slice(low, take))
                 state["held"], low = state["held"] + take, low + take
-                if state["held"] >= CHUNK_ROWS:
+                if state["held"] >= chunk_rows:
                     flush(state)
     yield from close(state)
 
@@ -231,7 +231,9 @@ def _streamed(rows: DataFrame, anchors: DataFrame, blocks: DataFrame, parts: int
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), "width", F.lit(1).alias("side"), "vec_id", "label", "embedding", none.alias("positives")
     )
     dealt = left.unionByName(right).repartition("block", "part", "width")
-    return dealt.sortWithinPartitions("block", "part", "width", "side", "vec_id").mapInArrow(_scan, PAIRS)
+    ordered = dealt.sortWithinPartitions("block", "part", "width", "side", "vec_id")
+    chunks = CHUNK_ROWS, CHUNK_ANCHORS
+    return ordered.mapInArrow(lambda batches: _scan(batches, *chunks), PAIRS)
 
 
 def _block() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, collision_ann, fixity, hard_negatives, jaccard_join, language_id, packing, quality, recurrent_lm, substring_dedup, wrappers
+from shelfmark.llm import bpe, chat, collision_ann, divergence, fixity, hard_negatives, jaccard_join, language_id, packing, quality, recurrent_lm, substring_dedup, wrappers
 from shelfmark.llm.tables import read
 
 
@@ -76,6 +76,11 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(given.unionByName(extra)))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence between all sources of a language, and the terms that each source overuses."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -89,6 +94,7 @@ QUERIES = {
     "op10_collision_ann": op10_collision_ann,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_chat_format": op12_chat_format,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _RECORD = (
@@ -137,6 +143,22 @@ _CHAT = (
     "loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (reply), '')) AS loss_sha256, CAST(sum(upto) FILTER "
     "(reply OR last) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"
 )
+_DIVERGENCE = (
+    "WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id, regexp_extract_all(translate("
+    r"coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents), "
+    "w AS (SELECT id, lang, source, unnest(l) AS term FROM d), "
+    f"k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= {divergence.LEAST_DOCS}), "
+    "g AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL), "
+    "q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) "
+    "AS q FROM k), p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // "
+    "(sum(coalesce(c.n, 0)) OVER w + count(*) OVER w) AS p FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = "
+    "g.source AND c.term = k.term WINDOW w AS (PARTITION BY g.lang, g.source)), r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, "
+    "coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN p x ON "
+    "x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL UNION ALL "
+    "SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q) SELECT lang, source, part, "
+    "item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank "
+    f"FROM r QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}"
+)
 
 #: Where SQL can express the whole result; the other queries are tested against plain versions.
-ORACLES = {"op3_merkle_audit": _AUDIT, "op7_jaccard_join": _LINKED, "op11_hard_negatives": _MINED, "op12_chat_format": _CHAT}
+ORACLES = {"op3_merkle_audit": _AUDIT, "op7_jaccard_join": _LINKED, "op11_hard_negatives": _MINED, "op12_chat_format": _CHAT, "op13_source_divergence": _DIVERGENCE}
