@@ -296,7 +296,9 @@ _STATES = (
     f"{_CODE} AS variant_asin, NOT {_HIT} AND NOT {i.BAD_VARIANT_PAGE} AS is_carried, coalesce(last_value(CASE WHEN {_HIT} "
     f"THEN 0 WHEN {i.BAD_VARIANT_PAGE} THEN 1 END IGNORE NULLS) {_W}, 0) AS bad FROM {_OPTIONS}"
 )
-_VARIANTS = f"SELECT * EXCLUDE (bad) FROM ({_STATES}) WHERE bad = 0"
+VARIANTS = f"SELECT * EXCLUDE (bad) FROM ({_STATES}) WHERE bad = 0"
+#: Quarantine rows of options whose state cannot be read.
+ASIDE = f"SELECT NULL, main_product_url || '#' || variant_asin, 'variant', 'no html' FROM ({_STATES}) WHERE bad = 1"
 _ASIDE_URL = f"({i.product_url()} || '#' || {_CODE})"
 _LISTING = f"({i.LISTING_SQL})"
 
@@ -317,14 +319,14 @@ _SESSION_PAGES = (
     f"{i.HAS_NEXT} AS nxt, {i.LIMIT} AS lim FROM {_LISTING} JOIN orders ON o_orderkey = l_orderkey "
     f"WHERE {i.SESSION_KIND} IN (1, 2, 4, 5))"
 )
-_REQUESTS = (
+REQUESTS = (
     f"(SELECT s AS session_id, CAST(n AS BIGINT) AS page_no, j + 1 AS link_ord, {i.product_url('pk + j')} "
     f"AS requested_url, pk + j AS part FROM {_walk(_SESSION_PAGES)}, "
     "(VALUES (CAST(0 AS BIGINT)), (1), (2)) AS t(j) UNION ALL "
     f"SELECT o_orderkey, 1, 1, {i.product_url('o_orderkey % 3000')} || '?th=1', o_orderkey % 3000 FROM orders "
     f"WHERE {i.SESSION_KIND} = 0)"
 )
-_SNAPSHOT = (
+SNAPSHOT = (
     f"(SELECT p_partkey, {i.PAGE_URL} AS url, "
     + ", ".join(
         f"CASE WHEN {i.NO_HTML} THEN '' ELSE {x} END AS {n}"
@@ -333,11 +335,12 @@ _SNAPSHOT = (
             ("price", i.FINAL_PRICE),
             ("seller_name", i.SELLER),
             ("manufacturer_name", i.MAKER),
+            ("image_url", i.IMAGE),
         )
     )
     + " FROM part)"
 )
-_TRUST = (
+TRUST = (
     "CASE WHEN EXISTS (SELECT 1 FROM nation WHERE "
     "(seller_name <> '' AND (contains(lower(seller_name), lower('Shop ' || CAST(n_nationkey + 30 AS STRING))) OR "
     "contains(lower('Shop ' || CAST(n_nationkey + 30 AS STRING)), lower(seller_name)))) OR "
@@ -346,12 +349,12 @@ _TRUST = (
     "THEN 'Whitelisted' ELSE 'False' END"
 )
 _S_PRODUCTS = (
-    f"(SELECT r.session_id, r.requested_url, title, price, {_TRUST} AS is_whitelisted FROM {_REQUESTS} r "
-    f"JOIN {_SNAPSHOT} s ON s.p_partkey = r.part WHERE (title <> '' OR price <> ''))"
+    f"(SELECT r.session_id, r.requested_url, title, price, {TRUST} AS is_whitelisted FROM {REQUESTS} r "
+    f"JOIN {SNAPSHOT} s ON s.p_partkey = r.part WHERE (title <> '' OR price <> ''))"
 )
 _S_VARIANTS = (
     f"(SELECT r.session_id, r.requested_url AS main_product_url, v.variant_product_url, v.title, "
-    f"v.variant_price, {_TRUST} AS is_whitelisted FROM {_REQUESTS} r JOIN ({_VARIANTS}) v ON v.page_id = r.part)"
+    f"v.variant_price, {TRUST} AS is_whitelisted FROM {REQUESTS} r JOIN ({VARIANTS}) v ON v.page_id = r.part)"
 )
 
 QUERIES = {
@@ -370,24 +373,24 @@ QUERIES = {
         options_per_dimension_query,
         f"SELECT p_partkey AS page_id, dim, count(*) AS n_options FROM {_OPTIONS} GROUP BY 1, 2",
     ),
-    "variants": (variants, _VARIANTS),
+    "variants": (variants, VARIANTS),
     "variants_matched_only": (
         variants_matched_only,
-        f"SELECT * FROM ({_VARIANTS}) WHERE NOT is_carried",
+        f"SELECT * FROM ({VARIANTS}) WHERE NOT is_carried",
     ),
     "variant_sink_rows": (
         variant_sink_rows,
         "SELECT variant_product_url, main_product_url, title, variant_price, seller_name, manufacturer_name, "
-        f"image_url, 'False' AS is_whitelisted FROM ({_VARIANTS})",
+        f"image_url, 'False' AS is_whitelisted FROM ({VARIANTS})",
     ),
     "variants_per_product": (
         variants_per_product_query,
-        f"SELECT main_product_url, count(*) AS n_variants FROM ({_VARIANTS}) GROUP BY 1",
+        f"SELECT main_product_url, count(*) AS n_variants FROM ({VARIANTS}) GROUP BY 1",
     ),
     "products_with_variants": (
         products_with_variants,
-        f"WITH c AS (SELECT page_id AS p_partkey, count(*) AS n FROM ({_VARIANTS}) GROUP BY 1) SELECT s.p_partkey AS page_id, "
-        f"{i.product_url('s.p_partkey')} AS requested_url, coalesce(n, 0) AS n_variants FROM {_SNAPSHOT} s "
+        f"WITH c AS (SELECT page_id AS p_partkey, count(*) AS n FROM ({VARIANTS}) GROUP BY 1) SELECT s.p_partkey AS page_id, "
+        f"{i.product_url('s.p_partkey')} AS requested_url, coalesce(n, 0) AS n_variants FROM {SNAPSHOT} s "
         "LEFT JOIN c ON c.p_partkey = s.p_partkey WHERE title <> '' OR price <> ''",
     ),
     "next_page_flag": (
@@ -409,12 +412,12 @@ QUERIES = {
     ),
     "product_requests": (
         product_requests,
-        f"SELECT session_id, page_no, link_ord, requested_url FROM {_REQUESTS}",
+        f"SELECT session_id, page_no, link_ord, requested_url FROM {REQUESTS}",
     ),
     "listing_to_product": (
         listing_to_product,
         "SELECT session_id, requested_url, s.p_partkey IS NOT NULL AS found, coalesce(title, '') AS title, "
-        f"coalesce(price, '') AS price FROM {_REQUESTS} r LEFT JOIN {_SNAPSHOT} s ON s.p_partkey = r.part",
+        f"coalesce(price, '') AS price FROM {REQUESTS} r LEFT JOIN {SNAPSHOT} s ON s.p_partkey = r.part",
     ),
     "session_products": (session_products, f"SELECT * FROM {_S_PRODUCTS}"),
     "session_variants": (session_variants, f"SELECT * FROM {_S_VARIANTS}"),
@@ -432,32 +435,32 @@ QUERIES = {
     "variant_csv_roundtrip": (
         variant_csv_roundtrip,
         "SELECT variant_product_url, main_product_url, title, variant_price, seller_name, manufacturer_name, "
-        f"image_url, 'False' AS is_whitelisted FROM ({_VARIANTS})",
+        f"image_url, 'False' AS is_whitelisted FROM ({VARIANTS})",
     ),
     "bundle_export": (
         bundle_export,
-        f"SELECT 'Products' AS member, url, title, {_TRUST} AS is_whitelisted, true AS in_order FROM {_SNAPSHOT} WHERE "
-        f"title <> '' OR price <> '' UNION ALL SELECT 'Variants', main_product_url, title, {_TRUST}, true FROM "
-        f"({_VARIANTS})",
+        f"SELECT 'Products' AS member, url, title, {TRUST} AS is_whitelisted, true AS in_order FROM {SNAPSHOT} WHERE "
+        f"title <> '' OR price <> '' UNION ALL SELECT 'Variants', main_product_url, title, {TRUST}, true FROM "
+        f"({VARIANTS})",
     ),
     "stream_variants": (
         stream_variants,
         f"SELECT variant_product_url, {i.PAGE_URL.replace('p_partkey', 'page_id')} AS main_product_url, title, "
-        f"variant_price, seller_name, manufacturer_name, image_url, {_TRUST} AS is_whitelisted FROM ({_VARIANTS})",
+        f"variant_price, seller_name, manufacturer_name, image_url, {TRUST} AS is_whitelisted FROM ({VARIANTS})",
     ),
     "stream_totals": (
         stream_totals,
         f"WITH o AS (SELECT p_partkey, count(*) AS n FROM {_OPTIONS} GROUP BY 1) SELECT p_partkey % 50 AS session_id, "
         "CAST(sum(CASE WHEN title <> '' OR price <> '' THEN 1 ELSE 0 END) AS BIGINT) AS total_products, "
-        f"CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_variants FROM {_SNAPSHOT} LEFT JOIN o USING (p_partkey) GROUP BY 1",
+        f"CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_variants FROM {SNAPSHOT} LEFT JOIN o USING (p_partkey) GROUP BY 1",
     ),
     "session_quarantine": (
         session_quarantine,
         f"SELECT s.p_partkey AS page_id, r.requested_url AS url, 'product' AS stage, CASE WHEN s.p_partkey IS NULL "
-        f"THEN 'no snapshot' ELSE 'no html' END AS error FROM {_REQUESTS} r LEFT JOIN {_SNAPSHOT} s ON "
+        f"THEN 'no snapshot' ELSE 'no html' END AS error FROM {REQUESTS} r LEFT JOIN {SNAPSHOT} s ON "
         "s.p_partkey = r.part WHERE s.p_partkey IS NULL OR s.p_partkey % 101 IN (50, 51) UNION ALL "
         f"SELECT NULL, {i.START_URL}, 'session', CASE WHEN {i.SESSION_KIND} IN (3, 6) THEN 'no rules' ELSE 'page limit' "
         f"END FROM orders WHERE {i.SESSION_KIND} IN (3, 6) OR {i.LIMIT} IS NULL UNION ALL "
-        f"SELECT NULL, main_product_url || '#' || variant_asin, 'variant', 'no html' FROM ({_STATES}) WHERE bad = 1",
+        + ASIDE,
     ),
 }

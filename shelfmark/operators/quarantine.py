@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def rejected(
-    df: DataFrame, stage: str, error: Column, page_id: Column | None = None, url: str = "url"
+    df: DataFrame,
+    stage: str,
+    error: Column,
+    page_id: Column | None = None,
+    url: str = "url",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(page_id, url, stage, error)`` for rows whose ``error`` is not NULL."""
+    """``(page_id, url, stage, error)`` for rows whose ``error`` is not NULL, after columns to ``keep``."""
     ident = F.lit(None).cast("bigint") if page_id is None else page_id.cast("bigint")
     return df.select(
+        *keep,
         ident.alias("page_id"),
         F.col(url).alias("url"),
         F.lit(stage).alias("stage"),

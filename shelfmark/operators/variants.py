@@ -130,6 +130,21 @@ def one_per_option(records: DataFrame) -> DataFrame:
     return first_rows(rows, ["main_key", "asin"], order)
 
 
+def carry_states(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """Options with their own ``variant`` record or NULL to the ``state`` each one selects.
+
+    An unmatched option keeps the state before it, at first the main page's own record. The
+    window covers the options of one page, which ``keys`` tell apart.
+    """
+    w = (
+        Window.partitionBy(*keys)
+        .orderBy("dim_ord", "opt_ord")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    state = F.coalesce(F.last("variant", ignorenulls=True).over(w), F.struct(*_STATE))
+    return joined.withColumns({"state": state, "is_carried": F.col("variant").isNull()}).drop("variant")
+
+
 def variant_states(
     options: DataFrame,
     records: DataFrame,
@@ -138,20 +153,12 @@ def variant_states(
 ) -> DataFrame:
     """Join every option to its snapshot and carry the last one over unmatched options.
 
-    ``options`` are flattened and still hold the main page's own record; it is the
-    state before any option is selected. A window covers one page's options only.
+    ``options`` are flattened and still hold the main page's own record. Pages are told apart
+    by URL and page together, as a page_id may be missing or shared.
     """
     keyed = options.withColumn("main_key", canonical(F.col(main_url)))
     joined = keyed.join(one_per_option(records), ["main_key", "asin"], "left")
-    w = (
-        Window.partitionBy(page)
-        .orderBy("dim_ord", "opt_ord")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    state = F.coalesce(F.last("variant", ignorenulls=True).over(w), F.struct(*_STATE))
-    return joined.withColumns({"state": state, "is_carried": F.col("variant").isNull()}).drop(
-        "main_key", "variant"
-    )
+    return carry_states(joined, ["main_key", page]).drop("main_key")
 
 
 def variant_records(
@@ -178,7 +185,11 @@ def variant_records(
 
 
 def split_variants(
-    states: DataFrame, on_missing: str = CARRY, main_url: str = "main_product_url", keep: tuple[str, ...] = ()
+    states: DataFrame,
+    on_missing: str = CARRY,
+    main_url: str = "main_product_url",
+    keep: tuple[str, ...] = (),
+    keep_aside: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Variant records of joined options, and quarantine rows of the others.
 
@@ -191,7 +202,8 @@ def split_variants(
     if on_missing == QUARANTINE:
         error = F.when(F.col("is_carried"), F.lit("no snapshot")).otherwise(error)
         found = states.filter(~F.col("is_carried"))
-    aside = rejected(states.withColumn("_url", F.concat_ws("#", main_url, "asin")), "variant", error, url="_url")
+    named = states.withColumn("_url", F.concat_ws("#", main_url, "asin"))
+    aside = rejected(named, "variant", error, url="_url", keep=keep_aside)
     return variant_records(found, main_url, keep), aside
 
 

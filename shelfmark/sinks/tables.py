@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .runs import RunLog
 
 #: CSV in the usual spreadsheet form: quotes doubled, empty strings as nothing,
 #: blanks kept, lines ended by CR LF. A line break inside a value is written as CR LF
@@ -48,6 +49,28 @@ def write_variants(df: DataFrame, path: str, mode: str = "append", fmt: str = "p
     _write(variant_rows(df), path, mode, fmt)
 
 
+def append_run(
+    spark: SparkSession,
+    path: str,
+    run: str,
+    products: DataFrame | None = None,
+    variants: DataFrame | None = None,
+) -> bool:
+    """Append a run's product and variant rows as one commit; a run that is there already adds nothing.
+
+    Unlike a plain append this can be repeated after any failure: what a broken attempt
+    left is never read. ``read_run_table`` follows the commits.
+    """
+    tables = {} if products is None else {"products": product_rows(products)}
+    tables |= {} if variants is None else {"variants": variant_rows(variants)}
+    return RunLog(spark, path).append(tables, run=run)
+
+
+def read_run_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """All committed ``products`` or ``variants`` rows."""
+    return RunLog(spark, path).read(table)
+
+
 def _write(rows: DataFrame, path: str, mode: str, fmt: str) -> None:
     if fmt == "csv":
         write_csv(rows, path, mode)

@@ -9,9 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.nodes import with_dom
 from ..functions.urls import host
 from ..operators.extract import extract_products, keep_record, kept_products, with_product
+from ..operators.quarantine import rejected
 from ..operators.variants import CARRY, dimensions, flatten_options, split_variants, variant_states
 from ..operators.whitelist import label
 from ..plans.rules import PlatformRules
+from ..session import stage
+from ..sinks.runs import ChangeLog
 from ..sinks.tables import product_rows, variant_rows
 
 
@@ -34,21 +37,24 @@ def start_dual_sink(
 ) -> StreamingQuery:
     """Append products, then their variants, then quarantine rows of every micro-batch.
 
-    ``variant_pages`` is a table of snapshots, read anew in every batch. Each batch writes to
-    folders named by its id and replaces them, and ``checkpoint`` remembers which batches
-    are done, so a restart neither loses nor repeats rows. Pages are parsed once per batch.
+    ``variant_pages`` is a table of snapshots, parsed once before the stream starts; where they
+    arrive meanwhile, use ``catalog.start_catalog``. Each batch writes to folders named by its id
+    and replaces them, and ``checkpoint`` remembers which batches are done, so a restart neither
+    loses nor repeats rows. Pages are parsed once per batch.
     """
+    records = stage(extract_products(variant_pages, rules), "variant-records")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.persist()
         try:
             mains = parsed.filter("parse_error IS NULL").withColumn("main_product_url", F.col("product_url"))
-            states = variant_states(flatten_options(mains), extract_products(variant_pages, rules))
+            states = variant_states(flatten_options(mains), records)
             variants, aside = split_variants(states, on_missing)
+            unread = rejected(parsed, "product", F.col("parse_error"), F.col("page_id"), "product_url")
             outputs = {
                 "products": product_rows(label(kept_products(parsed).drop("dims"), whitelist)),
                 "variants": variant_rows(label(variants, whitelist)),
-                "quarantine": aside,
+                "quarantine": unread.unionByName(aside),
             }
             for name, rows in outputs.items():
                 rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
@@ -66,24 +72,35 @@ def start_totals(
     checkpoint: str,
     once: bool = True,
     by: str = "domain",
+    compact_after: int = 64,
 ) -> StreamingQuery:
-    """Running product and variant totals per session or domain; each batch writes what changed.
+    """Running product and variant totals per session or domain; each batch commits what changed.
 
-    ``by`` is a column of the pages, such as ``session_id``, or ``domain``.
+    ``by`` is a column of the pages, such as ``session_id``, or ``domain``. After ``compact_after``
+    batches the changes become one base table, so readers never open more folders than that.
     """
+    spark = pages.sparkSession
     records = page_records(pages, rules)
     key: Column = host(F.col("product_url")) if by == "domain" else F.col(by)
     is_product = keep_record(F.col("title"), F.col("price")).cast("bigint")
     options = F.aggregate(
         "dims", F.lit(0).cast("bigint"), lambda n, d: n + F.size(d["options"]).cast("bigint")
     )
-    totals = records.groupBy(key.alias(by)).agg(
+    totals = records.groupBy(key.alias("key")).agg(
         F.sum(is_product).alias("total_products"),
         F.sum(F.coalesce(options, F.lit(0).cast("bigint"))).alias("total_variants"),
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/totals/batch={batch_id}")
+        log = ChangeLog(spark, f"{out}/totals")
+        if log.has(number=batch_id):
+            return
+        rows = batch.withColumn("version", F.lit(batch_id).cast("long")).persist()
+        try:
+            log.append({ChangeLog.CHANGED: rows.select("key", "version"), "totals": rows}, number=batch_id)
+        finally:
+            rows.unpersist()
+        log.compact(after=compact_after)
 
     writer = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
@@ -91,6 +108,5 @@ def start_totals(
 
 def read_totals(spark: SparkSession, out: str, by: str = "domain") -> DataFrame:
     """Latest totals of each session or domain."""
-    rows = spark.read.parquet(f"{out}/totals")
-    latest = F.max_by(F.struct("total_products", "total_variants"), F.col("batch"))
-    return rows.groupBy(by).agg(latest.alias("t")).select(by, "t.*")
+    rows = ChangeLog(spark, f"{out}/totals").latest("totals")
+    return rows.select(F.col("key").alias(by), "total_products", "total_variants")
