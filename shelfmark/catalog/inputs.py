@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, key: str, per_task: int = 2_500) -> DataFrame:
-    """Narrow rows dealt by their number, before a page grows out of each."""
-    return rows.repartition(max(1, -(-rows.count() // per_task)), key)
+def dealt(rows: DataFrame, key: str, per_task: int = 2_500, most: DataFrame | None = None) -> DataFrame:
+    """Narrow rows dealt by their number, before a page grows out of each.
+
+    ``most`` is a plain table with at least as many rows; its count costs no computation.
+    """
+    return rows.repartition(max(1, -(-(rows if most is None else most).count() // per_task)), key)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +496,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("pk"))
     )
-    return dealt(lines, "l_orderkey", 25_000).select(
+    return dealt(lines, "l_orderkey", 25_000, table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("session_id"),
         F.col("l_linenumber").alias("page_no"),
         F.lit("https://www.amazon.in/s?k=q").alias("url"),

@@ -25,6 +25,7 @@ from ..plans.retail import (
     product_facts,
     run,
     single_requests,
+    walked_pages,
 )
 from ..operators.whitelist import label
 from ..plans.rules import AMAZON
@@ -212,8 +213,9 @@ def listing_horizon_query(spark, sf):
 
 
 def _requests(spark, sf):
-    sess = classify_sessions(i.sessions(spark, sf)).filter("platform = 'amazon'")
-    facts = stage(listing_facts(i.listing_pages(spark, sf), AMAZON), "listing-facts")
+    sess = stage(classify_sessions(i.sessions(spark, sf)), "sessions").filter("platform = 'amazon'")
+    pages = walked_pages(i.listing_pages(spark, sf), sess)
+    facts = stage(listing_facts(pages, AMAZON), "listing-facts")
     return single_requests(sess).unionByName(listing_requests(facts, sess))
 
 

@@ -12,7 +12,7 @@ from ..functions.platforms import detect
 from ..functions.urls import canonical, host, is_single_product
 from ..operators import quarantine as quarantine_ops
 from ..operators.extract import extract_products, kept_products, with_product
-from ..operators.joins import first_rows
+from ..operators.joins import first_rows, likely_among
 from ..operators.links import page_product_links
 from ..operators.paging import has_next, listing_horizon, page_limit
 from ..operators.summary import session_totals
@@ -63,6 +63,12 @@ def listing_facts(listing_pages: DataFrame, rules: PlatformRules) -> DataFrame:
     ).withColumn("n_links", F.coalesce(F.size("links"), F.lit(0)))
 
 
+def walked_pages(listing_pages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Listing snapshots of the sessions that walk at all, and of few others; tested before the parse."""
+    walks = sessions.filter("NOT is_single AND has_rules AND page_limit IS NOT NULL")
+    return likely_among(listing_pages, F.col("session_id"), walks, "session_id")
+
+
 def listing_requests(facts: DataFrame, sessions: DataFrame) -> DataFrame:
     """Product requests of listing sessions, page by page until the walk stops."""
     limits = sessions.filter("NOT is_single AND has_rules").select("session_id", "page_limit")
@@ -110,11 +116,15 @@ class Result:
     of them read is staged the first time, so one output does not pay for the others."""
 
     def __init__(self, sessions, listing_pages, pages, variant_pages, whitelist, rules, on_missing, with_variants):
-        self._sessions = classify_sessions(sessions)
+        self._given = sessions
         self._listing_pages, self._pages, self._variant_pages = listing_pages, pages, variant_pages
         self._whitelist, self._rules = whitelist, rules
         self._on_missing, self._with_variants = on_missing, with_variants
 
+    @cached_property
+    def _sessions(self) -> DataFrame:
+        return stage(classify_sessions(self._given), "sessions")
+
     @cached_property
     def _own(self) -> DataFrame:
         """Sessions of the platform."""
@@ -122,7 +132,8 @@ class Result:
 
     @cached_property
     def _listings(self) -> DataFrame:
-        return stage(listing_facts(self._listing_pages, self._rules), "listing-facts")
+        """Of the sessions that walk; no other listing page is parsed."""
+        return stage(listing_facts(walked_pages(self._listing_pages, self._own), self._rules), "listing-facts")
 
     @cached_property
     def _requests(self) -> DataFrame:
@@ -131,16 +142,25 @@ class Result:
 
     @cached_property
     def _facts(self) -> DataFrame:
-        return stage(one_per_url(product_facts(self._pages, self._rules)), "product-facts")
+        """Of the pages that are asked for; no other product page is parsed."""
+        wanted = likely_among(self._pages, canonical(F.col("url")), self._requests, "key")
+        return stage(one_per_url(product_facts(wanted, self._rules)), "product-facts")
 
     @cached_property
     def _states(self) -> DataFrame:
-        """Options of all product pages with the state they select."""
-        site = self._variant_pages.filter(on_platform(self._rules))
-        records = extract_products(site, self._rules)
-        mains = self._facts.filter("size(dims) > 0").withColumn("main_product_url", F.col("key"))
+        """Options of the pages that are asked for with the state they select."""
+        wanted = likely_among(self._variant_pages, canonical(F.col("main_product_url")), self._requests, "key")
+        return stage(self._selected(self._facts, wanted), "variants")
+
+    @cached_property
+    def _all_facts(self) -> DataFrame:
+        return stage(one_per_url(product_facts(self._pages, self._rules)), "all-product-facts")
+
+    def _selected(self, facts: DataFrame, variant_pages: DataFrame) -> DataFrame:
+        records = extract_products(variant_pages.filter(on_platform(self._rules)), self._rules)
+        mains = facts.filter("size(dims) > 0").withColumn("main_product_url", F.col("key"))
         mains = mains.filter(F.lit(self._with_variants))
-        return stage(variant_states(flatten_options(mains), records), "variants")
+        return variant_states(flatten_options(mains), records)
 
     def _requested(self, rows: DataFrame) -> DataFrame:
         rows = rows.withColumnRenamed("main_product_url", "key")
@@ -160,19 +180,21 @@ class Result:
 
     @cached_property
     def quarantine(self) -> DataFrame:
-        opened = self._requests.join(self._facts.select("key", "page_id", "parse_error"), "key", "left")
+        """Of all snapshots given, asked for or not."""
+        opened = self._requests.join(self._all_facts.select("key", "page_id", "parse_error"), "key", "left")
         missing = F.when(F.col("page_id").isNull(), F.lit("no snapshot")).otherwise(F.col("parse_error"))
         bad = F.when(~F.col("has_rules"), F.lit("no rules")).when(F.col("page_limit").isNull(), F.lit("page limit"))
         rows = (
             quarantine_ops.rejected(opened, "product", missing, F.col("page_id"), "requested_url")
-            .unionByName(quarantine_ops.rejected(self._listings, "listing", F.col("parse_error")))
+            .unionByName(quarantine_ops.rejected(listing_facts(self._listing_pages, self._rules), "listing", F.col("parse_error")))
             .unionByName(quarantine_ops.rejected(self._sessions, "session", bad, url="start_url"))
         )
         return rows.unionByName(self.variant_quarantine)
 
     @cached_property
     def variant_quarantine(self) -> DataFrame:
-        return split_variants(self._states, self._on_missing)[1]
+        states = self._selected(self._all_facts, self._variant_pages)
+        return split_variants(states, self._on_missing)[1]
 
     @cached_property
     def totals(self) -> DataFrame:
