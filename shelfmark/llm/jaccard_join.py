@@ -16,7 +16,8 @@ What keeps the matrix small, all of it exact:
   matrix. With k shared prefix tokens, two sets can share no more than k and what follows the prefix.
 
 A null or empty text has the empty set and is linked with nothing. Rows with one doc_id are one
-document; rows without get no component. Repeated rows each get their row. Extra columns are ignored.
+document, which their links reach from each of its texts; rows without get no component. Every row given
+gets its row, repeated ones too. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,38 +65,57 @@ def _reduce(how: np.ufunc, values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), hi and lo (digest of the set) and the min-hash band keys of every text."""
+def _digest(token: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each text's set."""
+    return [_reduce(np.add, W.mix(token ^ np.uint64(salt)), begin) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+
+
+def profiles(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n (set size), hi and lo (digest of the set) and the min-hash band keys of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, words in W.word_slices(batch.column("text"), lower=True):
                 token, begin = sets(words)
-                digest = [_reduce(np.add, W.mix(token ^ np.uint64(salt)), begin) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                digest = _digest(token, begin)
                 least = [_reduce(np.minimum, (token ^ seed) * seed, begin) for seed in _SEEDS]
                 bands = np.zeros((words.rows, BANDS), np.uint64)
                 for b in range(BANDS):
                     for r in range(BAND_ROWS):
                         bands[:, b] = W.mix(bands[:, b] + least[b * BAND_ROWS + r])
                     bands[:, b] = W.mix(bands[:, b] + np.uint64(b))
-                columns = [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(begin)), W.signed(digest[0]), W.signed(digest[1])]
+                columns = [*(batch.column(c).slice(low, high - low) for c in carry), pa.array(np.diff(begin)), W.signed(digest[0]), W.signed(digest[1])]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(words.rows + 1) * BANDS, pa.int32()), W.signed(bands.ravel())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "hi", "lo", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, [*carry, "n", "hi", "lo", "bands"])
+
+    ids = ", ".join(f"{c} long" for c in carry)
+    return docs.select(*carry, "text").mapInArrow(run, f"{ids}, n long, hi long, lo long, bands array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, bands array<long>")
+def _own_texts(batch: pa.RecordBatch, low: int, token: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which texts of a slice are their class's: those of a doc_id that has several texts tell them by ``check``."""
+    check = batch.column("check").slice(low, len(begin) - 1)
+    if check.null_count == len(check):
+        return np.ones(len(begin) - 1, bool)
+    hi = _digest(token, begin)[0].view(np.int64)
+    return np.asarray(check.is_null()) | (check.fill_null(0).to_numpy() == hi)
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, n and tokens of the documents of a staged list of ids."""
+    """rep, n and tokens of staged classes (rep, doc_id, check)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, words in W.word_slices(batch.column("text"), lower=True):
                 token, begin = sets(words)
                 tokens = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), W.signed(token))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(np.diff(begin)), tokens], ["doc_id", "n", "tokens"])
+                rows = pa.RecordBatch.from_arrays([batch.column("rep").slice(low, high - low), pa.array(np.diff(begin)), tokens], ["rep", "n", "tokens"])
+                own = _own_texts(batch, low, token, begin)
+                yield rows if own.all() else rows.filter(pa.array(own))
 
-    return with_narrow(docs, wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, n long, tokens array<long>")
+    # equal rows of one doc_id give equal sets
+    told = with_narrow(docs, wanted, "doc_id").select("rep", "check", "text")
+    return told.mapInArrow(run, "rep long, n long, tokens array<long>").dropDuplicates(["rep"])
 
 
 def linked(a: str, b: str) -> F.Column:
@@ -121,14 +141,14 @@ def clusters(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     own = stage(near.select("rep", F.col("rep").alias("cluster")).distinct(), "jaccard-clusters")
     if own.isEmpty():
         return leaders, own
-    full = stage(token_sets(docs, own.select(F.col("rep").alias("doc_id"))), "jaccard-near-sets")
+    full = stage(token_sets(docs, stage(classes.select("rep", "doc_id", "check").join(own.select("rep"), "rep"), "jaccard-near-docs")), "jaccard-near-sets")
     for turn in range(ROUNDS):
         rows = near.select("band", "rep").join(own, "rep")
         rank = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("leader"), F.col("cluster").alias("of"))
         chief = rows.groupBy("band").agg(F.min(rank).alias("c")).select("band", F.col("c.o").alias("o"), F.col("c.leader").alias("leader"), F.col("c.of").alias("of"))
         pairs = rows.join(chief, "band").where(F.col("cluster") != F.col("of"))
         pairs = pairs.groupBy("rep", "cluster").agg(F.min(F.struct("o", "leader", "of")).alias("c")).select("rep", "cluster", "c.leader", "c.of")
-        found = pairs.join(full.alias("a"), F.col("rep") == F.col("a.doc_id")).join(full.alias("b"), F.col("leader") == F.col("b.doc_id"))
+        found = pairs.alias("p").join(full.alias("a"), F.col("p.rep") == F.col("a.rep")).join(full.alias("b"), F.col("leader") == F.col("b.rep"))
         found = found.where(like_sizes(F.col("a.n"), F.col("b.n"))).where(linked("a", "b"))
         own = stage(merged(own, found.select(F.col("cluster").alias("a"), F.col("of").alias("b"))), "jaccard-clusters")
     return leaders, own
@@ -142,7 +162,7 @@ def merged(own: DataFrame, edges: DataFrame) -> DataFrame:
 
 def groups(classes: DataFrame, leaders: DataFrame, own: DataFrame) -> DataFrame:
     """Every representative's group, with the group's least and largest set, and its cluster if it has just one."""
-    rows = classes.select("rep", "n").join(leaders, "rep", "left").join(own, "rep", "left")
+    rows = classes.select("rep", "doc_id", "check", "n").join(leaders, "rep", "left").join(own, "rep", "left")
     rows = rows.withColumn("cluster", F.coalesce("cluster", "rep"))
     alone = F.col("cluster") == F.col("rep")
     first = F.when(alone, F.coalesce("leader", "rep")).otherwise(F.col("cluster"))
@@ -152,13 +172,13 @@ def groups(classes: DataFrame, leaders: DataFrame, own: DataFrame) -> DataFrame:
     size = stage(rows.withColumn("key", key).groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS), "jaccard-sizes")
     rows = rows.withColumn("key", key).join(size, "key", "left")
     cut = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("rows", F.lit(1)) / GROUP_ROWS))
-    rows = rows.withColumn("gid", F.xxhash64("key", cut)).select("rep", "gid", "cluster", "n")
+    rows = rows.withColumn("gid", F.xxhash64("key", cut)).select("rep", "doc_id", "check", "gid", "cluster", "n")
     info = rows.groupBy("gid").agg(
         F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("cluster").alias("c_min"), F.max("cluster").alias("c_max"), F.count("*").alias("rows")
     ).where("rows > 1")
     many = F.col("n_min").isNotNull()
     return rows.join(info, "gid", "left").select(
-        F.col("rep").alias("doc_id"), "gid", "cluster", F.coalesce("n_min", "n").alias("n_min"), F.coalesce("n_max", "n").alias("n_max"),
+        "rep", "doc_id", "check", "gid", "cluster", F.coalesce("n_min", "n").alias("n_min"), F.coalesce("n_max", "n").alias("n_max"),
         many.alias("many"), F.when(F.col("c_min") == F.col("c_max"), F.col("c_min")).alias("uniform"),
     )
 
@@ -191,12 +211,13 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 token, begin = sets(words)
                 n = np.diff(begin)
                 doc = np.repeat(np.arange(words.rows), n)
+                own = _own_texts(batch, low, token, begin)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
                     order = np.lexsort((frequent[at] == token, doc))  # stable: ascending tokens stay so
                     token = token[order]
                 place = np.arange(len(token)) - begin[doc]
-                kept = place <= (n - (n * PERCENT + 99) // 100)[doc]
+                kept = (place <= (n - (n * PERCENT + 99) // 100)[doc]) & own[doc]
                 rows = pa.array(doc[kept] + low)
                 yield pa.RecordBatch.from_arrays([W.signed(token[kept]), *(batch.column(c).take(rows) for c in names)], ["token", *names])
 
@@ -223,30 +244,64 @@ def opened(matrix: DataFrame) -> DataFrame:
 def links_between(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Clusters (a, b) of opened groups between whose documents there is an exact link."""
     wanted = pairs.select(F.col("gid_a").alias("gid")).union(pairs.select("gid_b")).distinct()
-    inside = stage(members.select("doc_id", "gid", "cluster").join(wanted, "gid", "left_semi"), "jaccard-members")
-    full = stage(token_sets(docs, inside.select("doc_id").distinct()).join(inside, "doc_id"), "jaccard-sets")
+    inside = stage(members.select("rep", "doc_id", "check", "gid", "cluster").join(wanted, "gid", "left_semi"), "jaccard-members")
+    full = stage(token_sets(docs, inside.select("rep", "doc_id", "check")).join(inside.select("rep", "gid", "cluster"), "rep"), "jaccard-sets")
     left = pairs.join(full.alias("a"), F.col("gid_a") == F.col("a.gid"))
-    new = (F.col("a.cluster") != F.col("b.cluster")) & ((F.col("gid_a") != F.col("gid_b")) | (F.col("a.doc_id") < F.col("b.doc_id")))
+    new = (F.col("a.cluster") != F.col("b.cluster")) & ((F.col("gid_a") != F.col("gid_b")) | (F.col("a.rep") < F.col("b.rep")))
     both = left.join(full.alias("b"), (F.col("gid_b") == F.col("b.gid")) & new & like_sizes(F.col("a.n"), F.col("b.n")))
     return both.where(linked("a", "b")).select(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).distinct()
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stage(profiles(docs), "jaccard-profiles")
-    alike = seen.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"))
-    classes = stage(alike, "jaccard-classes")
-    leaders, own = clusters(docs, classes)
+def text_clusters(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """(carried columns, n, hi, lo) of every row, and (hi, lo, cluster, doc_id) of every set that rows with a
+    doc_id have: sets whose links connect them have one cluster; doc_id is the least of the set's rows.
+
+    ``carry`` names long columns, doc_id among them.
+    """
+    texts = docs.select("doc_id", "text")
+    seen = stage(profiles(docs, carry), "jaccard-profiles")
+    named = seen.where("n > 0 and doc_id is not null")
+    alike = named.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    alike = stage(alike.withColumn("rep", F.monotonically_increasing_id()), "jaccard-alike")
+    several = alike.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("several"))
+    # a doc_id may be the least of one set only and still have other texts
+    several = several.union(several_texts(named)).distinct()
+    check = F.when(F.col("several"), F.col("hi")).alias("check")
+    classes = stage(alike.join(several, "doc_id", "left").select("rep", "doc_id", check, "hi", "lo", "n", "bands"), "jaccard-classes")
+    leaders, own = clusters(texts, classes)
     members = stage(groups(classes, leaders, own), "jaccard-groups")
-    narrow = members.select("doc_id", "gid", "n_min", "n_max", "uniform")
-    told = with_narrow(docs, narrow, "doc_id")
+    narrow = members.select("doc_id", "check", "gid", "n_min", "n_max", "uniform")
+    told = with_narrow(texts, narrow, "doc_id")
     matrix = prefixes(told, frequent_tokens(told))
     mixed = members.where("many and uniform is null").select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b")).distinct()
     pairs = stage(opened(matrix).union(mixed), "jaccard-opened")
-    found = links_between(docs, members, pairs)
-    final = merged(members.select(F.col("doc_id").alias("rep"), "cluster"), found)
-    of_class = classes.select("hi", "lo", "rep").join(final, "rep").select("hi", "lo", F.col("cluster").alias("component"))
-    rows = seen.select("doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    found = links_between(texts, members, pairs)
+    final = merged(members.select("rep", "cluster"), found)
+    return seen, stage(classes.join(final, "rep").select("hi", "lo", "cluster", "doc_id"), "jaccard-final")
+
+
+def several_texts(named: DataFrame) -> DataFrame:
+    """(doc_id, several) of the doc_ids that have different sets."""
+    ends = named.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("a"), F.max(F.struct("hi", "lo")).alias("b"))
+    return ends.where("a < b").select("doc_id", F.lit(True).alias("several"))
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    seen, sets_of = text_clusters(docs)
+    # a doc_id with several texts links their clusters
+    several = stage(several_texts(seen.where("n > 0 and doc_id is not null")), "jaccard-several")
+    held = seen.join(several, "doc_id").join(sets_of.select("hi", "lo", "cluster"), ["hi", "lo"]).select("doc_id", "cluster").distinct()
+    first = held.groupBy("doc_id").agg(F.min("cluster").alias("a"))
+    joined = merged(sets_of.select(F.col("cluster").alias("rep"), "cluster").distinct(), held.join(first, "doc_id").select("a", F.col("cluster").alias("b")))
+    whole = sets_of.join(joined.select(F.col("rep").alias("cluster"), F.col("cluster").alias("whole")), "cluster")
+    least = whole.groupBy("whole").agg(F.min("doc_id").alias("component"))
+    of_set = whole.join(least, "whole").select("hi", "lo", "component")
+    rows = seen.select("doc_id", "n", "hi", "lo").join(of_set, ["hi", "lo"], "left")
+    # rows without words go with the other texts of their doc_id
+    empty = seen.where("n = 0 and doc_id is not null").select("doc_id").distinct()
+    other = seen.where("n > 0").join(empty, "doc_id").join(of_set, ["hi", "lo"]).groupBy("doc_id").agg(F.min("component").alias("other"))
+    rows = with_narrow(rows, stage(other, "jaccard-other"), "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "other", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -76,6 +76,29 @@ def test_odd_rows(odd_documents, no_documents):
     assert J.link_components(no_documents).count() == 0
 
 
+def by_row(rows):
+    """(doc_id, set size, component) per row; a document's texts share their links."""
+    texts = {n: t for n, (d, t) in enumerate(rows) if d is not None}
+    of = plain(texts.items())
+    least = {}
+    for n, (_, c) in of.items():
+        least.setdefault(c, set()).add(rows[n][0])
+    joined = {d: {d} for d, _ in rows if d is not None}
+    for ids in least.values():
+        every = set().union(*(joined[d] for d in ids))
+        for d in every:
+            joined[d] = every
+    return sorted((d, of[n][0], min(joined[d])) if d is not None else (-1, plain([(0, t)])[0][0], -1) for n, (d, t) in enumerate(rows))
+
+
+def test_one_doc_id_under_several_texts(spark):
+    text = lambda p, n=12: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("p")), (7, text("z")), (9, text("p", 13)), (9, text("q")), (4, text("q")), (4, text("q")), (8, text("a")), (8, "")]
+    rows += [(3, ""), (3, text("b")), (2, text("b")), (2, None), (1, None), (None, text("a")), (None, ""), (6, text("c")), (6, text("d")), (0, "one two"), (0, "two")]
+    got = J.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == by_row(rows)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (201, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
