@@ -1,8 +1,8 @@
 """A training corpus in five stages: quality rules, language, near duplicates, repeated passages, packing.
 
 Each stage takes all rows that the one before it kept. The first four return the columns of documents.
-Rows without a doc_id cannot be linked with others and stay; of several rows with one doc_id, the
-near-duplicate stage keeps one. A document whose whole text repeats others goes with its last passage.
+Rows without a doc_id cannot be linked with others and stay, as do texts without words; rows that share a
+doc_id are told apart by their texts. A document whose whole text repeats others goes with its last passage.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that shingle similarity links."""
-    linked = jaccard_join.link_components(docs.select("doc_id", "text"))
-    stay = linked.where("doc_id = component_id").select("doc_id").distinct()
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    ids = stage(numbered.select("__row", "doc_id"), "pipeline-rows")
-    first = ids.join(stay, "doc_id").groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
-    rows = stage(first.union(ids.where("doc_id is null").select("__row")), "pipeline-kept")
-    return with_narrow(numbered, rows, "__row").select(*docs.columns)
+    """The row with the least doc_id of each group of texts that shingle similarity links; the docs given are
+    files or staged, so that a row keeps its number from one scan to the next."""
+    row = next(f"row_{n}" for n in range(len(docs.columns) + 1) if f"row_{n}" not in {c.lower() for c in docs.columns})
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    known = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, sets = jaccard_join.text_clusters(known, ("row", "doc_id"))
+    linked = rows.where("n > 0 and doc_id is not null").join(sets.select("hi", "lo", "cluster"), ["hi", "lo"])
+    first = linked.groupBy("cluster").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    alone = rows.where("n = 0 or doc_id is null").select(F.col("row").alias(row))
+    return with_narrow(numbered, stage(first.union(alone), "pipeline-kept"), row).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
