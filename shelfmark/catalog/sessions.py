@@ -40,7 +40,7 @@ from .products import trusted_sellers
 _BIG = "bigint"
 
 
-def _mains(spark, sf):
+def mains_of(spark, sf):
     """Product pages with their dimensions; the URL is asked for without its query."""
     facts = product_facts(i.product_pages(spark, sf), AMAZON)
     return facts.withColumn("main_product_url", canonical(F.col("product_url")))
@@ -77,7 +77,7 @@ def options_per_dimension_query(spark, sf):
 
 def _variants(spark, sf, **how):
     records = extract_products(i.variant_pages(spark, sf), AMAZON)
-    return extract_variants(_mains(spark, sf), records, **how, keep=("page_id",))
+    return extract_variants(mains_of(spark, sf), records, **how, keep=("page_id",))
 
 
 _VARIANT_OUT = (
@@ -113,7 +113,7 @@ def variants_per_product_query(spark, sf):
 
 
 def products_with_variants(spark, sf):
-    mains = stage(_mains(spark, sf), "mains")
+    mains = stage(mains_of(spark, sf), "mains")
     records = extract_products(i.variant_pages(spark, sf), AMAZON)
     found = extract_variants(mains, records)
     products = mains.filter("title <> '' OR price <> ''").select(
@@ -125,7 +125,7 @@ def products_with_variants(spark, sf):
 def variant_quarantine(spark, sf):
     """Options whose snapshot is missing or cannot be read, where both are set aside."""
     records = extract_products(i.variant_pages(spark, sf), AMAZON)
-    states = variant_states(flatten_options(_mains(spark, sf)), records)
+    states = variant_states(flatten_options(mains_of(spark, sf)), records)
     return split_variants(states, QUARANTINE)[1].select("url", "stage", "error")
 
 
@@ -137,7 +137,7 @@ def variant_csv_roundtrip(spark, sf):
 
 def bundle_export(spark, sf):
     """Both members of the bundle read back: their rows, and whether each file is in order."""
-    mains = stage(_mains(spark, sf), "mains")
+    mains = stage(mains_of(spark, sf), "mains")
     place = {"session_id": F.col("page_id"), "page_no": F.lit(1), "link_ord": F.lit(1)}
     products = label(kept_products(mains.drop("dims")), trusted_sellers(spark, sf)).withColumns(place)
     records = extract_products(i.variant_pages(spark, sf), AMAZON)
@@ -289,7 +289,7 @@ def _state(hit: str, main: str) -> str:
     return f"coalesce(last_value(CASE WHEN {_HIT} THEN {hit} END IGNORE NULLS) {_W}, {main})"
 
 
-_STATES = (
+STATES = (
     f"SELECT p_partkey AS page_id, {_state(i.VARIANT_PAGE_URL, i.PAGE_URL)} AS variant_product_url, "
     f"{i.product_url()} AS main_product_url, {_state(i.VARIANT_TITLE, i.TITLE)} AS title, "
     f"{_state(chr(39) + '₹' + chr(39) + ' || ' + i.VARIANT_PRICE, i.FINAL_PRICE)} AS variant_price, "
@@ -298,9 +298,9 @@ _STATES = (
     f"{_CODE} AS variant_asin, NOT {_HIT} AND NOT {i.BAD_VARIANT_PAGE} AS is_carried, coalesce(last_value(CASE WHEN {_HIT} "
     f"THEN 0 WHEN {i.BAD_VARIANT_PAGE} THEN 1 END IGNORE NULLS) {_W}, 0) AS bad FROM {_OPTIONS}"
 )
-VARIANTS = f"SELECT * EXCLUDE (bad) FROM ({_STATES}) WHERE bad = 0"
+VARIANTS = f"SELECT * EXCLUDE (bad) FROM ({STATES}) WHERE bad = 0"
 #: Quarantine rows of options whose state cannot be read.
-ASIDE = f"SELECT NULL, main_product_url || '#' || variant_asin, 'variant', 'no html' FROM ({_STATES}) WHERE bad = 1"
+ASIDE = f"SELECT NULL, main_product_url || '#' || variant_asin, 'variant', 'no html' FROM ({STATES}) WHERE bad = 1"
 _ASIDE_URL = f"({i.product_url()} || '#' || {_CODE})"
 _LISTING = f"({i.LISTING_SQL})"
 

@@ -1,20 +1,25 @@
-"""Queries over streams whose inputs arrive in parts and out of order, and over committed runs."""
+"""Queries over streams whose inputs arrive in parts and out of order, over committed runs and over places in written tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.platforms import detect
+from ..functions.urls import host
+from ..operators.extract import extract_products, kept_products
+from ..operators.variants import extract_variants
 from ..plans.rules import AMAZON
-from ..session import stage_path
+from ..session import stage, stage_path
 from ..sinks.runs import RunLog
-from ..sinks.tables import product_rows
+from ..sinks.tables import product_rows, read_session, session_label, write_bundle, write_session_table
 from ..sources.pages import stream_pages
 from ..streaming.catalog import read_catalog, start_catalog
 from ..streaming.walk import read_requests, start_requests
 from . import inputs as i
 from .products import trusted_sellers
-from .sessions import ASIDE, REQUESTS, SNAPSHOT, TRUST, VARIANTS
+from .sessions import ASIDE, REQUESTS, SNAPSHOT, STATES, TRUST, VARIANTS, mains_of
+from .urls import HOST_SQL
 
 
 def _folder(spark, rows, name, files=6):
@@ -84,7 +89,53 @@ def repeatable_append(spark, sf):
     return log.read("orders")
 
 
+def bundle_positions(spark, sf):
+    """Both members of the bundle with each row's place in the whole output."""
+    mains = stage(mains_of(spark, sf), "mains")
+    place = {"session_id": F.col("page_id"), "page_no": F.lit(1), "link_ord": F.lit(1)}
+    records = extract_products(i.variant_pages(spark, sf), AMAZON)
+    found = extract_variants(mains, records, keep=("page_id",)).withColumns(place)
+    products = kept_products(mains.drop("dims")).withColumns(place)
+    paths = write_bundle(products, found, stage_path(spark, "bundle"), positions=True)
+    parts = [
+        spark.read.parquet(paths[member]).select(F.lit(member).alias("member"), "position", F.col(url).alias("url"), "title")
+        for member, url in (("Products", "product_url"), ("Variants", "variant_product_url"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def session_lookup(spark, sf):
+    """All orders written as a clustered session table, and the session of the last order read back."""
+    rows = i.table(spark, sf, "orders").select(
+        F.expr(i.START_URL).alias("product_url"), F.col("o_orderdate").alias("session_ts"), F.col("o_orderkey").cast("string").alias("title")
+    )
+    rows = rows.withColumn("domain", host(F.col("product_url"))).withColumn("platform", detect(F.col("domain")))
+    path = stage_path(spark, "session-clusters")
+    write_session_table(rows, schemas.PRODUCT_COLUMNS, path, mode="overwrite", clustered=True, row_group_bytes=1 << 16)
+    named = session_label(F.col("platform"), F.col("domain"), F.col("session_ts"))
+    last = rows.agg(F.max_by(named, F.col("title").cast("long"))).first()[0]
+    return read_session(spark, path, last).select("session_label", "product_url", "title")
+
+
+_PLACED = STATES.replace("SELECT ", "SELECT dim_ord, opt_ord, ", 1)
+_LABELS = (
+    f"o AS (SELECT o_orderkey, o_orderdate, {i.START_URL} AS url FROM orders), "
+    f"d AS (SELECT *, {HOST_SQL.format(u='url')} AS domain FROM o), s AS (SELECT o_orderkey, url, CASE "
+    "WHEN domain LIKE '%amazon.%' THEN 'amazon' WHEN domain LIKE '%flipkart.%' THEN 'flipkart' "
+    "ELSE 'generic' END || '-' || domain || '-' || strftime(o_orderdate, '%Y-%m-%d--%H-%M-%S') AS label FROM d)"
+)
 QUERIES = {
+    "bundle_positions": (
+        bundle_positions,
+        "SELECT 'Products' AS member, row_number() OVER (ORDER BY p_partkey) AS position, url, title FROM "
+        f"{SNAPSHOT} WHERE title <> '' OR price <> '' UNION ALL SELECT 'Variants', row_number() OVER (ORDER BY page_id, "
+        f"dim_ord, opt_ord), variant_product_url, title FROM ({_PLACED}) WHERE bad = 0",
+    ),
+    "session_lookup": (
+        session_lookup,
+        f"WITH {_LABELS} SELECT label AS session_label, url AS product_url, CAST(o_orderkey AS STRING) AS title FROM s "
+        "WHERE label = (SELECT max_by(label, o_orderkey) FROM s)",
+    ),
     "stream_requests": (
         stream_requests,
         f"SELECT session_id, page_no, link_ord, requested_url FROM {REQUESTS}",

@@ -1,10 +1,12 @@
-"""One row per key, chosen by an order, and a filter for rows whose key may be wanted."""
+"""One row per key, chosen by an order; row numbers over a whole table; a filter for rows whose key may be wanted."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key. Every task cuts its rows to one per key before the shuffle,
@@ -13,6 +15,23 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
+def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Each row's number from 1 in the order of the whole table, in a last column.
+
+    The table is sorted by ranges, so every task holds a stretch of it, and numbered within its
+    stretch; what lies before a stretch is the sum of the counts of those before it, one row per
+    task. The sorted rows are staged, as a second sort could draw other ranges. Rows are sent once.
+    """
+    at = F.monotonically_increasing_id()  # of a sorted table: the task in the upper bits, the row below
+    rows = stage((df.orderBy(*order) if order else df).withColumn("_at", at), "positions")
+    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_task", F.coalesce(before, F.lit(0)).alias("_start"))
+    numbered = rows.withColumns({"_task": task, "_place": place}).join(F.broadcast(starts), "_task")
+    return numbered.select(*df.columns, (F.col("_start") + F.col("_place") + 1).alias(name))
+
+
 #: Words of 64 bits of a key filter. It has a row per word that is in use, so its broadcast has at
 #: most this many rows of two longs, whatever the number of keys.
 FILTER_WORDS = 1 << 20

@@ -1,8 +1,9 @@
 """Labelling rows against the trusted-seller list.
 
-A name matches an entry when one contains the other, ignoring case. A whitelist table of
-any size is matched by equality joins over substrings of the distinct names and entries;
-an explicit Python list can be put into the row expression itself.
+A name matches an entry when one contains the other, ignoring case. A whitelist table of any
+size is matched through an inverted index of short pieces of the distinct names and entries: each
+pattern stands under its rarest piece only, so the rows that are joined grow with the length of the
+texts, not with its square. An explicit Python list can be put into the row expression itself.
 """
 
 from __future__ import annotations
@@ -46,34 +47,50 @@ def label_with_list(
     return df.withColumn("is_whitelisted", label_expr(F.col(seller), F.col(maker), arr))
 
 
-def matching_names(names: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """Those of the distinct ``name`` rows that match an entry, without pairing all with all.
+#: Length of the pieces that patterns are looked up by; shorter patterns are looked up whole.
+PIECE = 4
+
+
+def _pieces(text: Column, length: int | Column) -> Column:
+    """Distinct pieces of one length; none if the text is shorter."""
+    last = F.length(text) - length + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda at: F.substring(text, at, length)))
+
+
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Pairs (text, pattern) of distinct non-empty texts and patterns of which one contains the other.
 
-    ``entry in name``: every substring of the name that is as long as some entry is
-    looked up among the entries. ``name in entry``: the name is looked up among all
-    substrings of the entries. Both are equality semi-joins.
+    A pattern can only lie in texts that hold all of its pieces, so it is compared with those under
+    the one that fewest texts hold; a pattern with a piece that no text holds is dropped at
+    once. What shares that piece is tested exactly.
     """
-    entries = (
-        whitelist.select(normal_name(F.col("entry")).alias("sub"))
-        .filter(F.col("sub").isNotNull())
-        .distinct()
+    held = texts.select("text", F.explode(_pieces(F.col("text"), PIECE)).alias("piece"))
+    counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    long = patterns.filter(F.length("pattern") >= PIECE)
+    own = long.select("pattern", F.explode(_pieces(F.col("pattern"), PIECE)).alias("piece"))
+    found = own.join(counts, "piece").groupBy("pattern").agg(
+        F.min(F.struct("n", "piece")).alias("rarest"), F.count(F.lit(1)).alias("known")
     )
-    # One row each holding distinct lengths: at most as many as the longest has characters.
-    lengths = entries.agg(F.sort_array(F.collect_set(F.length("sub"))))
-    name_lengths = names.agg(F.sort_array(F.collect_set(F.length("name"))))
-
-    def pieces(df: DataFrame, text: str, lens: DataFrame) -> DataFrame:
-        """Distinct substrings of ``text`` that have one of the lengths."""
-        cut = df.select(text, F.explode(lens.scalar()).alias("len")).filter(F.col("len") <= F.length(text))
-        places = F.sequence(F.lit(1), F.length(text) - F.col("len") + 1)
-        cut = cut.select(text, "len", F.explode(places).alias("at"))
-        return cut.select(text, F.substring(F.col(text), F.col("at"), F.col("len")).alias("piece"))
-
-    own = pieces(names, "name", lengths)
-    holds_entry = own.join(entries, own["piece"] == entries["sub"], "left_semi").select("name")
-    inner = pieces(entries, "sub", name_lengths).select(F.col("piece").alias("name")).distinct()
-    lies_in_entry = names.join(inner, "name", "left_semi")
-    return holds_entry.unionByName(lies_in_entry).distinct()
+    index = found.filter(F.col("known") == F.size(_pieces(F.col("pattern"), PIECE)))
+    index = index.select("pattern", F.col("rarest.piece").alias("piece"))
+    pairs = held.join(index, "piece").filter(F.contains("text", "pattern")).select("text", "pattern")
+    short = patterns.filter(F.length("pattern") < PIECE)
+    whole = F.flatten(F.array(*[_pieces(F.col("text"), n) for n in range(1, PIECE)]))
+    cut = texts.select("text", F.explode(whole).alias("pattern"))
+    return pairs.unionByName(cut.join(short, "pattern").select("text", "pattern"))
+
+
+def matching_names(names: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """Those of the distinct ``name`` rows that match an entry, without pairing all with all."""
+    entries = whitelist.select(normal_name(F.col("entry")).alias("sub")).filter(F.col("sub").isNotNull()).distinct()
+    as_ = lambda df, column, role: df.select(F.col(column).alias(role))
+    holds_entry = containing(as_(names, "name", "text"), as_(entries, "sub", "pattern")).select(F.col("text").alias("name"))
+    # a name longer than every entry lies in none
+    longest = entries.agg(F.coalesce(F.max(F.length("sub")), F.lit(0)).alias("longest"))
+    fitting = names.filter(F.length("name") <= longest.scalar())
+    lies_in = containing(as_(entries, "sub", "text"), as_(fitting, "name", "pattern")).select(F.col("pattern").alias("name"))
+    return holds_entry.unionByName(lies_in).distinct()
 
 
 def label(

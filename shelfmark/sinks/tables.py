@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.joins import with_position
 from .runs import RunLog
 
 #: CSV in the usual spreadsheet form: quotes doubled, empty strings as nothing,
@@ -91,12 +92,21 @@ VARIANT_ORDER = (*PRODUCT_ORDER, "dim_ord", "opt_ord")
 
 
 def write_session_table(
-    df: DataFrame, columns, path: str, fmt: str = "parquet", mode: str = "append"
+    df: DataFrame,
+    columns,
+    path: str,
+    fmt: str = "parquet",
+    mode: str = "append",
+    clustered: bool = False,
+    row_group_bytes: int = 32 << 20,
 ) -> None:
     """Append rows with their session label under ``platform=/session_month=`` folders.
 
     The rebalance hint gives every folder few files and splits a folder that would
-    overload one task.
+    overload one task. ``clustered`` (Parquet) orders a folder's rows by session instead, so that each
+    file and row group covers a range of labels, and adds Bloom filters on the label:
+    ``read_session`` then opens few row groups of a month. Rows of one large session are spread
+    over tasks by their first column.
     """
     out = df.select(
         "platform",
@@ -107,6 +117,18 @@ def write_session_table(
         *[c for c in columns if c in df.columns],
     )
     out = sink_projection(out, (*LAYOUT, "session_label", *columns))
+    if clustered:
+        if fmt != "parquet":
+            raise ValueError("only Parquet files are clustered")
+        order = [*LAYOUT, "session_label", *columns[:1]]
+        # a platform known when the query is planned would be folded and leave the sort, and the
+        # writer, which needs rows in the order of their folders, would sort anew by folder alone
+        unfolded = F.when(F.monotonically_increasing_id() >= 0, F.col("platform"))
+        out = out.withColumn("platform", F.coalesce(unfolded, F.lit("")))
+        writer = out.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(*LAYOUT)
+        own = {"parquet.bloom.filter.enabled#session_label": "true", "parquet.block.size": str(row_group_bytes)}
+        writer.options(**own).parquet(path)
+        return
     writer = out.hint("rebalance", *LAYOUT).write.mode(mode).partitionBy(*LAYOUT)
     if fmt == "csv":
         writer.options(header="true", lineSep="\r\n", **CSV_FORM).csv(path)
@@ -114,13 +136,29 @@ def write_session_table(
         writer.format(fmt).save(path)
 
 
+def read_session(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """The rows of one session of a Parquet session table.
+
+    Platform and month are read off the label, so one folder is listed; inside it files and row
+    groups are skipped by their range of labels and their Bloom filters.
+    """
+    rows = spark.read.parquet(path)
+    month = F.col("session_month").cast("string") == label[-20:-13]
+    return rows.filter((F.col("platform") == label.split("-")[0]) & month & (F.col("session_label") == label))
+
+
 def write_bundle(
-    products: DataFrame, variants: DataFrame, path: str, fmt: str = "parquet"
+    products: DataFrame,
+    variants: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    positions: bool = False,
 ) -> dict[str, str]:
     """Both tables as one deliverable with members ``Products`` and ``Variants``.
 
     Rows are in output order: session, page, link, then dimension and option. The
-    sort is a range partitioning, so it spreads over the cluster.
+    sort is a range partitioning, so it spreads over the cluster. ``positions`` adds each row's
+    place in that order as a last column, for readers of several files.
     """
     out = {}
     for name, df, columns, order in (
@@ -128,7 +166,11 @@ def write_bundle(
         ("Variants", variants, schemas.VARIANT_COLUMNS, VARIANT_ORDER),
     ):
         keys = [c for c in order if c in df.columns]
-        ordered = df.orderBy(*keys) if keys else df
         out[name] = f"{path}/{name}"
+        if positions:
+            placed = with_position(sink_projection(df, (*keys, *columns)), keys)
+            _write(placed.select(*columns, "position"), out[name], "overwrite", fmt)
+            continue
+        ordered = df.orderBy(*keys) if keys else df
         _write(sink_projection(ordered, columns), out[name], "overwrite", fmt)
     return out

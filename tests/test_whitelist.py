@@ -82,6 +82,20 @@ def test_large_list_takes_the_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_rows_into_the_join_are_linear_in_the_text(spark):
+    """Texts of 2,000 characters and patterns of hundreds of lengths; every pair is tested once."""
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh") for _ in range(2_000))
+    texts = [long, long[::-1], "abc", "x", "xyzw"]
+    patterns = [long[a : a + n] for a, n in ((rng.randrange(1_500), rng.randrange(1, 500)) for _ in range(300))]
+    patterns = sorted({*patterns, "zz", "xyzw!", "w", "bc", long + "a", "hhhhhhhhhhhh"})
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    p = spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    got = wl.containing(t, p)
+    assert sorted(map(tuple, got.collect())) == sorted((x, y) for x in texts for y in patterns if y in x)
+    assert t.select(F.explode(wl._pieces(F.col("text"), wl.PIECE))).count() <= sum(map(len, texts))
+
+
 def test_trusted_only(spark):
     df = names(spark, [(s, m) for s, m, _ in GOLDEN])
     out = wl.trusted_only(wl.label(df, from_setting(spark, "Nike, Puma India")))
