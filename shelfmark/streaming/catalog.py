@@ -30,6 +30,7 @@ from ..operators.whitelist import label
 from ..plans.retail import on_platform, product_facts
 from ..plans.rules import PlatformRules
 from ..schemas import PRODUCT_COLUMNS, VARIANT_COLUMNS
+from ..session import stage
 from ..sinks.runs import ChangeLog
 from ..sinks.tables import sink_projection
 from .state import rocksdb_state
@@ -117,11 +118,15 @@ def _outputs(sets: DataFrame, whitelist: DataFrame, on_missing: str) -> dict[str
     joined = options.withColumn("variant", F.from_json(own, VARIANT)).drop("variants")
     found, aside = split_variants(carry_states(joined, ["key"]), on_missing, keep=place, keep_aside=place)
     unread = rejected(facts, "product", F.col("parse_error"), F.col("page_id"), "product_url", place)
-    products = label(kept_products(read.drop("dims", "variants")), whitelist)
+    products = kept_products(read.drop("dims", "variants")).withColumn("table", F.lit("products"))
+    # both tables are labelled at once
+    named = products.unionByName(found.withColumn("table", F.lit("variants")), allowMissingColumns=True)
+    labelled = stage(label(named, whitelist), "labelled")
+    rows = lambda table, columns: sink_projection(labelled.filter(F.col("table") == table), (*place, *columns))
     return {
         ChangeLog.CHANGED: sets.select(*place),
-        "products": sink_projection(products, (*place, *PRODUCT_COLUMNS)),
-        "variants": sink_projection(label(found, whitelist), (*place, *VARIANT_COLUMNS)),
+        "products": rows("products", PRODUCT_COLUMNS),
+        "variants": rows("variants", VARIANT_COLUMNS),
         "quarantine": unread.unionByName(aside),
     }
 

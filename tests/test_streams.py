@@ -98,7 +98,7 @@ def test_requests_for_any_order_of_files(spark, tmp_path, order):
     if order == "pages first":
         halves = halves[::-1]
     if order == "backwards":
-        for rows in reversed(list(itertools.batched(PAGES, 6))):
+        for rows in (PAGES[6:], PAGES[:6]):
             pages.add(*rows)
             go()
         sessions.add(*SESSIONS)
@@ -108,7 +108,8 @@ def test_requests_for_any_order_of_files(spark, tmp_path, order):
             if order != "at once":
                 go()
     go()
-    go()  # finds nothing new
+    if order == "at once":
+        go()  # finds nothing new
     want = batch_requests(sessions.table(), pages.table())
     assert bag(read_requests(spark, out)) == bag(want)
     assert {r.session_id for r in want.collect()} == {1, 2, 3, 6}
@@ -188,7 +189,8 @@ def batch_catalog(pages, variants, whitelist):
 def test_catalog_for_any_order_of_snapshots(spark, tmp_path, backwards):
     pages, variants = (Folder(spark, tmp_path / n, s) for n, s in (("p", schemas.PAGES), ("v", schemas.VARIANT_PAGES)))
     out, mark, wl = str(tmp_path / "out"), str(tmp_path / "mark"), from_setting(spark, "Nike")
-    chunks = [(pages, c) for c in itertools.batched(SNAPSHOTS, 6)] + [(variants, c) for c in itertools.batched(VARIANTS, 6)]
+    first, second = itertools.batched(SNAPSHOTS, 6)
+    chunks = [(pages, first), (variants, VARIANTS), (pages, second)]
     for folder, rows in reversed(chunks) if backwards else chunks:
         folder.add(*rows)
         start_catalog(pages.stream(), variants.stream(), AMAZON, wl, out, mark, compact_after=2).awaitTermination()
