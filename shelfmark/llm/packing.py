@@ -82,7 +82,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) ->
     """doc_id, n_tokens, bucket, padded_length, batch_id (within the bucket), slot and padding.
 
     Each batch of a bucket but its last is full: as many rows as the budget allows at the bucket's
-    length, one at least.
+    length, one at least. Which rows of a bucket share a batch follows the order of files and splits.
     """
     sized = stage(lengths(docs), "packing-lengths").withColumn("bin", bin_of(F.col("n_tokens")))
     histogram = sized.groupBy("bin").agg(F.count("*").alias("n")).toPandas().sort_values("bin")

@@ -57,7 +57,11 @@ def test_stages_follow_each_other(spark, corpus_dir):
         assert text == (" ".join(old.split()[:70]) + " " if d in range(101, 110) else old)
     packed = C.STAGES[-1][1](spark, docs, corpus_dir).collect()
     assert sorted(r.doc_id or -1 for r in packed) == sorted(d or -1 for d in seen["repeated_passages"])
-    assert sorted(map(str, C.run(spark, corpus_dir).collect())) == sorted(map(str, packed))
+    # the order in which files of one size are listed decides which rows share a batch
+    settled = lambda rows: sorted((r.doc_id or -1, r.n_tokens, r.bucket, r.padded_length, r.padding) for r in rows)
+    batches = lambda rows: sorted((r.bucket, r.batch_id, r.slot) for r in rows)
+    again = C.run(spark, corpus_dir).collect()
+    assert settled(again) == settled(packed) and batches(again) == batches(packed)
 
 
 def test_stages_take_empty_tables(spark, corpus_dir):
