@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
 from shelfmark.llm.components import components
-from shelfmark.llm.tables import stage, with_narrow
+from shelfmark.llm.tables import freed, stage, with_narrow
 
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 1 << 20
 #: Linked if PERCENT of the union's size is shared.
 PERCENT = 75
 BANDS, BAND_ROWS = 8, 3
@@ -75,7 +77,7 @@ def profiles(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, words in W.word_slices(batch.column("text"), lower=True):
+            for low, high, words in W.word_slices(batch.column("text"), lower=True, limit=SLICE_BYTES):
                 token, begin = sets(words)
                 digest = _digest(token, begin)
                 least = [_reduce(np.minimum, (token ^ seed) * seed, begin) for seed in _SEEDS]
@@ -89,7 +91,7 @@ def profiles(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, [*carry, "n", "hi", "lo", "bands"])
 
     ids = ", ".join(f"{c} long" for c in carry)
-    return docs.select(*carry, "text").mapInArrow(run, f"{ids}, n long, hi long, lo long, bands array<long>")
+    return docs.select(*carry, "text").mapInArrow(freed(run), f"{ids}, n long, hi long, lo long, bands array<long>")
 
 
 def _own_texts(batch: pa.RecordBatch, low: int, token: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, words in W.word_slices(batch.column("text"), lower=True):
+            for low, high, words in W.word_slices(batch.column("text"), lower=True, limit=SLICE_BYTES):
                 token, begin = sets(words)
                 tokens = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), W.signed(token))
                 rows = pa.RecordBatch.from_arrays([batch.column("rep").slice(low, high - low), pa.array(np.diff(begin)), tokens], ["rep", "n", "tokens"])
@@ -115,7 +117,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # equal rows of one doc_id give equal sets
     told = with_narrow(docs, wanted, "doc_id").select("rep", "check", "text")
-    return told.mapInArrow(run, "rep long, n long, tokens array<long>").dropDuplicates(["rep"])
+    return told.mapInArrow(freed(run), "rep long, n long, tokens array<long>").dropDuplicates(["rep"])
 
 
 def linked(a: str, b: str) -> F.Column:
@@ -188,7 +190,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [np.zeros(0, np.uint64), *(sets(words)[0] for _, _, words in W.word_slices(batch.column("text"), lower=True))]
+            every = [np.zeros(0, np.uint64), *(sets(words)[0] for _, _, words in W.word_slices(batch.column("text"), lower=True, limit=SLICE_BYTES))]
             token = np.concatenate(every)
             del every
             token.sort()
@@ -196,7 +198,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
             token, n = np.unique(token[: len(token) - more][token[: len(token) - more] == token[more:]], return_counts=True)
             yield pa.RecordBatch.from_arrays([W.signed(token), pa.array(n + more)], ["token", "n"])
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * FREQUENT_IN_BATCH)
+    found = docs.select("text").mapInArrow(freed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * FREQUENT_IN_BATCH)
     listed = found.orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toPandas()["token"].to_numpy(np.int64)
     return np.sort(listed.view(np.uint64))
 
@@ -207,7 +209,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gid", "n_min", "n_max", "uniform"]
         for batch in batches:
-            for low, _, words in W.word_slices(batch.column("text"), lower=True):
+            for low, _, words in W.word_slices(batch.column("text"), lower=True, limit=SLICE_BYTES):
                 token, begin = sets(words)
                 n = np.diff(begin)
                 doc = np.repeat(np.arange(words.rows), n)
@@ -221,7 +223,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 rows = pa.array(doc[kept] + low)
                 yield pa.RecordBatch.from_arrays([W.signed(token[kept]), *(batch.column(c).take(rows) for c in names)], ["token", *names])
 
-    return docs.mapInArrow(run, "token long, gid long, n_min long, n_max long, uniform long")
+    return docs.mapInArrow(freed(run), "token long, gid long, n_min long, n_max long, uniform long")
 
 
 def opened(matrix: DataFrame) -> DataFrame:

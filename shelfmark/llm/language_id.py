@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
-from shelfmark.llm.tables import stage
+from shelfmark.llm.tables import freed, stage
 
 SAMPLE_DOCS = 1_500
 ROUNDS = 3
@@ -291,7 +291,7 @@ def keep(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
         for rows, lang, score in _predictions(batches, model):
             yield rows.filter(pa.array((lang != UNDETERMINED) & (score >= least_score)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run, pieces.cache_clear), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

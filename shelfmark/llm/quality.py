@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
+from shelfmark.llm.tables import freed
 
 MIN_WORDS = 50
 SAMPLE_ROWS = 20_000
@@ -246,4 +247,4 @@ def keep(docs: DataFrame, trees: Trees | None, keep_from: float = KEEP_FROM) ->
             good = trees.probability(s["features"]) >= keep_from if trees else np.ones(len(rows), bool)
             yield rows.filter(pa.array(~failed & good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)

@@ -51,6 +51,11 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def drop_tables() -> None:
+    """Give back the memory of the power tables; the next slice makes them anew."""
+    _powers.clear()
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than texts) of a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
