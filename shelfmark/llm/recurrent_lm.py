@@ -60,6 +60,12 @@ def with_ends(values: np.ndarray, first: np.ndarray, end: int | np.uint64) -> np
     return np.insert(values, first[1:], end) if len(first) > 1 else values
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and each one's number among them, by a hash table instead of a sort."""
+    coded = W.signed(hashes).dictionary_encode()
+    return coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """h (word hash), n and ending of all words and ends of all texts."""
 
@@ -69,8 +75,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, _, words in W.word_slices(batch.column("text"), lower=True):
                 keys.append(words.hashes())
                 kinds.append(endings(words))
-            key, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-            columns = [W.signed(key), pa.array(n), pa.array(np.concatenate(kinds)[first].astype(np.int32))]
+            key, code = distinct(np.concatenate(keys))
+            kind = np.empty(len(key), np.int32)
+            kind[code] = np.concatenate(kinds)
+            columns = [W.signed(key), pa.array(np.bincount(code, minlength=len(key))), pa.array(kind)]
             yield pa.RecordBatch.from_arrays(columns, ["h", "n", "ending"])
 
     found = docs.select("text").mapInArrow(run, "h long, n long, ending int")
@@ -101,11 +109,12 @@ class Lexicon:
 
     def look_up(self, hashes: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and count of each word; count -1 if it has to be joined."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hit = self.keys[at] == hashes
-        symbol = np.where(hit, self.symbols[at], -1)
+        own, code = distinct(hashes)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        hit = self.keys[at] == own
+        symbol = np.where(hit, self.symbols[at], -1).astype(np.int32)[code]
         symbol = np.where(symbol < 0, self.rare_from + ending, symbol)
-        return symbol.astype(np.int32), np.where(hit, self.counts[at], -1)
+        return symbol.astype(np.int32), np.where(hit, self.counts[at], -1)[code]
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
@@ -196,55 +205,75 @@ def input_table(p: Parameters) -> np.ndarray:
     return p["embed"] @ p["input"] + p["gate"]
 
 
-def _softmax(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
-    """Log probability of one column of each row; if ``whole``, ``x`` becomes the probabilities."""
-    if x.size and (x.max() > 80 or x.min() < -80):  # else no row can leave the range of exp
+def _stable_order(values: np.ndarray, bound: int) -> np.ndarray:
+    """Stable order of small non-negative integers; numpy sorts 16 bits by radix."""
+    return np.argsort(values.astype(np.uint16) if bound <= 1 << 16 else values, kind="stable")
+
+
+def _softmax(x: np.ndarray, at: np.ndarray, whole: bool, wide: bool) -> np.ndarray:
+    """Log probability of one column of each row; if ``whole``, ``x`` becomes the probabilities.
+
+    ``wide`` says that values may leave the range of exp.
+    """
+    if wide and x.size:
         x -= x.max(axis=1, keepdims=True)
     chosen = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x @ np.ones(x.shape[1], x.dtype)
     if whole:
         x /= total[:, None]
     return chosen - np.log(total)
 
 
+def _with_bias(weight: np.ndarray, bias: np.ndarray, most: float) -> tuple[np.ndarray, bool]:
+    """Weights with the bias as a last column, and whether outputs can exceed 80 for inputs of at most ``most``."""
+    both = np.concatenate([weight, bias[:, None]], axis=1)
+    return both, bool((np.abs(weight).sum(axis=1) * most + np.abs(bias)).max(initial=0) > 80)
+
+
 def log_probabilities(h: np.ndarray, target: np.ndarray, p: Parameters, lex: Lexicon, grad: Parameters | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target symbol; with ``grad``, adds gradients of the mean loss and returns that of h.
 
     Rows are brought into the order of their targets' classes once, so each class works on neighbouring rows.
+    A last column of ones carries the biases through the same products.
     """
     group = np.searchsorted(lex.class_start, target, "right") - 1
-    order = np.argsort(group, kind="stable")
+    order = _stable_order(group, len(lex.class_start))
     ends = np.searchsorted(group[order], np.arange(len(lex.class_start)))
-    h, target, group = h[order], target[order], group[order]
+    rows = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    rows[:, :-1] = h[order]
+    h, target, group = rows, target[order], group[order]
     learning, n = grad is not None, len(target)
-    d = h @ p["classes"].T + p["class_bias"]
-    out = _softmax(d, group, learning).astype(np.float64)
+    most = float(np.abs(h).max(initial=0))
+    weight, wide = _with_bias(p["classes"], p["class_bias"], most)
+    d = h @ weight.T
+    out = _softmax(d, group, learning, wide).astype(np.float64)
     back = None
     if learning:
         d[np.arange(n), group] -= 1
-        d /= n
         back = d @ p["classes"]
-        grad["classes"] += d.T @ h
-        grad["class_bias"] += d.sum(axis=0)
+        slope = d.T @ h / n
+        grad["classes"] += slope[:, :-1]
+        grad["class_bias"] += slope[:, -1]
+    weight, wide = _with_bias(p["out"], p["out_bias"], most)
     for c in range(len(lex.class_start) - 1):
         mine = slice(ends[c], ends[c + 1])
         if ends[c] == ends[c + 1]:
             continue
         low, high = lex.class_start[c], lex.class_start[c + 1]
         at = target[mine] - low
-        d = h[mine] @ p["out"][low:high].T + p["out_bias"][low:high]
-        out[mine] += _softmax(d, at, learning)
+        d = h[mine] @ weight[low:high].T
+        out[mine] += _softmax(d, at, learning, wide)
         if learning:
             d[np.arange(len(at)), at] -= 1
-            d /= n
             back[mine] += d @ p["out"][low:high]
-            grad["out"][low:high] += d.T @ h[mine]
-            grad["out_bias"][low:high] += d.sum(axis=0)
+            slope = d.T @ h[mine] / n
+            grad["out"][low:high] += slope[:, :-1]
+            grad["out_bias"][low:high] += slope[:, -1]
     logs = np.empty_like(out)
     logs[order] = out
     if learning:
-        ordered, back = back, np.empty_like(back)
+        ordered, back = back / n, np.empty_like(back)
         back[order] = ordered
     return logs, back
 
@@ -286,7 +315,7 @@ def window_gradient(p: Parameters, lex: Lexicon, h: np.ndarray, given: np.ndarra
     inputs[:, 2 * HIDDEN :] = d_new.reshape(-1, HIDDEN)
     grad["input"] = p["embed"][symbol].T @ inputs
     grad["gate"] = inputs.sum(axis=0)
-    order = np.argsort(symbol, kind="stable")
+    order = _stable_order(symbol, lex.size)
     used, first = np.unique(symbol[order], return_index=True)
     grad["embed"][used] = np.add.reduceat((inputs @ p["input"].T)[order], first, axis=0)
     return float(-logs.mean()), grad, h
@@ -328,9 +357,18 @@ class Trainer:
         scale = self.rate * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for k, g in grad.items():
             g *= shrink
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.001 * (g * g - self.second[k])
-            self.p[k] -= scale * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)
+            first, second = self.first[k], self.second[k]
+            first *= 0.9
+            first += 0.1 * g
+            g *= g
+            g *= 0.001
+            second *= 0.999
+            second += g
+            np.sqrt(second, out=g)
+            g += 1e-8
+            np.divide(first, g, out=g)
+            g *= scale
+            self.p[k] -= g
 
 
 def batch_tokens(texts: pa.Array, lex: Lexicon) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
