@@ -30,10 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
-from shelfmark.llm.tables import stage, with_narrow
+from shelfmark.llm.tables import forget, freed, stage, with_narrow
 
 MIN_WORDS = 50
 HASHES = 5
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 1 << 20
+#: Bytes of a shingle's hash that are moved: two of one pair's shingles agree by chance once in 2**48.
+MOVED = 6
 #: Documents with lists of positions or cuts that may be broadcast.
 BROADCAST_LISTS = 200_000
 PERCENT = 75
@@ -108,7 +112,7 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for low, _, words in W.word_slices(batch.column("text"), lower=True):
+            for low, _, words in W.word_slices(batch.column("text"), lower=True, limit=SLICE_BYTES):
                 token, begin = sequences(words)
                 for k, at, doc, left, right in compact_windows(token, begin, width):
                     key = W.mix(token[at] + np.uint64(k + 1))
@@ -134,7 +138,7 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
             spread = W.signed(W.mix(key[some] + W.mix(doc[some].astype(np.uint64))))
             yield pa.RecordBatch.from_arrays([spread, pa.array(doc[some]), pa.array((at[some] << 32) | both[0]), pa.array((at[lead[some]] << 32) | both[1]), pa.array(doc[lead[some]])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc long, x long, y long, lead long")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "key long, doc long, x long, y long, lead long")
 
 
 def meetings(docs: DataFrame, width: int) -> DataFrame:
@@ -259,9 +263,18 @@ def candidates(met: DataFrame, width: int) -> DataFrame:
     )
 
 
+def unpacked(tokens: pa.Buffer) -> np.ndarray:
+    """Shingles of a packed sequence."""
+    raw = np.frombuffer(tokens, np.uint8).reshape(-1, MOVED)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :MOVED] = raw
+    return wide.view("<i8")[:, 0]
+
+
 def verified(pairs: DataFrame, full: DataFrame, width: int) -> DataFrame:
     """Passages of candidate pairs. Only the spanned parts of sequences are moved with a pair."""
-    part = lambda low, high: F.slice("tokens", F.col(low) + 1, F.col(high) - F.col(low) + 1)
+    most = F.lit(1 << 28)  # no text has as many words, and the bytes still count as an int
+    part = lambda low, high: F.substring("tokens", F.col(low) * MOVED + 1, F.least(F.col(high) - F.col(low) + 1, most) * MOVED)
     both = pairs.join(full.withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", part("low", "high")).drop("tokens")
     both = both.join(full.withColumnRenamed("doc_id", "lead"), "lead").withColumn("other", part("lead_low", "lead_high"))
 
@@ -272,7 +285,7 @@ def verified(pairs: DataFrame, full: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             doc, lead, low, lead_low = (batch.column(c).to_pylist() for c in ("doc", "lead", "low", "lead_low"))
-            tokens = lambda c, n, batch=batch: batch.column(c)[n].values.to_numpy(zero_copy_only=False)
+            tokens = lambda c, n, batch=batch: unpacked(batch.column(c)[n].as_buffer())
             for n in range(len(batch)):
                 anchors = batch.column("anchors")[n].values
                 at, lead_at = (anchors.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
@@ -280,7 +293,7 @@ def verified(pairs: DataFrame, full: DataFrame, width: int) -> DataFrame:
                 rows += [(doc[n], low[n] + i, low[n] + j + size, lead[n], lead_low[n] + a, lead_low[n] + b + size, s) for i, j, a, b, s in found]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)
 
-    return both.select("doc", "lead", "anchors", "low", "lead_low", "own", "other").mapInArrow(run, _PASSAGE)
+    return both.select("doc", "lead", "anchors", "low", "lead_low", "own", "other").mapInArrow(freed(run), _PASSAGE)
 
 
 def second_shingles(docs: DataFrame, met: DataFrame, found: DataFrame, width: int) -> DataFrame:
@@ -297,7 +310,7 @@ def second_shingles(docs: DataFrame, met: DataFrame, found: DataFrame, width: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, words in W.word_slices(batch.column("text"), lower=True):
+            for low, high, words in W.word_slices(batch.column("text"), lower=True, limit=SLICE_BYTES):
                 token, begin = sequences(words)
                 rows = batch.slice(low, high - low)
                 lists = rows.column("places")
@@ -315,7 +328,7 @@ def second_shingles(docs: DataFrame, met: DataFrame, found: DataFrame, width: in
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(at.astype(np.int32)), *pairs], ["doc_id", "at", "after", "before"])
 
     marked = with_narrow(docs, stage(wanted, "passages-open"), "doc_id", rows=BROADCAST_LISTS).select("doc_id", "text", "places")
-    return marked.mapInArrow(run, "doc_id long, at int, after long, before long")
+    return marked.mapInArrow(freed(run), "doc_id long, at int, after long, before long")
 
 
 def _again(rest: DataFrame, by: str) -> DataFrame:
@@ -328,16 +341,17 @@ def _again(rest: DataFrame, by: str) -> DataFrame:
 
 
 def token_sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and all shingles in order of the documents of a staged list of ids."""
+    """doc_id and all shingles in order, packed, of the documents of a staged list of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, words in W.word_slices(batch.column("text"), lower=True):
+            for low, high, words in W.word_slices(batch.column("text"), lower=True, limit=SLICE_BYTES):
                 token, begin = sequences(words)
-                tokens = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), W.signed(token))
+                raw = np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :MOVED])
+                tokens = pa.BinaryArray.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((begin * MOVED).astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), tokens], ["doc_id", "tokens"])
 
-    return with_narrow(docs, wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<long>")
+    return with_narrow(docs, wanted, "doc_id").select("doc_id", "text").mapInArrow(freed(run), "doc_id long, tokens binary")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -348,11 +362,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     width = min_words - W.SHINGLE + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     met = stage(meetings(rows, width), "passages-met")
+    forget(docs.sparkSession)  # the windows themselves
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stage(pairs, f"{name}-pairs")
         ids = stage(pairs.select(F.col("doc").alias("doc_id")).union(pairs.select("lead")).distinct(), f"{name}-ids")
-        return stage(verified(pairs, token_sequences(rows, ids), width), name)
+        found = stage(verified(pairs, token_sequences(rows, ids), width), name)
+        forget(docs.sparkSession)  # sequences and their parts
+        return found
 
     first = check(candidates(met, width), "passages-first")
     rest = stage(second_shingles(rows, met, first, width), "passages-rest")
@@ -397,4 +414,4 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 columns["n_chars"] = pc.utf8_length(new).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(left))
 
-    return marked.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return marked.mapInArrow(freed(run), ", ".join(f"`{c}` {kinds[c]}" for c in names))
