@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators.joins import join_shuffled
 from ..plans.retail import classify_sessions, listing_facts
 from ..plans.rules import PlatformRules
 from ..sinks.runs import RunLog
@@ -170,7 +171,7 @@ def read_requests(spark: SparkSession, out: str) -> DataFrame:
     """session_id, page_no, link_ord and requested_url of all pages reached and not taken back."""
     log = RunLog(spark, out)
     stops = log.read("stops").groupBy("session_id").agg(F.min("stop").alias("stop"))
-    rows = log.read("requests").join(stops, "session_id", "left")
+    rows = join_shuffled(log.read("requests"), stops, "session_id", "left")
     return rows.filter("stop IS NULL OR page_no < stop").drop("stop")
 
 
