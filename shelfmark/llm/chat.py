@@ -5,7 +5,8 @@ alone is trainable. Turns after the last reply close the conversation as an exam
 so that nothing is lost. Contexts of one conversation are prefixes of each other, hence ``segments``
 keeps each formatted turn once: example e is the run of rows with ``example <= e``, its target the row
 with ``example = e`` and a loss span. This stays as small as its input however many turns a
-conversation has. ``expand`` writes the contexts out, for trainers that want one text per example.
+conversation has. ``expand`` writes the contexts out, for trainers that want one text per example, and
+``read_examples`` reads them back.
 
 A turn is ``<|im_start|>role``, a line break, its text, ``<|im_end|>`` and a line break. Control strings
 inside roles and texts get a backslash after their first character, one more if they had some; taking
@@ -31,7 +32,7 @@ OPEN, CLOSE, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
 #: Control strings: a first character out of ``HEADS``, which stands nowhere else in them, and one of ``TAILS``.
 HEADS = r"[<\[]"
 TAILS = r"s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>"
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 22
 
 _control = re.compile(rf"({HEADS})(\\*)({TAILS})")
 _escaped = re.compile(rf"({HEADS})\\(\\*)({TAILS})")
@@ -72,11 +73,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     kept: list[tuple] = []
+    chars = 0
     for row in rows:
         kept.append(row)
-        if len(kept) == ROWS_AT_ONCE:
+        chars += sum(len(x) for x in row if isinstance(x, str))
+        if len(kept) == ROWS_AT_ONCE or chars >= CHARS_AT_ONCE:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema.names)
-            kept = []
+            kept, chars = [], 0
     if kept:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema.names)
 
@@ -165,3 +168,48 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from its formatted turns alone: number and digest of its turns, length and
     digest of all text under loss spans, and the code points of its examples with contexts written out."""
     return formatted.mapInArrow(_read_back, DIGESTS)
+
+
+def _turns(text: str) -> Iterator[tuple[str, str]]:
+    """Roles and texts of an example; ``OPEN`` stands nowhere but where a turn begins."""
+    at = 0
+    while at < len(text):
+        end = text.find(OPEN, at + 1)
+        end = len(text) if end < 0 else end
+        yield parse_turn(text[at:end])
+        at = end
+
+
+def _read_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(own: int | None, text: str, loss_chars: int, loss: str, total: int) -> tuple:
+        n, turns = 0, sha256()
+        for n, (role, said) in enumerate(_turns(text), 1):
+            turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        return own, n, turns.hexdigest(), loss_chars, loss, total
+
+    def rows() -> Iterator[tuple]:
+        text = None
+        for row in _rows(batches):
+            if row["example"] == 1:
+                if text is not None:
+                    yield digest(own, text, loss_chars, loss.hexdigest(), total)
+                own, loss_chars, loss, total = row["conv_id"], 0, sha256(), 0
+            text = row["text"]
+            total += len(text)
+            if row["loss_start"] is not None:
+                reply = unescape(text[row["loss_start"] : row["loss_end"]])
+                loss.update(reply.encode("utf-8", "surrogatepass"))
+                loss_chars += len(reply)
+        if text is not None:
+            yield digest(own, text, loss_chars, loss.hexdigest(), total)
+
+    yield from _batches(rows(), _arrow(DIGESTS))
+
+
+def read_examples(formatted: DataFrame) -> DataFrame:
+    """``read_back`` from the examples with their contexts written out: turns come from the last example of a
+    conversation, which holds them all, replies from the loss span of each, lengths from every text.
+
+    ``expand`` runs in the same task, so that its texts, the square of a conversation, stay where they are
+    made; a task holds a few of them at a time."""
+    return formatted.mapInArrow(lambda batches: _read_examples(_expanded(batches)), DIGESTS)

@@ -73,7 +73,7 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, chat.TARGET, said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.segments(given.unionByName(extra)))
+    return chat.read_examples(chat.segments(given.unionByName(extra)))
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

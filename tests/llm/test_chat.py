@@ -75,3 +75,27 @@ def test_every_reply_is_the_target_of_one_example(spark):
 def test_empty_table(spark):
     none = table(spark, [(1, 1, "user", "x")]).limit(0)
     assert C.read_back(C.segments(none)).count() == 0 == C.expand(C.segments(none)).count()
+
+
+def test_digests_are_read_from_examples_written_out(spark):
+    rows = conversations()
+    got = {r[0]: tuple(r)[1:] for r in C.read_examples(C.segments(table(spark, rows))).collect()}
+    assert got == digests(plain(rows))
+    assert C.read_examples(C.segments(table(spark, rows).limit(0))).count() == 0
+
+
+def test_query_expands_every_example(monkeypatch):
+    from shelfmark.llm import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "read", lambda *_: Given())
+    monkeypatch.setattr(C, "segments", lambda _: "segments")
+    monkeypatch.setattr(C, "read_examples", lambda formatted: seen.append(formatted))
+    queries.op12_chat_format(Given(), "")
+    assert seen == ["segments"]
+
+
+class Given:
+    """Stands for a table and a session."""
+
+    select = unionByName = createDataFrame = lambda self, *_: self
