@@ -49,3 +49,15 @@ def test_counts_and_walks_are_joined_by_shuffle(spark):
     pages = spark.createDataFrame([(1, 1, 2, True), (1, 2, 2, False), (1, 3, 2, True)], "session_id long, page_no int, n_links int, has_next boolean")
     walked = listing_horizon(pages, spark.createDataFrame([(1, 0)], "session_id long, page_limit long"))
     assert "Broadcast" not in plan(walked) and sorted(r.page_no for r in walked.collect()) == [1, 2]
+
+
+def test_a_larger_stream_input_has_no_more_files(spark, monkeypatch):
+    from shelfmark.catalog import sessions
+
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "'<p>' AS html").repartition(40)
+    monkeypatch.setattr(sessions.i, "product_pages", lambda *_: pages)
+    paths = []
+    monkeypatch.setattr(sessions, "stream_pages", lambda spark, path, *_, **__: paths.append(path))
+    sessions._staged_pages(spark, "")
+    written = spark.read.parquet(paths[0])
+    assert len(written.inputFiles()) <= sessions.STREAM_FILES and written.count() == 400
