@@ -28,38 +28,52 @@ from ..sinks.runs import RunLog
 from .state import rocksdb_state
 
 FOUND = "session_id long, page_no long, links array<string>, stop long, url string, stage string, error string"
+#: What a session finds in a batch travels as one text, as do its events: Spark hands every column of every key over
+#: by itself, and a batch of columns for every key.
+SENT = "found string"
+_EVENT = ("url", "stage", "error", "is_single", "walks", "page_limit", "page_no", "links", "has_next")
+
+
+#: Early pages that lie in the walk's own value, so that they come and go with it; every call to the state is
+#: a trip to another process. What is beyond lies apart, page by page.
+HELD = 16
 
 
 class Walk(StatefulProcessor):
     """State of one listing walk."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.walk = handle.getValueState("walk", "known boolean, next long, stop long")
-        #: Pages that came too early: JSON of the link lists of their snapshots.
+        #: ``early``: pages that came too early, JSON of page number to the link lists of its snapshots; ``more``: are there others?
+        self.walk = handle.getValueState("walk", "known boolean, next long, stop long, early string, more boolean")
         self.early = handle.getMapState("early", "page_no long", "links string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        session, out = key[0], []
-        send = lambda **x: out.append(Row(**(dict.fromkeys(("session_id", "page_no", "links", "stop", "url", "stage", "error")) | {"session_id": session} | x)))
+        out = []
+        send = lambda **x: out.append({"session_id": key[0]} | x)
         fresh: dict[int, list] = {}
-        known, limit, stops = False, None, []
-        for r in rows:
-            if r.error is not None:
-                send(url=r.url, stage=r.stage, error=r.error)
-            if r.is_single:
-                send(page_no=1, links=[r.url])
-            if r.walks:
-                known, limit = True, r.page_limit
+        known, stops = False, []
+        for row in rows:
+            r = json.loads(row.event)
+            url, page_no, links = r.get("url"), r.get("page_no"), r.get("links") or []
+            if "error" in r:
+                send(url=url, stage=r["stage"], error=r["error"])
+            if r.get("is_single"):
+                send(page_no=1, links=[url])
+            if r.get("walks"):
+                known, limit = True, r.get("page_limit")
                 stops += [1] if limit is None else [limit + 1] if limit else []
-            if r.page_no is not None:
-                fresh.setdefault(r.page_no, []).append(list(r.links or ()))
-                stops += [r.page_no] if not r.links else [r.page_no + 1] if not r.has_next else []
+            if page_no is not None:
+                fresh.setdefault(page_no, []).append(links)
+                stops += [page_no] if not links else [page_no + 1] if not r.get("has_next") else []
         if fresh or known:
             self._advance(fresh, known, stops, send)
-        yield from out
+        if out:
+            yield Row(found=json.dumps(out))
 
     def _advance(self, fresh: dict[int, list], known: bool, stops: list[int], send) -> None:
-        was, nxt, stop = self.walk.get() if self.walk.exists() else (False, 1, None)
+        state = self.walk.get()
+        was, nxt, stop, text, more = state or (False, 1, None, None, False)
+        early = {int(no): lists for no, lists in json.loads(text).items()} if text else {}
         known, held = known or was, stop
         stop = min([*stops, *([] if stop is None else [stop])], default=None)
         open_ = lambda no: stop is None or no < stop
@@ -70,8 +84,8 @@ class Walk(StatefulProcessor):
                 for links in fresh.pop(no):
                     send(page_no=no, links=links)
             while open_(nxt):
-                lists = fresh.pop(nxt, [])
-                if self.early.containsKey((nxt,)):
+                lists = early.pop(nxt, []) + fresh.pop(nxt, [])
+                if more and self.early.containsKey((nxt,)):
                     lists = json.loads(self.early.getValue((nxt,))[0]) + lists
                     self.early.removeKey((nxt,))
                 if not lists:
@@ -82,21 +96,30 @@ class Walk(StatefulProcessor):
         if stop != held:
             if stop < nxt:
                 send(stop=stop)
-            for (no,) in list(self.early.keys()):
+            early = {no: lists for no, lists in early.items() if no < stop}
+            for (no,) in list(self.early.keys()) if more else ():
                 if no >= stop:
                     self.early.removeKey((no,))
         for no, lists in fresh.items():
-            if self.early.containsKey((no,)):
-                lists = json.loads(self.early.getValue((no,))[0]) + lists
-            self.early.updateValue((no,), (json.dumps(lists),))
-        self.walk.update((known, nxt, stop))
+            if no in early:
+                early[no] += lists
+            elif more and self.early.containsKey((no,)):
+                self.early.updateValue((no,), (json.dumps(json.loads(self.early.getValue((no,))[0]) + lists),))
+            elif len(early) < HELD:
+                early[no] = lists
+            else:
+                self.early.updateValue((no,), (json.dumps(lists),))
+                more = True
+        now = (known, nxt, stop, json.dumps(early) if early else None, more)
+        if state is None or now != tuple(state):
+            self.walk.update(now)
 
     def close(self) -> None:
         pass
 
 
 def _events(sessions: DataFrame, listing_pages: DataFrame, rules: PlatformRules) -> DataFrame:
-    """Session rows and parsed listing pages in one form."""
+    """Session rows and parsed listing pages in one form: the session, and a JSON text of what is not NULL."""
     own = F.col("has_rules") & (F.col("platform") == rules.name)
     bad = F.when(~F.col("has_rules"), F.lit("no rules")).when(F.col("page_limit").isNull(), F.lit("page limit"))
     null = lambda kind: F.lit(None).cast(kind)
@@ -124,7 +147,8 @@ def _events(sessions: DataFrame, listing_pages: DataFrame, rules: PlatformRules)
         "links",
         "has_next",
     )
-    return started.filter("session_id IS NOT NULL").unionByName(pages)
+    rows = started.filter("session_id IS NOT NULL").unionByName(pages)
+    return rows.select("session_id", F.to_json(F.struct(*_EVENT)).alias("event"))
 
 
 def start_requests(
@@ -143,8 +167,9 @@ def start_requests(
     found = (
         _events(sessions, listing_pages, rules)
         .groupBy("session_id")
-        .transformWithState(Walk(), FOUND, "Append", "None")
+        .transformWithState(Walk(), SENT, "Append", "None")
     )
+    found = found.select(F.inline(F.from_json("found", f"array<struct<{FOUND}>>")))
     spark = sessions.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
