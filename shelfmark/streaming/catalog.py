@@ -41,12 +41,19 @@ MAIN = f"struct<page_id: bigint, {_RECORD}, dims: array<struct<dim: string, opti
 SETS = "key string, version long, main string, variants string"
 
 
+#: Variant snapshots that lie in the page's own value; every call to the state is a trip to another process.
+#: What is beyond lies apart, ASIN by ASIN.
+HELD = 64
+_Held = Row("bad", "page_id", "url", "tie", "record")
+
+
 class Page(StatefulProcessor):
     """What counts for one canonical URL: a product snapshot and a variant snapshot per ASIN."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ranked = "bad boolean, page_id long, url string, tie long, record string"
-        self.main = handle.getValueState("main", f"version long, {ranked}, asins string")
+        #: ``held``: JSON of ASIN to ranked snapshot; ``more``: are there others?
+        self.main = handle.getValueState("main", f"version long, known boolean, {ranked}, asins string, held string, more boolean")
         self.variants = handle.getMapState("variants", "asin string", ranked)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -54,23 +61,38 @@ class Page(StatefulProcessor):
         for r in rows:
             if r.asin not in best or self._rank(r) < self._rank(best[r.asin]):
                 best[r.asin] = r
-        held = self.main.get() if self.main.exists() else None
-        version, main = (held[0], Row("bad", "page_id", "url", "tie", "record")(*held[1:6])) if held else (0, None)
-        asins = set(json.loads(held[6])) if held else set()
-        changed = False
+        state = self.main.get()
+        version, known, *main, asins, held, more = state or (0, False, *[None] * 5, None, None, False)
+        main = _Held(*main) if known else None
+        asins = set(json.loads(asins)) if asins else set()
+        held = json.loads(held) if held else {}
+        changed = kept = False
         fresh = best.pop(None, None)
         if fresh is not None and (main is None or self._rank(fresh) < self._rank(main)):
-            main, changed = fresh, True
+            main, changed = _Held(*(fresh[c] for c in _Held)), True
             asins = {o["asin"] for d in json.loads(main.record).get("dims") or () for o in d["options"] if o.get("asin") is not None}
         for asin, r in best.items():
-            old = self.variants.getValue((asin,)) if self.variants.containsKey((asin,)) else None
-            if old is None or self._rank(r) < self._rank(Row("bad", "page_id", "url", "tie", "record")(*old)):
-                self.variants.updateValue((asin,), (r.bad, r.page_id, r.url, r.tie, r.record))
-                changed |= asin in asins
-        if changed and main is not None:
-            self.main.update((version + 1, main.bad, main.page_id, main.url, main.tie, main.record, json.dumps(sorted(asins))))
-            known = {a: self.variants.getValue((a,))[4] for a in asins if self.variants.containsKey((a,))}
-            yield Row(key=key[0], version=version + 1, main=main.record, variants=json.dumps(known))
+            own = tuple(r[c] for c in _Held)
+            apart = more and asin not in held and self.variants.containsKey((asin,))
+            old = held.get(asin) or (self.variants.getValue((asin,)) if apart else None)
+            if old is not None and not self._rank(r) < self._rank(_Held(*old)):
+                continue
+            if apart or (asin not in held and len(held) >= HELD):
+                self.variants.updateValue((asin,), own)
+                kept, more = kept or not more, True
+            else:
+                held[asin], kept = own, True
+            changed |= asin in asins
+        changed = changed and main is not None
+        if changed or kept:
+            version += changed
+            rank = tuple(main) if main is not None else (None,) * 5
+            self.main.update((version, main is not None, *rank, json.dumps(sorted(asins)), json.dumps(held), more))
+        if changed:
+            found = {a: held[a][4] for a in asins if a in held}
+            if more:
+                found |= {a: self.variants.getValue((a,))[4] for a in asins if a not in held and self.variants.containsKey((a,))}
+            yield Row(key=key[0], version=version, main=main.record, variants=json.dumps(found))
 
     @staticmethod
     def _rank(r: Row) -> tuple:
