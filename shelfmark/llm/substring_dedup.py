@@ -21,7 +21,8 @@ Repeated documents are one long passage. Passages are counted in words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from shelfmark.llm.tables import forget, freed, stage, with_narrow
 MIN_WORDS = 50
 HASHES = 5
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of a shingle's hash that are moved: two of one pair's shingles agree by chance once in 2**48.
 MOVED = 6
 #: Documents with lists of positions or cuts that may be broadcast.
@@ -48,53 +49,63 @@ _SEEDS = W.mix(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 
 
 def window_minima(value: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the (leftmost) minimum of some window of ``width`` within one text."""
+    """Positions that hold the (leftmost) minimum of some window of ``width`` within one text.
+
+    The low bits of a value give way to its position, so the minimum of a window tells where it is and the
+    leftmost of equal values is the least. Values that agree in all other bits (44 for a slice) count as equal.
+    """
     n = len(value)
     if n < width:
         return np.zeros(0, np.int64)
-    at, have = np.arange(n), 1
+    low = np.uint64((1 << n.bit_length()) - 1)
+    least, have = (value & ~low) | np.arange(n, dtype=np.uint64), 1
     while have < width:
         shift = min(have, width - have)
-        other = at[shift:]
-        here = at[: len(other)]
-        at = np.where(value[other] < value[here], other, here)
+        least = np.minimum(least[:-shift], least[shift:])
         have += shift
-    whole = doc[width - 1 :] == doc[: n - width + 1]
-    return np.unique(at[: n - width + 1][whole])
-
-
-def bounds(position: list[int], value: list[int], doc: list[int], begin: list[int], end: list[int]) -> tuple[list[int], list[int]]:
-    """Left and right bounds of the windows at the given positions, by one pass with a stack.
+    at = (least[doc[width - 1 :] == doc[: n - width + 1]] & low).astype(np.int64)
+    new = np.ones(len(at), bool)  # the minimum of a later window does not stand earlier
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    return at[new]
+
+
+def _run_before(value: np.ndarray, room: np.ndarray, equal: bool) -> np.ndarray:
+    """How many of the ``room`` values right before each one are greater than it, or with ``equal`` at least it,
+    without a gap; found by halving over the minima of stretches of 1, 2, 4, … values."""
+    least = [value]
+    for k in range(int(room.max(initial=0)).bit_length() - 1):
+        least.append(np.minimum(least[k][: -(1 << k)], least[k][1 << k :]))
+    run = np.zeros(len(value), np.int64)
+    place = np.arange(len(value))
+    for k in range(len(least) - 1, -1, -1):
+        some = np.flatnonzero(run + (1 << k) <= room)
+        stretch = least[k][place[some] - run[some] - (1 << k)]
+        run[some[stretch >= value[some] if equal else stretch > value[some]]] += 1 << k
+    return run
+
+
+def bounds(position: np.ndarray, value: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right bounds of the windows at the given positions: up to a value as small before, and a smaller one after.
 
     The nearest smaller values on both sides are themselves minima of windows as long, so the given
     positions are enough.
     """
-    left, right = [0] * len(position), [0] * len(position)
-    stack: list[int] = []
-    last = -1
-    for i, v in enumerate(value):
-        if doc[i] != last:
-            for j in stack:
-                right[j] = end[last] - 1
-            stack, last = [], doc[i]
-        while stack and value[stack[-1]] > v:
-            right[stack.pop()] = position[i] - 1
-        left[i] = position[stack[-1]] + 1 if stack else begin[last]
-        stack.append(i)
-    for j in stack:
-        right[j] = end[last] - 1
+    n, place = len(position), np.arange(len(position))
+    first, last = np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
+    before = place - 1 - _run_before(value, place - first, equal=False)
+    after = place + 1 + _run_before(value[::-1], (last - 1 - place)[::-1], equal=True)[::-1]
+    left = np.where(before >= first, position[np.maximum(before, 0)] + 1, begin[doc])
+    right = np.where(after < last, position[np.minimum(after, n - 1)], end[doc]) - 1
     return left, right
 
 
 def compact_windows(token: np.ndarray, begin: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(function, position, text, left, right) of all windows of at least ``width`` shingles."""
     doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    first, last = begin[:-1].tolist(), begin[1:].tolist()
     for k, seed in enumerate(_SEEDS):
         value = (token ^ seed) * seed
         at = window_minima(value, doc, width)
-        left, right = bounds(at.tolist(), value[at].tolist(), doc[at].tolist(), first, last)
-        yield k, at, doc[at], np.array(left, np.int64), np.array(right, np.int64)
+        yield k, at, doc[at], *bounds(at, value[at], doc[at], begin[:-1], begin[1:])
 
 
 def sequences(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +134,9 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
                 continue
             key, doc, at, left, right = (np.concatenate(parts.pop(0)) for _ in range(5))
             order = np.lexsort((at, doc, key))
-            key, doc, at, left, right = (x[order] for x in (key, doc, at, left, right))
-            at, left, right = (x.astype(np.int64) for x in (at, left, right))
-            del order
+            key, doc = key[order], doc[order]
+            at, left, right = (x[order].astype(np.int64) for x in (at, left, right))
+            del order, parts
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
@@ -181,16 +192,39 @@ def shared_stretches(shared: np.ndarray, width: int, cost: int = COST) -> list[t
     return [(i, j) for _, _, i, j in kept if j - i >= width]
 
 
-def longest_around(shared: np.ndarray, at: int, cost: int) -> tuple[int, int]:
-    """The longest stretch [i, j) around a set flag in which each unset flag is paid by ``cost`` set ones."""
+def longest_around(shared: np.ndarray, cost: int) -> Callable[[int], tuple[int, int]]:
+    """The longest stretch [i, j) around a given set flag in which each unset flag is paid by ``cost`` set ones.
+
+    What does not depend on the given flag is computed once.
+    """
     total = np.concatenate([[0], np.cumsum(np.where(shared, 1, -cost))])
-    low = total[: at + 1]
-    begin = np.flatnonzero(low < np.concatenate([[1 << 62], np.minimum.accumulate(low)[:-1]]))
-    best = np.maximum.accumulate(total[:at:-1])[::-1]
-    end = at + np.searchsorted(-best, -low[begin], "right")
-    n = int(np.where(end > at, end - begin, -1).argmax())
-    inside = np.flatnonzero(shared[begin[n] : end[n]])
-    return (int(begin[n] + inside[0]), int(begin[n] + inside[-1]) + 1) if len(inside) else (at, at)
+    lowest = np.flatnonzero(total < np.concatenate([[1 << 62], np.minimum.accumulate(total)[:-1]]))
+    falling = -np.maximum.accumulate(total[::-1])[::-1]  # the best end from here on, negative
+    wanted = -total[lowest]
+    flags = np.flatnonzero(shared)
+
+    def around(at: int) -> tuple[int, int]:
+        most = lowest.searchsorted(at, "right")
+        end = at + falling[at + 1 :].searchsorted(wanted[:most], "right")
+        n = int(np.where(end > at, end - lowest[:most], -1).argmax())
+        i, j = flags.searchsorted(lowest[n]), flags.searchsorted(end[n])
+        return (int(flags[i]), int(flags[j - 1]) + 1) if i < j else (at, at)
+
+    return around
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array. A pair's parts are short, and numpy's set functions sort them several times."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
 
 
 def passages_of(own: np.ndarray, other: np.ndarray, at: np.ndarray, lead_at: np.ndarray, width: int) -> list[tuple[int, int, int, int, float]]:
@@ -201,8 +235,12 @@ def passages_of(own: np.ndarray, other: np.ndarray, at: np.ndarray, lead_at: np.
     found = []
 
     def holds(i: int, j: int, low: int, high: int) -> bool:
-        a, b = np.unique(own[i:j]), np.unique(other[low:high])
-        common = len(np.intersect1d(a, b, assume_unique=True))
+        if j - i == high - low and np.array_equal(own[i:j], other[low:high]):
+            found.append((i, j, low, high, 1.0))
+            solved[(at >= i) & (at < j)] = True
+            return True
+        a, b = _distinct(own[i:j]), _distinct(other[low:high])
+        common = int(np.count_nonzero(_among(a, b)))
         enough = common * 100 >= PERCENT * (len(a) + len(b) - common)
         if enough:
             found.append((i, j, low, high, common / (len(a) + len(b) - common)))
@@ -214,7 +252,7 @@ def passages_of(own: np.ndarray, other: np.ndarray, at: np.ndarray, lead_at: np.
         first, last = np.flatnonzero(other == own[i]), np.flatnonzero(other == own[j - 1])
         return int(first[np.abs(first - i - d).argmin()]), int(last[np.abs(last - j + 1 - d).argmin()]) + 1
 
-    shared = np.isin(own, other)
+    shared = _among(own, np.sort(other))
     if np.count_nonzero(shared) * 100 < PERCENT * width:  # too few for any passage
         return found
     for i, j in shared_stretches(shared, width):
@@ -232,10 +270,14 @@ def passages_of(own: np.ndarray, other: np.ndarray, at: np.ndarray, lead_at: np.
     # a change in the middle of a short passage costs more than either half gains, and words put in or left
     # out move the other end; 3 in 4 shingles are shared at least where words are put in only
     tried = set()
-    for n in np.flatnonzero(~solved).tolist():
-        for cost in (COST, 3):
-            i, j = longest_around(shared, int(at[n]), cost)
-            if solved[n] or j - i < width:
+    rest = np.flatnonzero(~solved).tolist()
+    arounds = [cache(longest_around(shared, cost)) for cost in (COST, 3)] if rest else []
+    for n in rest:
+        for around in arounds:
+            if solved[n]:
+                break
+            i, j = around(int(at[n]))
+            if j - i < width:
                 continue
             span = (i, j, *ends(i, j, int(diagonal[n])))
             if span not in tried and span[2] < span[3]:
@@ -263,14 +305,21 @@ def candidates(met: DataFrame, width: int) -> DataFrame:
     )
 
 
-def unpacked(tokens: pa.Buffer) -> np.ndarray:
+def unpacked(raw: np.ndarray) -> np.ndarray:
     """Shingles of a packed sequence."""
-    raw = np.frombuffer(tokens, np.uint8).reshape(-1, MOVED)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :MOVED] = raw
+    wide = np.zeros((len(raw) // MOVED, 8), np.uint8)
+    wide[:, :MOVED] = raw.reshape(-1, MOVED)
     return wide.view("<i8")[:, 0]
 
 
+def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a column of packed sequences, and where each begins."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, raw = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), at
+
+
 def verified(pairs: DataFrame, full: DataFrame, width: int) -> DataFrame:
     """Passages of candidate pairs. Only the spanned parts of sequences are moved with a pair."""
     most = F.lit(1 << 28)  # no text has as many words, and the bytes still count as an int
@@ -285,11 +334,17 @@ def verified(pairs: DataFrame, full: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             doc, lead, low, lead_low = (batch.column(c).to_pylist() for c in ("doc", "lead", "low", "lead_low"))
-            tokens = lambda c, n, batch=batch: unpacked(batch.column(c)[n].as_buffer())
+            if not len(batch):
+                continue
+            (own, own_at), (other, other_at) = packed(batch.column("own")), packed(batch.column("other"))
+            anchors = batch.column("anchors")
+            ats, lead_ats = (anchors.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            first = anchors.offsets.to_numpy().astype(np.int64)
+            first = (first - first[0]).tolist()
             for n in range(len(batch)):
-                anchors = batch.column("anchors")[n].values
-                at, lead_at = (anchors.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                found = passages_of(tokens("own", n), tokens("other", n), at - low[n], lead_at - lead_low[n], width)
+                mine = slice(first[n], first[n + 1])
+                sides = unpacked(own[own_at[n] : own_at[n + 1]]), unpacked(other[other_at[n] : other_at[n + 1]])
+                found = passages_of(*sides, ats[mine] - low[n], lead_ats[mine] - lead_low[n], width)
                 rows += [(doc[n], low[n] + i, low[n] + j + size, lead[n], lead_low[n] + a, lead_low[n] + b + size, s) for i, j, a, b, s in found]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)
 

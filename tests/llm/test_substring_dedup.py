@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from shelfmark.llm import substring_dedup as D
+from shelfmark.llm import words as W
 
 from .conftest import corpus, prose
 
@@ -107,3 +110,40 @@ def test_edited_passages_are_found(spark):
     missed = set(need) - got
     assert len(need) > 200
     assert len(missed) <= len(need) // 500, (len(missed), len(need))
+
+
+@pytest.mark.parametrize("kinds", [3, 40, 10**9])
+def test_window_bounds_of_a_slice_are_those_of_a_scan(kinds):
+    rng = np.random.default_rng(kinds)
+    counts = rng.integers(0, 120, 30)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    token = W.mix(rng.integers(0, kinds, begin[-1]).astype(np.uint64))
+    doc = np.repeat(np.arange(len(counts)), counts)
+    for width in (1, 7, 46):
+        least = {low + int(token[low : low + width].argmin()) for d in range(len(counts)) for low in range(begin[d], begin[d + 1] - width + 1)}
+        at = D.window_minima(token, doc, width)
+        assert at.tolist() == sorted(least)
+        left, right = D.bounds(at, token[at], doc[at], begin[:-1], begin[1:])
+        for i, low, high in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
+            first, last = int(begin[doc[i]]), int(begin[doc[i] + 1])
+            assert low == max([j + 1 for j in range(first, i) if token[j] <= token[i]], default=first)
+            assert high == min([j - 1 for j in range(i + 1, last) if token[j] < token[i]], default=last - 1)
+
+
+def test_the_search_around_flags_is_prepared_once_and_finds_the_longest():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        shared, cost = rng.random(30) < 0.8, int(rng.integers(1, 7))
+        around = D.longest_around(shared, cost)
+        for at in np.flatnonzero(shared).tolist():
+            i, j = around(at)
+            worth = lambda a, b: np.where(shared[a:b], 1, -cost).sum()  # noqa: E731, B023
+            most = max(b - a for a in range(at + 1) for b in range(at + 1, 31) if worth(a, b) >= 0)
+            assert shared[i] and shared[j - 1] and i <= at < j and j - i <= most
+            assert worth(i, j) >= 0
+
+
+def test_a_batch_of_packed_sequences_is_read_from_any_row():
+    rows = [b"", b"\x01\x00\x00\x00\x00\x00", b"\x02\x00\x00\x00\x00\x01" * 2]
+    raw, at = D.packed(pa.array([b"abcdef", *rows]).slice(1))
+    assert [D.unpacked(raw[a:b]).tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[], [1], [2 + (1 << 40)] * 2]
