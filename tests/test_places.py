@@ -87,3 +87,14 @@ def test_pages_are_filtered_below_the_parse(spark):
     plan = plan_of(facts)
     assert plan.index("ArrowEvalPython") < plan.index("BroadcastHashJoin") and "LeftSemi" in plan
     assert [r.session_id for r in facts.collect()] == [1]
+
+
+def test_a_key_filter_has_a_row_per_many_words_and_every_bit_of_its_keys(spark):
+    keys = spark.range(5_000).selectExpr("if(id % 50 = 0, null, id) AS key")
+    rows = {r._row: r._words for r in joins.key_filter(keys, "key").collect()}
+    assert len(rows) <= joins.FILTER_WORDS // joins.ROW_WORDS and {len(w) for w in rows.values()} == {joins.ROW_WORDS}
+    word, bits = joins._place(F.col("key"))
+    placed = {(r.w, r.b) for r in keys.filter("key IS NOT NULL").select(word.alias("w"), bits.alias("b")).collect()}
+    assert all(rows[w // joins.ROW_WORDS][w % joins.ROW_WORDS] & b == b for w, b in placed)
+    used = {w for w, _ in placed}
+    assert all(not bits for r, words in rows.items() for i, bits in enumerate(words) if r * joins.ROW_WORDS + i not in used)
