@@ -9,8 +9,8 @@ What keeps the matrix small, all of it exact:
 
 - equal sets are one class with one representative;
 - representatives that min-hash bands bring together are compared with a leader of their bucket first,
-  and those linked form clusters: links inside a cluster are not sought again, and clusters, cut into
-  slices of ``GROUP_ROWS``, are the groups;
+  in large buckets again and again, and those linked form clusters: links inside a cluster are not sought
+  again, and clusters, cut into slices of ``GROUP_ROWS``, are the groups;
 - two sets with Jaccard similarity t share one of the first n - ceil(t n) + 1 tokens of each, in any
   common order; tokens found to be frequent come last in that order, and only such prefixes enter the
   matrix. With k shared prefix tokens, two sets can share no more than k and what follows the prefix.
@@ -40,6 +40,8 @@ PERCENT = 75
 BANDS, BAND_ROWS = 8, 3
 ROUNDS = 2
 GROUP_ROWS = 64
+#: A bucket with many clusters goes on while a turn leaves no more than this part of them.
+LEFT = 15 / 16
 #: Tokens found this often in one batch of rows, and so many in all, are put last in prefixes.
 FREQUENT_IN_BATCH = 3
 FREQUENT_TOKENS = 500_000
@@ -134,28 +136,56 @@ def clusters(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     """Representatives brought together by bands: (rep, first leader), and (rep, cluster) by exact links.
 
     In each turn every bucket has a leader, each representative is compared with one leader of another
-    cluster, and the clusters that links connect become one.
+    cluster, and the clusters that links connect become one. Buckets that still hold more clusters than a
+    group holds rows go on: there each representative is compared with the leaders of all its buckets, until a
+    turn leaves a bucket almost as it was. A large group of like texts so becomes one cluster with a number of
+    comparisons in proportion to its size, and not all of its pairs are sought and told as links.
     """
     bands = classes.select("rep", F.explode("bands").alias("band")).distinct()
-    shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", F.col("low").alias("leader"))
-    near = stage(bands.join(shared, "band").select("band", "rep", "leader"), "jaccard-near")
+    shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("rows")).where("low < high")
+    shared = shared.select("band", F.col("low").alias("leader"), (F.col("rows") > GROUP_ROWS).alias("large"))
+    near = stage(bands.join(shared, "band").select("band", "rep", "leader", "large"), "jaccard-near")
     leaders = near.groupBy("rep").agg(F.min("leader").alias("leader"))
     own = stage(near.select("rep", F.col("rep").alias("cluster")).distinct(), "jaccard-clusters")
     if own.isEmpty():
         return leaders, own
     full = stage(token_sets(docs, stage(classes.select("rep", "doc_id", "check").join(own.select("rep"), "rep"), "jaccard-near-docs")), "jaccard-near-sets")
     for turn in range(ROUNDS):
-        rows = near.select("band", "rep").join(own, "rep")
-        rank = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("leader"), F.col("cluster").alias("of"))
-        chief = rows.groupBy("band").agg(F.min(rank).alias("c")).select("band", F.col("c.o").alias("o"), F.col("c.leader").alias("leader"), F.col("c.of").alias("of"))
-        pairs = rows.join(chief, "band").where(F.col("cluster") != F.col("of"))
+        pairs = to_leaders(near, own, F.xxhash64("rep", F.lit(turn)))
         pairs = pairs.groupBy("rep", "cluster").agg(F.min(F.struct("o", "leader", "of")).alias("c")).select("rep", "cluster", "c.leader", "c.of")
-        found = pairs.alias("p").join(full.alias("a"), F.col("p.rep") == F.col("a.rep")).join(full.alias("b"), F.col("leader") == F.col("b.rep"))
-        found = found.where(like_sizes(F.col("a.n"), F.col("b.n"))).where(linked("a", "b"))
-        own = stage(merged(own, found.select(F.col("cluster").alias("a"), F.col("of").alias("b"))), "jaccard-clusters")
+        own = stage(merged(own, links_to(full, pairs)), "jaccard-clusters")
+    large, turn = near.where("large").select("band", "rep"), ROUNDS
+    crowded = stage(clusters_held(large, own), "jaccard-crowded")
+    while not crowded.isEmpty():
+        rows = large.join(crowded.select("band"), "band")
+        pairs = to_leaders(rows, own, F.xxhash64("rep", "band", F.lit(turn))).select("rep", "cluster", "leader", "of").distinct()
+        own = stage(merged(own, links_to(full, pairs)), "jaccard-clusters")
+        left = clusters_held(rows, own).withColumnRenamed("held", "still").join(crowded, "band")
+        crowded = stage(left.where(F.col("still") <= F.col("held") * LEFT).select("band", F.col("still").alias("held")), "jaccard-crowded")
+        turn += 1
     return leaders, own
 
 
+def to_leaders(near: DataFrame, own: DataFrame, order: F.Column) -> DataFrame:
+    """Representatives with each bucket's leader, the least in an order, where that is of another cluster."""
+    rows = near.select("band", "rep").join(own, "rep")
+    rank = F.struct(order.alias("o"), F.col("rep").alias("leader"), F.col("cluster").alias("of"))
+    chief = rows.groupBy("band").agg(F.min(rank).alias("c")).select("band", F.col("c.o").alias("o"), F.col("c.leader").alias("leader"), F.col("c.of").alias("of"))
+    return rows.join(chief, "band").where(F.col("cluster") != F.col("of"))
+
+
+def links_to(full: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Clusters (a, b) of the representatives that are linked with their leaders."""
+    found = pairs.alias("p").join(full.alias("a"), F.col("p.rep") == F.col("a.rep")).join(full.alias("b"), F.col("leader") == F.col("b.rep"))
+    found = found.where(like_sizes(F.col("a.n"), F.col("b.n"))).where(linked("a", "b"))
+    return found.select(F.col("cluster").alias("a"), F.col("of").alias("b"))
+
+
+def clusters_held(near: DataFrame, own: DataFrame) -> DataFrame:
+    """(band, held) of the buckets with more clusters than a group has rows."""
+    return near.join(own, "rep").groupBy("band").agg(F.countDistinct("cluster").alias("held")).where(F.col("held") > GROUP_ROWS)
+
+
 def merged(own: DataFrame, edges: DataFrame) -> DataFrame:
     """(rep, cluster) after the clusters that edges (a, b) connect have become one."""
     joined = components(edges).select(F.col("node").alias("cluster"), "component")

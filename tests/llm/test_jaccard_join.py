@@ -103,3 +103,20 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (201, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+
+
+def test_links_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    """Where the first turns found no links, not all linked pairs are left to the comparison of groups."""
+    monkeypatch.setattr(J, "GROUP_ROWS", 8)
+    monkeypatch.setattr(J, "ROUNDS", 0)
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for n in range(120):
+        words = list(base)
+        for at in rng.integers(0, 100, 1 + n % 3):
+            words[at] = f"x{n}"
+        rows.append((n, " ".join(words)))
+    told, compare = [], J.links_between
+    monkeypatch.setattr(J, "links_between", lambda *a: told.append(compare(*a)) or told[-1])
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+    assert told[0].count() <= len(rows)
