@@ -43,6 +43,8 @@ PIECE = 4_096
 #: Rows scored together, and outputs kept before they are reduced to probabilities.
 ROWS = 4_096
 OUTPUTS = 32_768
+#: Rows whose class outputs are worked on together: they stay in a core's cache.
+BLOCK = 2_048
 END = np.uint64(0x0123456789ABCDEF)
 ADDED = 0.1
 
@@ -192,13 +194,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def step(h: np.ndarray, table: np.ndarray, symbol: np.ndarray, p: Parameters) -> tuple[np.ndarray, ...]:
     """One step of the network: new state, and what its derivative needs."""
-    x = table[symbol]
+    x = table.take(symbol, axis=0)
     u = h @ p["state"]
     gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
     keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
     inner = u[:, 2 * HIDDEN :] + p["inner"]
-    new = np.tanh(x[:, 2 * HIDDEN :] + reset * inner)
-    return new + keep * (h - new), keep, reset, inner, new
+    new = reset * inner
+    new += x[:, 2 * HIDDEN :]
+    np.tanh(new, out=new)
+    state = h - new
+    state *= keep
+    state += new
+    return state, keep, reset, inner, new
 
 
 def input_table(p: Parameters) -> np.ndarray:
@@ -210,71 +217,86 @@ def _stable_order(values: np.ndarray, bound: int) -> np.ndarray:
     return np.argsort(values.astype(np.uint16) if bound <= 1 << 16 else values, kind="stable")
 
 
-def _softmax(x: np.ndarray, at: np.ndarray, whole: bool, wide: bool) -> np.ndarray:
-    """Log probability of one column of each row; if ``whole``, ``x`` becomes the probabilities.
+def _exp(x: np.ndarray, at: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` becomes its exponentials; returns the values at the places ``at`` of its flat form, and the rows' sums.
 
     ``wide`` says that values may leave the range of exp.
     """
     if wide and x.size:
         x -= x.max(axis=1, keepdims=True)
-    chosen = x[np.arange(len(x)), at]
+    chosen = x.ravel().take(at)
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    if whole:
-        x /= total[:, None]
-    return chosen - np.log(total)
+    return chosen, x @ np.ones(x.shape[1], x.dtype)
 
 
 def _with_bias(weight: np.ndarray, bias: np.ndarray, most: float) -> tuple[np.ndarray, bool]:
-    """Weights with the bias as a last column, and whether outputs can exceed 80 for inputs of at most ``most``."""
-    both = np.concatenate([weight, bias[:, None]], axis=1)
-    return both, bool((np.abs(weight).sum(axis=1) * most + np.abs(bias)).max(initial=0) > 80)
+    """Weights with the bias as a last row, and whether outputs can exceed 60 for inputs of at most ``most``."""
+    both = np.empty((weight.shape[1] + 1, len(weight)), weight.dtype)
+    both[:-1], both[-1] = weight.T, bias
+    return both, bool((np.abs(weight).sum(axis=1) * most + np.abs(bias)).max(initial=0) > 60)
 
 
 def log_probabilities(h: np.ndarray, target: np.ndarray, p: Parameters, lex: Lexicon, grad: Parameters | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target symbol; with ``grad``, adds gradients of the mean loss and returns that of h.
 
     Rows are brought into the order of their targets' classes once, so each class works on neighbouring rows.
-    A last column of ones carries the biases through the same products.
+    A last column of ones carries the biases through the same products. Exponentials are not divided by their
+    sums: what is multiplied with them, or comes of it, is narrower.
     """
-    group = np.searchsorted(lex.class_start, target, "right") - 1
+    sizes = np.diff(lex.class_start)
+    group = np.repeat(np.arange(len(sizes)), sizes).take(target)
     order = _stable_order(group, len(lex.class_start))
-    ends = np.searchsorted(group[order], np.arange(len(lex.class_start)))
-    rows = np.ones((len(h), h.shape[1] + 1), h.dtype)
-    rows[:, :-1] = h[order]
-    h, target, group = rows, target[order], group[order]
-    learning, n = grad is not None, len(target)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(sizes)))]).tolist()
+    target, group, learning, n = target.take(order), group.take(order), grad is not None, len(target)
     most = float(np.abs(h).max(initial=0))
+    rows = np.ones((n, h.shape[1] + 1), h.dtype)
+    rows[:, :-1] = h.take(order, axis=0)
+    h, number = rows, np.arange(n)
     weight, wide = _with_bias(p["classes"], p["class_bias"], most)
-    d = h @ weight.T
-    out = _softmax(d, group, learning, wide).astype(np.float64)
-    back = None
+    out, total = np.empty(n), np.empty(n, h.dtype)
+    back, within = (np.empty((n, h.shape[1] - 1), h.dtype) for _ in range(2)) if learning else (None, None)
+    for low in range(0, n, BLOCK):
+        cut = slice(low, low + BLOCK)
+        d = h[cut] @ weight
+        at = number[: len(d)] * len(sizes) + group[cut]
+        out[cut], total[cut] = _exp(d, at, wide)
+        if learning:
+            d.ravel()[at] -= total[cut]
+            np.matmul(d, p["classes"], out=back[cut])
+            slope = d.T @ (h[cut] / total[cut, None])
+            slope /= n
+            grad["classes"] += slope[:, :-1]
+            grad["class_bias"] += slope[:, -1]
+    out -= np.log(total)
     if learning:
-        d[np.arange(n), group] -= 1
-        back = d @ p["classes"]
-        slope = d.T @ h / n
-        grad["classes"] += slope[:, :-1]
-        grad["class_bias"] += slope[:, -1]
+        back /= total[:, None]
     weight, wide = _with_bias(p["out"], p["out_bias"], most)
-    for c in range(len(lex.class_start) - 1):
-        mine = slice(ends[c], ends[c + 1])
-        if ends[c] == ends[c + 1]:
+    starts = lex.class_start.tolist()
+    target -= lex.class_start.take(group)
+    at = number * sizes.take(group) + target
+    for c, (low, high) in enumerate(zip(starts, starts[1:], strict=False)):
+        first, end = ends[c], ends[c + 1]
+        if first == end:
             continue
-        low, high = lex.class_start[c], lex.class_start[c + 1]
-        at = target[mine] - low
-        d = h[mine] @ weight[low:high].T
-        out[mine] += _softmax(d, at, learning, wide)
+        d = h[first:end] @ weight[:, low:high]
+        place = at[first:end] - first * (high - low)
+        chosen, total[first:end] = _exp(d, place, wide)
+        out[first:end] += chosen
         if learning:
-            d[np.arange(len(at)), at] -= 1
-            back[mine] += d @ p["out"][low:high]
-            slope = d.T @ h[mine] / n
+            d.ravel()[place] -= total[first:end]
+            np.matmul(d, p["out"][low:high], out=within[first:end])
+            slope = d.T @ (h[first:end] / total[first:end, None])
+            slope /= n
             grad["out"][low:high] += slope[:, :-1]
             grad["out_bias"][low:high] += slope[:, -1]
+    out -= np.log(total)
     logs = np.empty_like(out)
     logs[order] = out
     if learning:
-        ordered, back = back / n, np.empty_like(back)
-        back[order] = ordered
+        within /= total[:, None]
+        within += back
+        within /= n
+        back[order] = within
     return logs, back
 
 
@@ -286,38 +308,51 @@ def window_gradient(p: Parameters, lex: Lexicon, h: np.ndarray, given: np.ndarra
     grad = {k: np.zeros_like(v) for k, v in p.items()}
     table = input_table(p)
     streams, steps = given.shape
-    alive = ~fresh.T[:, :, None]
+    begun = [np.flatnonzero(f) for f in fresh.T]
     before, keep, reset, inner, new, states = np.empty((6, steps, streams, HIDDEN), h.dtype)
     for t in range(steps):
-        before[t] = h * alive[t]
+        before[t] = h
+        before[t, begun[t]] = 0
         states[t], keep[t], reset[t], inner[t], new[t] = step(before[t], table, given[:, t], p)
         h = states[t]
     logs, back = log_probabilities(states.reshape(-1, HIDDEN), target.T.ravel(), p, lex, grad)
     back = back.reshape(steps, streams, HIDDEN)
     # derivatives inside a step, for all steps at once
-    by_keep = (before - new) * keep * (1 - keep)
-    by_new = (1 - keep) * (1 - new * new)
-    by_reset = inner * reset * (1 - reset)
+    other = 1 - keep
+    by_keep = before - new
+    by_keep *= keep
+    by_keep *= other
+    by_new = 1 - new * new
+    by_new *= other
+    by_reset = 1 - reset
+    by_reset *= reset
+    by_reset *= inner
     d_state = np.empty((steps, streams, 3 * HIDDEN), h.dtype)
     d_new = np.empty_like(new)
-    carry = np.zeros_like(h)
+    carry, to_state = np.zeros_like(h), np.ascontiguousarray(p["state"].T)
     for t in range(steps - 1, -1, -1):
-        d = back[t] + carry
+        d = back[t]
+        d += carry
         np.multiply(d, by_new[t], out=d_new[t])
         du = d_state[t]
         np.multiply(d, by_keep[t], out=du[:, :HIDDEN])
         np.multiply(d_new[t], by_reset[t], out=du[:, HIDDEN : 2 * HIDDEN])
         np.multiply(d_new[t], reset[t], out=du[:, 2 * HIDDEN :])
-        carry = (d * keep[t] + du @ p["state"].T) * alive[t]
+        carry = du @ to_state
+        d *= keep[t]
+        carry += d
+        carry[begun[t]] = 0
     inputs, symbol = d_state.reshape(-1, 3 * HIDDEN), given.T.ravel()
-    grad["inner"] = inputs[:, 2 * HIDDEN :].sum(axis=0)
+    every = np.ones(len(inputs), h.dtype)
+    grad["inner"] = (every @ inputs)[2 * HIDDEN :]
     grad["state"] = before.reshape(-1, HIDDEN).T @ inputs
     inputs[:, 2 * HIDDEN :] = d_new.reshape(-1, HIDDEN)
-    grad["input"] = p["embed"][symbol].T @ inputs
-    grad["gate"] = inputs.sum(axis=0)
+    grad["input"] = p["embed"].take(symbol, axis=0).T @ inputs
+    grad["gate"] = every @ inputs
     order = _stable_order(symbol, lex.size)
-    used, first = np.unique(symbol[order], return_index=True)
-    grad["embed"][used] = np.add.reduceat((inputs @ p["input"].T)[order], first, axis=0)
+    symbol = symbol.take(order)
+    first = np.flatnonzero(np.diff(symbol, prepend=-1))
+    grad["embed"][symbol[first]] = np.add.reduceat((inputs @ p["input"].T).take(order, axis=0), first, axis=0)
     return float(-logs.mean()), grad, h
 
 
@@ -352,16 +387,15 @@ class Trainer:
 
     def _update(self, grad: Parameters) -> None:
         self.steps += 1
-        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        size = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         shrink = min(1.0, 1.0 / max(size, 1e-9))
         scale = self.rate * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for k, g in grad.items():
-            g *= shrink
             first, second = self.first[k], self.second[k]
             first *= 0.9
-            first += 0.1 * g
+            first += g * g.dtype.type(0.1 * shrink)
             g *= g
-            g *= 0.001
+            g *= 0.001 * shrink * shrink
             second *= 0.999
             second += g
             np.sqrt(second, out=g)

@@ -63,6 +63,28 @@ def test_probabilities_of_all_symbols_add_up_to_one():
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("size", [1.0, 15.0, 60.0])
+def test_log_probabilities_equal_plain_softmax(monkeypatch, size):
+    """Also over several blocks of rows, and where outputs leave the range of exp."""
+    monkeypatch.setattr(R, "BLOCK", 64)
+    lex = lexicon_of(120)
+    rng = np.random.default_rng(6)
+    p = {k: (rng.standard_normal(s) * size).astype(np.float32) for k, s in R.shapes(lex).items()}
+    h = rng.uniform(-1, 1, (300, R.HIDDEN)).astype(np.float32)
+    target = rng.integers(0, lex.size, 300)
+    norm = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    expected = []
+    for row, at in zip(h.astype(np.float64), target, strict=True):
+        c = int(np.searchsorted(lex.class_start, at, "right")) - 1
+        low, high = lex.class_start[c : c + 2]
+        expected.append(norm(p["classes"] @ row + p["class_bias"])[c] + norm(p["out"][low:high] @ row + p["out_bias"][low:high])[at - low])
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    for given in (None, grad):
+        logs, back = R.log_probabilities(h, target, p, lex, given)
+        assert logs == pytest.approx(np.array(expected), rel=1e-4, abs=1e-3)
+    assert np.isfinite(back).all() and all(np.isfinite(v).all() for v in grad.values())
+
+
 def plain_base(rows):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     tokens = [(d, [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]) for d, t in rows]
