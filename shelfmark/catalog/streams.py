@@ -22,21 +22,25 @@ from .sessions import ASIDE, REQUESTS, SNAPSHOT, STATES, TRUST, VARIANTS, mains_
 from .urls import HOST_SQL
 
 
-def _folder(spark, rows, name, files=6):
-    """The rows as files that mix them without regard to their order."""
+def _folder(spark, rows, name, most, per_file, files=6):
+    """The rows as files that mix them without regard to their order, and how many files there are.
+
+    A file is read by one task, so more rows come in more files; ``most`` is a plain table with at least as many.
+    """
     path = stage_path(spark, f"stream-{name}")
+    files = max(files, -(-most.count() // per_file))
     rows.repartition(files, F.xxhash64(*rows.columns[:2], F.lit(name))).write.parquet(path)
-    return path
+    return path, files
 
 
 def stream_requests(spark, sf):
     """Requests of sessions and listing pages that arrive mixed, in several batches."""
     out = stage_path(spark, "stream-requests")
-    sessions = _folder(spark, i.sessions(spark, sf), "sessions")
-    listings = _folder(spark, i.listing_pages(spark, sf), "listings")
+    sessions, n = _folder(spark, i.sessions(spark, sf), "sessions", i.table(spark, sf, "orders"), 250_000)
+    listings, m = _folder(spark, i.listing_pages(spark, sf), "listings", i.table(spark, sf, "lineitem"), 25_000)
     start_requests(
-        stream_pages(spark, sessions, schemas.SESSIONS, files_per_batch=4),
-        stream_pages(spark, listings, schemas.LISTING_PAGES, files_per_batch=2),
+        stream_pages(spark, sessions, schemas.SESSIONS, files_per_batch=-(-n * 2 // 3)),
+        stream_pages(spark, listings, schemas.LISTING_PAGES, files_per_batch=-(-m // 3)),
         AMAZON, out, f"{out}/checkpoint",
     ).awaitTermination()
     return read_requests(spark, out)

@@ -5,6 +5,12 @@ flag go to the state of their session, the HTML does not. A session's state is t
 its walk, the page before which it stops as far as is known, and the pages that came too early. A page's
 requests are sent when all pages before it are there; pages beyond the stop are dropped at once.
 
+The state is a pair of tables, ``walks`` and ``early``, committed with the requests of each batch. A batch
+brings new sets of rows for the sessions it touches, by joins and minima only, so the pages of a large
+session are spread over all tasks. Reading the state costs with the number of sessions, whatever the batch.
+With ``keyed`` the state lies in RocksDB, session by session in a Python processor: slower by
+the row, but a batch that touches few of very many sessions does not read the others.
+
 A stop can only move forward in time to a lower page: by a second snapshot of a page that was
 already passed. Pages sent beyond it are then taken back by a stop row, which ``read_requests`` heeds, so
 that the result is that of the batch for any order of files and any batch size.
@@ -24,6 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.joins import join_shuffled
 from ..plans.retail import classify_sessions, listing_facts
 from ..plans.rules import PlatformRules
+from ..session import stage
 from ..sinks.runs import RunLog
 from .state import rocksdb_state
 
@@ -119,7 +126,7 @@ class Walk(StatefulProcessor):
 
 
 def _events(sessions: DataFrame, listing_pages: DataFrame, rules: PlatformRules) -> DataFrame:
-    """Session rows and parsed listing pages in one form: the session, and a JSON text of what is not NULL."""
+    """Session rows and parsed listing pages in one form."""
     own = F.col("has_rules") & (F.col("platform") == rules.name)
     bad = F.when(~F.col("has_rules"), F.lit("no rules")).when(F.col("page_limit").isNull(), F.lit("page limit"))
     null = lambda kind: F.lit(None).cast(kind)
@@ -147,8 +154,98 @@ def _events(sessions: DataFrame, listing_pages: DataFrame, rules: PlatformRules)
         "links",
         "has_next",
     )
-    rows = started.filter("session_id IS NOT NULL").unionByName(pages)
-    return rows.select("session_id", F.to_json(F.struct(*_EVENT)).alias("event"))
+    return started.filter("session_id IS NOT NULL").unionByName(pages)
+
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """What each session's processor finds. An event travels as a JSON text of what is not NULL."""
+    texts = events.select("session_id", F.to_json(F.struct(*_EVENT)).alias("event"))
+    found = texts.groupBy("session_id").transformWithState(Walk(), SENT, "Append", "None")
+    return found.select(F.inline(F.from_json("found", f"array<struct<{FOUND}>>")))
+
+
+STATE = ("walks", "early")
+
+
+def _latest_walks(walks: DataFrame) -> DataFrame:
+    newest = walks.groupBy("session_id").agg(F.max(F.struct("batch", "known", "next", "stop")).alias("w"))
+    return newest.select("session_id", "w.*")
+
+
+def _latest_early(log: RunLog, walks: DataFrame) -> DataFrame:
+    """Early pages of each session's newest set."""
+    return join_shuffled(log.read("early"), walks.select("session_id", "batch"), ["session_id", "batch"])
+
+
+def _ends(events: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Sessions that a batch touches: known?, the stop now and the one ``held`` before, and the next page before the batch."""
+    no, none = F.col("page_no"), F.lit(None).cast("long")
+    limit = F.when(F.col("page_limit").isNull(), F.lit(1).cast("long")).when(F.col("page_limit") != 0, F.col("page_limit") + 1)
+    end = F.when(F.coalesce(F.size("links"), F.lit(0)) <= 0, no).when(~F.coalesce("has_next", F.lit(False)), no + 1)
+    walks = F.coalesce(F.col("walks"), F.lit(False))
+    rows = events.filter(walks | no.isNotNull()).select(
+        "session_id", F.lit(True).alias("touched"), walks.alias("known"), F.when(walks, limit).otherwise(end).alias("stop"),
+        none.alias("held"), F.lit(1).cast("long").alias("next"),
+    )
+    if held is not None:
+        rows = rows.unionByName(held.select("session_id", F.lit(False).alias("touched"), "known", "stop", F.col("stop").alias("held"), "next"))
+    most = [F.max(c).alias(c) for c in ("touched", "known", "held", "next")]
+    return rows.groupBy("session_id").agg(*most, F.min("stop").alias("stop")).filter("touched").drop("touched")
+
+
+def _reached(pages: DataFrame, ends: DataFrame) -> DataFrame:
+    """``ends`` with ``reached``, the page that a known walk waits for: the first number from ``next`` on without a page."""
+    mark = lambda k, here: F.struct(k.alias("k"), F.lit(here).alias("here"))
+    ahead = pages.filter("known AND page_no >= next")
+    marks = ahead.select("session_id", F.inline(F.array(mark(F.col("page_no"), True), mark(F.col("page_no") + 1, False))))
+    marks = marks.unionByName(ends.filter("known").select("session_id", F.inline(F.array(mark(F.col("next"), False)))))
+    numbers = marks.groupBy("session_id", "k").agg(F.max("here").alias("here"))
+    gaps = numbers.filter("NOT here").groupBy("session_id").agg(F.min("k").alias("gap"))
+    return join_shuffled(ends, gaps, "session_id", "left").withColumn("reached", F.coalesce("gap", "next")).drop("gap")
+
+
+def _outputs(rows: DataFrame, pages: DataFrame, stops: DataFrame) -> dict[str, DataFrame]:
+    """Tables of a batch: its requests by the links of ``pages``, stops, and the errors among ``rows``."""
+    links = pages.select("session_id", "page_no", F.posexplode("links").alias("i", "requested_url"))
+    return {
+        "requests": links.select("session_id", "page_no", (F.col("i") + 1).cast("long").alias("link_ord"), "requested_url"),
+        "stops": stops,
+        "quarantine": rows.filter("error IS NOT NULL").select(F.lit(None).cast("long").alias("page_id"), "url", "stage", "error"),
+    }
+
+
+def _merge(log: RunLog, events: DataFrame, batch_id: int) -> None:
+    """Write a batch's rows and the new state of the sessions it touches as one committed run."""
+    held = _latest_walks(log.read("walks")) if log.commits() else None
+    pages = events.filter("page_no IS NOT NULL").select("session_id", "page_no", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    if held is not None:
+        pages = pages.unionByName(_latest_early(log, held).select("session_id", "page_no", "links"))
+    ends = stage(_ends(events, held), "walk-ends")
+    open_ = stage(join_shuffled(pages, ends, "session_id").filter("stop IS NULL OR page_no < stop"), "walk-pages")
+    ends = stage(_reached(open_, ends), "walk-ends")
+    placed = join_shuffled(open_, ends.select("session_id", "reached"), "session_id")
+    sent = placed.filter("known AND page_no < reached").select("session_id", "page_no", "links")
+    single = events.filter("is_single").select("session_id", F.lit(1).cast("long").alias("page_no"), F.array("url").alias("links"))
+    stops = ends.filter("NOT stop <=> held AND stop < reached").select("session_id", "stop")
+    number = F.lit(batch_id).cast("long").alias("batch")
+    state = {
+        "walks": ends.select("session_id", number, "known", F.col("reached").alias("next"), "stop"),
+        "early": placed.filter("NOT known OR page_no >= reached").select("session_id", number, "page_no", "links"),
+    }
+    log.append(_outputs(events, sent.unionByName(single), stops) | state, number=batch_id)
+
+
+def _compact(log: RunLog, after: int) -> None:
+    """Of the state, the newest sets only."""
+    commits = log.commits()
+    if len(commits) <= after:
+        return
+    names = dict.fromkeys(n for r in commits for n in r.paths)
+    tables = {n: log.read(n) for n in names if n not in STATE}
+    if "walks" in names:
+        walks = _latest_walks(log.read("walks"))
+        tables |= {"walks": walks, "early": _latest_early(log, walks)}
+    log.compact(tables, after)
 
 
 def start_requests(
@@ -159,33 +256,31 @@ def start_requests(
     checkpoint: str,
     once: bool = True,
     compact_after: int = 64,
+    keyed: bool = False,
 ) -> StreamingQuery:
     """Write requests, stops and quarantine rows of every micro-batch as one committed run.
 
-    ``checkpoint`` and the batch number make a restart neither lose nor repeat rows.
+    ``checkpoint`` and the batch number make a restart neither lose nor repeat rows. ``keyed`` says where
+    the state lies; a stream is carried on as it was begun.
     """
-    found = (
-        _events(sessions, listing_pages, rules)
-        .groupBy("session_id")
-        .transformWithState(Walk(), SENT, "Append", "None")
-    )
-    found = found.select(F.inline(F.from_json("found", f"array<struct<{FOUND}>>")))
+    events = _events(sessions, listing_pages, rules)
+    found = _keyed(events) if keyed else events
     spark = sessions.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         log = RunLog(spark, out)
+        if log.has(number=batch_id):
+            return
         rows = batch.persist()
         try:
-            links = rows.filter("links IS NOT NULL").select("session_id", "page_no", F.posexplode("links").alias("i", "requested_url"))
-            tables = {
-                "requests": links.select("session_id", "page_no", (F.col("i") + 1).cast("long").alias("link_ord"), "requested_url"),
-                "stops": rows.filter("stop IS NOT NULL").select("session_id", "stop"),
-                "quarantine": rows.filter("error IS NOT NULL").select(F.lit(None).cast("long").alias("page_id"), "url", "stage", "error"),
-            }
-            log.append(tables, number=batch_id)
+            if keyed:
+                stops = rows.filter("stop IS NOT NULL").select("session_id", "stop")
+                log.append(_outputs(rows, rows.filter("links IS NOT NULL"), stops), number=batch_id)
+            else:
+                _merge(log, rows, batch_id)
         finally:
             rows.unpersist()
-        log.compact(after=compact_after)
+        _compact(log, compact_after)
 
     with rocksdb_state(spark):
         writer = found.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1,6 +1,7 @@
 """Streams whose inputs arrive in any order give what the batch gives."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,31 @@ def test_a_page_beyond_the_stop_is_taken_back(spark, tmp_path):
     assert [r.stop for r in RunLog(spark, out).read("stops").collect()] == [2]
 
 
+def test_walks_by_tables_are_the_walks_by_key(spark, tmp_path):
+    """Batch by batch the same requests and stops, and no Python call per session where the state is a table."""
+    rnd = random.Random(5)
+    starts = [(s, f"{SITE}/s?k=a" if s % 4 else f"{SITE}/x/dp/{code(s)}", None, ("", "0", "3", "x")[s % 5 % 4]) for s in (*range(1, 30), 3)]
+    rows = [listing(s, no, *[code(100 * s + no + k) for k in range(rnd.choice((0, 1, 1, 1, 2, 2, 2)))], more=rnd.random() < 0.9) for s in range(35) for no in range(1, 8) for _ in range(rnd.choice((0, 1, 1, 1, 2)))]
+    rows += [listing(1, no, code(no)) for no in range(8, 40)]
+    rnd.shuffle(rows)
+    found = {}
+    for keyed in (True, False):
+        sessions, pages = (Folder(spark, tmp_path / f"{n}{keyed}", s) for n, s in (("s", schemas.SESSIONS), ("p", schemas.LISTING_PAGES)))
+        out, mark = str(tmp_path / f"out{keyed}"), str(tmp_path / f"mark{keyed}")
+        for some, more in zip((starts[:10], starts[10:], []), itertools.batched(rows, -(-len(rows) // 3))):
+            if some:
+                sessions.add(*some)
+            pages.add(*more)
+            query = start_requests(sessions.stream(), pages.stream(), AMAZON, out, mark, compact_after=2, keyed=keyed)
+            query.awaitTermination()
+            assert bool(query.lastProgress["stateOperators"]) == keyed
+        log = RunLog(spark, out)
+        found[keyed] = [bag(read_requests(spark, out)), bag(read_rejected(spark, out)), bag(log.read("requests")), bag(log.read("stops"))]
+    assert found[False] == found[True]
+    own = bag(batch_requests(sessions.table().filter("session_id <> 3"), pages.table()))
+    assert own == [r for r in found[False][0] if r[-1] != "3"] and len(own) > 50
+
+
 # ---------------------------------------------------------------- products and variants
 
 
