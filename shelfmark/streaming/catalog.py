@@ -10,6 +10,11 @@ product snapshot replaces the one before, and a page that becomes readable takes
 Every micro-batch is one committed run of three tables and the changed keys, so readers never see a
 product without its variants. Records travel and rest as JSON: states hold strings only.
 
+The state is a table of the records that counted when they came, committed under ``state`` before the batch that
+they came with. A batch reads it through a filter of its own keys and is merged with it by joins. With
+``keyed`` the state lies in RocksDB, page by page in a Python processor: slower by the row, but a
+batch that touches few of very many pages does not read the others.
+
 Pages off the rules' platform take no part, nor do variant snapshots without main URL or ASIN.
 """
 
@@ -24,6 +29,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.urls import canonical
 from ..operators.extract import FIELDS, extract_products, kept_products
+from ..operators.joins import first_rows, join_shuffled, likely_among
 from ..operators.quarantine import rejected
 from ..operators.variants import CARRY, carry_states, flatten_options, split_variants
 from ..operators.whitelist import label
@@ -31,7 +37,7 @@ from ..plans.retail import on_platform, product_facts
 from ..plans.rules import PlatformRules
 from ..schemas import PRODUCT_COLUMNS, VARIANT_COLUMNS
 from ..session import stage
-from ..sinks.runs import ChangeLog
+from ..sinks.runs import ChangeLog, RunLog
 from ..sinks.tables import sink_projection
 from .state import rocksdb_state
 
@@ -130,23 +136,60 @@ def _snapshots(pages: DataFrame, variant_pages: DataFrame, rules: PlatformRules)
     return mains.filter("key IS NOT NULL").unionByName(variants.filter("key IS NOT NULL AND asin IS NOT NULL"))
 
 
-def _outputs(sets: DataFrame, whitelist: DataFrame, on_missing: str) -> dict[str, DataFrame]:
-    """Sent sets to the rows of all tables, with key and version."""
-    place = ("key", "version")
-    facts = sets.select(*place, "variants", F.from_json("main", MAIN).alias("m")).select(*place, "variants", "m.*")
-    read = facts.filter("parse_error IS NULL")
-    options = flatten_options(read).withColumn("main_product_url", F.col("key"))
+_PLACE = ("key", "version")
+#: What makes a snapshot count before another, as in ``Page``; NULL comes first.
+_ORDER = ["bad", "page_id", "url", "tie"]
+
+
+def _opened(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Main records of sent sets, and the options of the readable ones with their own ``variant`` or NULL."""
+    facts = sets.select(*_PLACE, "variants", F.from_json("main", MAIN).alias("m")).select(*_PLACE, "variants", "m.*")
+    options = flatten_options(facts.filter("parse_error IS NULL"))
     own = F.element_at(F.from_json("variants", "map<string,string>"), F.col("asin"))
-    joined = options.withColumn("variant", F.from_json(own, VARIANT)).drop("variants")
+    return facts.drop("variants"), options.withColumn("variant", F.from_json(own, VARIANT)).drop("variants")
+
+
+def _merged(state: RunLog, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """``_opened`` of the pages that a batch changes. Its records that count now are committed to the state, whose
+    rows of this batch, if it is repeated, are passed over."""
+    fresh = stage(first_rows(batch, ["key", "asin"], [*_ORDER, "record"]).withColumn("batch", F.lit(batch_id).cast("long")), "page-records")
+    if state.commits():
+        old = likely_among(state.read("records").filter(F.col("batch") < batch_id), F.col("key"), fresh.select("key"), "key")
+        best = stage(first_rows(old.unionByName(fresh), ["key", "asin"], [*_ORDER, "batch", "record"]), "page-records")
+    else:
+        best = fresh
+    new = F.col("batch") == batch_id
+    state.append({"records": best.filter(new)}, number=batch_id)
+    mains = best.filter("asin IS NULL").select("key", new.alias("_new"), F.from_json("record", MAIN).alias("m")).select("key", "_new", "m.*")
+    variants = best.filter("asin IS NOT NULL")
+    named = mains.select("key", F.explode("dims").alias("d")).select("key", F.explode("d.options.asin").alias("asin"))
+    touched = join_shuffled(named, variants.filter(new).select("key", "asin"), ["key", "asin"], "left_semi").select("key")
+    changed = mains.filter("_new").select("key").unionByName(touched).distinct()
+    facts = join_shuffled(mains.drop("_new"), changed.withColumn("version", F.lit(batch_id + 1).cast("long")), "key")
+    facts = stage(facts.select(*_PLACE, *[c for c in facts.columns if c not in _PLACE]), "pages")
+    records = variants.select("key", "asin", F.from_json("record", VARIANT).alias("variant"))
+    return facts, join_shuffled(flatten_options(facts.filter("parse_error IS NULL")), records, ["key", "asin"], "left")
+
+
+def _compact_state(state: RunLog, after: int) -> None:
+    if len(state.commits()) > after:
+        state.compact({"records": first_rows(state.read("records"), ["key", "asin"], [*_ORDER, "batch", "record"])}, after)
+
+
+def _outputs(facts: DataFrame, options: DataFrame, whitelist: DataFrame, on_missing: str) -> dict[str, DataFrame]:
+    """Rows of all tables, with key and version, of pages that changed and their options."""
+    place = _PLACE
+    read = facts.filter("parse_error IS NULL")
+    joined = options.withColumn("main_product_url", F.col("key"))
     found, aside = split_variants(carry_states(joined, ["key"]), on_missing, keep=place, keep_aside=place)
     unread = rejected(facts, "product", F.col("parse_error"), F.col("page_id"), "product_url", place)
-    products = kept_products(read.drop("dims", "variants")).withColumn("table", F.lit("products"))
+    products = kept_products(read.drop("dims")).withColumn("table", F.lit("products"))
     # both tables are labelled at once
     named = products.unionByName(found.withColumn("table", F.lit("variants")), allowMissingColumns=True)
     labelled = stage(label(named, whitelist), "labelled")
     rows = lambda table, columns: sink_projection(labelled.filter(F.col("table") == table), (*place, *columns))
     return {
-        ChangeLog.CHANGED: sets.select(*place),
+        ChangeLog.CHANGED: facts.select(*place),
         "products": rows("products", PRODUCT_COLUMNS),
         "variants": rows("variants", VARIANT_COLUMNS),
         "quarantine": unread.unionByName(aside),
@@ -163,29 +206,37 @@ def start_catalog(
     once: bool = True,
     on_missing: str = CARRY,
     compact_after: int = 64,
+    keyed: bool = False,
 ) -> StreamingQuery:
     """Write products, variants and quarantine rows of every page that a micro-batch changes.
 
     Both page tables are streams. ``checkpoint`` and the batch number make a restart neither lose
-    nor repeat rows; ``read_catalog`` gives the tables as they stand.
+    nor repeat rows; ``read_catalog`` gives the tables as they stand. ``keyed`` says where the state
+    lies; a stream is carried on as it was begun.
     """
     spark = pages.sparkSession
     snapshots = _snapshots(pages.filter(on_platform(rules)), variant_pages.filter(on_platform(rules)), rules)
-    sets = snapshots.groupBy("key").transformWithState(Page(), SETS, "Update", "None")
+    sets = snapshots.groupBy("key").transformWithState(Page(), SETS, "Update", "None") if keyed else snapshots
+    state = RunLog(spark, f"{out.rstrip('/')}/state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         log = ChangeLog(spark, out)
         if log.has(number=batch_id):
             return
-        changed = batch.persist()
+        if keyed:
+            batch = batch.persist()
         try:
-            log.append(_outputs(changed, whitelist, on_missing), number=batch_id)
+            facts, options = _opened(batch) if keyed else _merged(state, batch, batch_id)
+            log.append(_outputs(facts, options, whitelist, on_missing), number=batch_id)
         finally:
-            changed.unpersist()
+            if keyed:
+                batch.unpersist()
         log.compact(after=compact_after)
+        if not keyed:
+            _compact_state(state, compact_after)
 
     with rocksdb_state(spark):
-        writer = sets.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        writer = sets.writeStream.outputMode("update" if keyed else "append").foreachBatch(write).option("checkpointLocation", checkpoint)
         return writer.trigger(availableNow=True).start() if once else writer.start()
 
 

@@ -226,6 +226,26 @@ def test_catalog_for_any_order_of_snapshots(spark, tmp_path, backwards):
     assert {r.title for r in want["variants"].collect()} >= {"Blue, lower URL", "Late", "Six A, readable", "Three"}
 
 
+def test_pages_are_merged_with_a_table_of_records(spark, tmp_path):
+    """No Python call per page: what counts rests in a table, to which a batch adds the records that count from then on."""
+    pages, variants = (Folder(spark, tmp_path / n, s) for n, s in (("p", schemas.PAGES), ("v", schemas.VARIANT_PAGES)))
+    out, mark, wl = str(tmp_path / "out"), str(tmp_path / "mark"), from_setting(spark, "Nike")
+    kept, versions = [], []
+    for more in (SNAPSHOTS[2:3], SNAPSHOTS[:2], ()):
+        pages.add(*more)
+        variants.add(*([] if more else [*VARIANTS[1:2], (url(1), code(99), url(99), product("Not an option"))]))
+        query = start_catalog(pages.stream(), variants.stream(), AMAZON, wl, out, mark)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"] == []
+        records = RunLog(spark, f"{out}/state").read("records").collect()
+        kept.append(sorted((r.asin or "", r.page_id or 0, r.url or "") for r in records))
+        versions.append(len(RunLog(spark, out).read("changed").collect()))
+    assert kept[0] == kept[1] == [("", 4, "")]  # neither a later nor an unreadable snapshot counts
+    assert kept[2] == [("", 4, ""), (code(12), 0, url(10)), (code(99), 0, url(99))] and versions == [1, 1, 2]
+    want = batch_catalog(pages.table(), variants.table(), wl)
+    assert all(bag(read_catalog(spark, out, name)) == bag(rows) for name, rows in want.items())
+
+
 def test_one_run_holds_all_tables_of_a_batch(spark, tmp_path):
     pages, variants = (Folder(spark, tmp_path / n, s) for n, s in (("p", schemas.PAGES), ("v", schemas.VARIANT_PAGES)))
     out, mark, wl = str(tmp_path / "out"), str(tmp_path / "mark"), from_setting(spark, "Nike")
