@@ -304,3 +304,20 @@ def test_one_output_does_not_pay_for_the_others(spark, result, monkeypatch):
     assert staged == []
     assert out.products.count() == 1
     assert "variants" not in staged
+
+
+def test_quarantine_reads_each_listing_page_once(spark, result, monkeypatch):
+    import shelfmark.plans.retail as retail
+
+    read, own = [], retail.with_dom
+
+    def counted(df, *a, **k):
+        read.append("page_no" in df.columns)
+        return own(df, *a, **k)
+
+    monkeypatch.setattr(retail, "with_dom", counted)
+    fresh = retail.Result(result._given, result._listing_pages, result._pages, result._variant_pages, result._whitelist, AMAZON, "carry_forward", True)
+    every = sorted(map(str, fresh.quarantine.collect()))
+    assert sum(read) == 1
+    asked = sorted(map(str, fresh.products.collect()))
+    assert sum(read) == 1 and asked == sorted(map(str, result.products.collect())) and every == sorted(map(str, result.quarantine.collect()))
