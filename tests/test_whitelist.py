@@ -118,3 +118,17 @@ def test_first_rows(spark):
     df = spark.range(3000).select((F.col("id") % 7).alias("k"), (3000 - F.col("id")).alias("o"), "id")
     got = {r.k: r.id for r in first_rows(df, ["k"], ["o"]).collect()}
     assert got == {k: max(n for n in range(3000) if n % 7 == k) for k in range(7)}
+
+
+def test_texts_that_share_a_hash_are_all_tested(spark, monkeypatch):
+    """A piece of a text carries a hash of eight bytes; texts with equal ones are told apart by the exact test."""
+    from shelfmark.operators import whitelist
+
+    texts = ["the nike store", "puma outlet", "shop of nike", "ab", "xyz", ""]
+    patterns = ["nike", "puma", "ab", "y", "store of", "outlet x"]
+    want = {(t, p) for t in texts for p in patterns if p in t}
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for c, xs in (("text", texts), ("pattern", patterns))]
+    assert "text_hash" in {c for c in frames[0].select(whitelist._hash("text")).columns}
+    for hashed in (whitelist._hash, lambda name: F.lit(7).cast("long").alias(f"{name}_hash")):
+        monkeypatch.setattr(whitelist, "_hash", hashed)
+        assert {tuple(r) for r in whitelist.containing(*frames).collect()} == want
