@@ -2,10 +2,13 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from shelfmark.operators.paging import listing_horizon
 from shelfmark.operators.summary import products_with_variant_counts
 from shelfmark.operators.variants import variant_states
 from shelfmark.operators.whitelist import containing, label
+from shelfmark.plans.rules import AMAZON
 
 FIELDS = "product_url string, title string, price string, seller_name string, manufacturer_name string, image_url string, parse_error string"
 
@@ -61,3 +64,19 @@ def test_a_larger_stream_input_has_no_more_files(spark, monkeypatch):
     sessions._staged_pages(spark, "")
     written = spark.read.parquet(paths[0])
     assert len(written.inputFiles()) <= sessions.STREAM_FILES and written.count() == 400
+
+
+def test_marks_are_those_of_the_filter(spark):
+    """Links are looked for on marked pages only; the others are read for their errors."""
+    from shelfmark.operators.joins import likely_among, mark_likely
+    from shelfmark.plans.retail import listing_facts
+
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate((*range(50), 7, None))], "k long, v long")
+    keys = spark.createDataFrame([(k,) for k in (3, 3, 7, 900, None)], "k long")
+    marked = mark_likely(rows, F.col("k"), keys, "k", "likely").collect()
+    asked = sorted(map(str, likely_among(rows, F.col("k"), keys, "k").collect()))
+    assert len(marked) == 52 and sorted(str(r).replace(", likely=True", "") for r in marked if r.likely) == asked
+    page = "<a href='/x/dp/B000000001'>x</a><a>Next</a>"
+    pages = spark.createDataFrame([(1, 1, "https://www.amazon.in/s", page, w) for w in (True, False, None)] + [(2, 1, "https://www.amazon.in/s", None, False)], "session_id long, page_no int, url string, html string, walks boolean")
+    got = [(r.walks, r.n_links, r.has_next, r.parse_error) for r in listing_facts(pages, AMAZON, "walks").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(True, 1, True, None), (False, 0, None, None), (None, 0, None, None), (False, 0, None, "no html")]))
